@@ -19,6 +19,7 @@ BATCH_BYTES = 2 << 20
 BLOCK_BYTES = 24 << 20
 
 _own_root: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,7 +40,12 @@ def shared_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/shelfwise-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled to make the table isn't needed any more
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -60,6 +66,29 @@ def text_bytes(text: str = "text") -> Column:
     return text_or_empty(text).cast("binary")
 
 
+#: Stands for a NULL id while Python holds the rows, as pandas would make the others inexact.
+NO_ID = -(1 << 63)
+
+
+def guarded_id(df: DataFrame, id_col: str) -> Column:
+    """The id as column ``_id``, without NULL if it is an integer."""
+    if df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id")
+    return F.col(id_col).alias("_id")
+
+
+def guarded_type(df: DataFrame, id_col: str) -> str:
+    kind = df.schema[id_col].dataType
+    return "bigint" if kind.typeName() in ("byte", "short", "integer", "long") else kind.simpleString()
+
+
+def restored_id(df: DataFrame, id_col: str) -> Column:
+    """What guarded_id took, under its own name and type."""
+    kind = df.schema[id_col].dataType
+    column = F.when(F.col("_id") != NO_ID, F.col("_id")) if guarded_type(df, id_col) == "bigint" else F.col("_id")
+    return column.cast(kind).alias(id_col)
+
+
 def block_count(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     """How many blocks of about block_bytes hold all texts."""
     total = df.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + F.lit(16))).first()[0] or 0

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, runs, text_bytes
+from .common import byte_lengths, guarded_id, guarded_type, restored_id, runs, text_bytes
 
 SIZE = 8
 #: Quantizer of the DC coefficient: with it a DC of +-255 spans the luminance range.
@@ -322,8 +322,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_
     media_sha256, feature[, media]).  NULL is stored like an empty text, 64
     bytes 0; a text of any length is stored whole.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", media binary" if with_media else "")
+    schema = f"_id {guarded_type(df, id_col)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", media binary" if with_media else "")
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -336,13 +335,10 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_
                     feature = f"{header.width}x{header.height}:{average_hash(pixels)}:{zlib.crc32(pixels.tobytes()):08x}"
                     row = (key, len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature)
                     rows.append(row + ((m,) if with_media else ()))
-                out = pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
-                if id_type in ("bigint", "int"):
-                    out["_id"] = out["_id"].astype("Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-    stored = df.select(F.col(id_col).alias("_id"), text_bytes(text).alias("_text")).mapInPandas(store, schema)
-    return stored.withColumnRenamed("_id", id_col)
+    stored = df.select(guarded_id(df, id_col), text_bytes(text).alias("_text")).mapInPandas(store, schema)
+    return stored.select(restored_id(df, id_col), *stored.columns[1:])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_of, shared_table, text_or_empty
+from .common import block_of, guarded_id, guarded_type, restored_id, shared_table, text_or_empty
 
 WINDOW = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -187,8 +187,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
     other columns are not read.
     """
     json_path, ranks_path = paths or default_paths()
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"_id {id_type}, _piece_of long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
+    schema = f"_id {guarded_type(df, id_col)}, _piece_of long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = Encoder(json_path, ranks_path)
@@ -199,12 +198,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
                     rows.append((key, number, at, len(part), zlib.crc32(part.tobytes()), len(ids)) + ((part.astype(np.int32),) if with_ids else ()))
-            out = pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
-            if id_type in ("bigint", "int"):
-                out["_id"] = out["_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-    docs = df.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_piece_of"), text_or_empty(text).alias("_text"))
+    docs = df.select(guarded_id(df, id_col), F.monotonically_increasing_id().alias("_piece_of"), text_or_empty(text).alias("_text"))
     cut = shared_table(docs.mapInPandas(pieces, schema))
 
     short = cut.where(F.col("length") < window)
@@ -235,7 +231,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     return numbered.withColumn("_slot", slot("length", "_number")).select(
-        F.col("_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "_slot.sequence_id", "_slot.offset", *(["ids"] if with_ids else [])
+        restored_id(df, id_col), "start", "length", "ids_crc32", "doc_tokens", "_slot.sequence_id", "_slot.offset", *(["ids"] if with_ids else [])
     )
 
 

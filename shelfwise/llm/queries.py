@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import media_jpeg, mixing, packing, quality_rules, secret_scans, sharding
+from . import lm_scoring, media_jpeg, mixing, packing, quality_rules, secret_scans, sharding, substring_dedup
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1,
     "op2_secret_scans": secret_scans.op2,
     "op3_packing": packing.op3,
+    "op4_substring_dedup": substring_dedup.op4,
     "op5_media_jpeg": media_jpeg.op5,
     "op6_quality_rules": quality_rules.op6,
     "op9_sharding": sharding.op9,
