@@ -16,7 +16,7 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 #: Text that one numpy batch holds at a time.
 BATCH_BYTES = 2 << 20
 #: Text of a block, the unit in which per-document work meets corpus-wide tables.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 14 << 20
 
 _own_root: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

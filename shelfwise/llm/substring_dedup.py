@@ -4,8 +4,8 @@ Documents are dealt to blocks of bounded size.  Each block counts its windows
 in the rows of a count-min sketch and sends the cells it touched, packed, to
 the tasks that hold those cells; merged there, the counts can only be too high.
 Each block gets back one bit per cell it touched: seen twice or more, or not.
-The second pass sends only windows whose cells are all repeated, with a 128-bit
-hash, to be grouped exactly; what comes back is again one bit per window.
+The second pass sends only windows whose cells are all repeated, with a 96-bit
+hash, to be grouped exactly; what comes back are the windows that are later copies.
 
 The sketch grows with the input and is never held in one place, and nothing is
 broadcast.
@@ -50,17 +50,46 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def pack_rising(values: np.ndarray) -> bytes:
+    """int64 values in few bytes if they mostly rise slowly."""
+    steps = np.diff(values, prepend=np.int64(0))
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_rising(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
+def _among(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of ``asked`` are among the sorted ``values``; a table of their low bits rules most out."""
+    if not len(values):
+        return np.zeros(len(asked), bool)
+    mask = np.uint64((1 << 24) - 1)
+    table = np.zeros(1 << 24, bool)
+    table[(values & mask).astype(np.int64)] = True
+    out = table[(asked & mask).astype(np.int64)]
+    maybe = np.flatnonzero(out)
+    at = np.minimum(np.searchsorted(values, asked[maybe]), len(values) - 1)
+    out[maybe] = values[at] == asked[maybe]
+    return out
+
+
+def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows of a block by id and text, and which distinct document each is."""
+    pdf = pdf.sort_values(["_id", "_print"], kind="stable").reset_index(drop=True)
+    same = pdf["_id"].eq(pdf["_id"].shift()) & pdf["_print"].eq(pdf["_print"].shift())
+    return pdf, (~same).cumsum().to_numpy(np.int64) - 1
+
+
 class Block:
     """The distinct documents of a block in order, and their windows."""
 
     def __init__(self, pdf: pd.DataFrame, width: int, wide: bool = False):
-        pdf = pdf.sort_values(["_key", "_print"], kind="stable").reset_index(drop=True)
-        same = pdf["_key"].eq(pdf["_key"].shift()) & pdf["_print"].eq(pdf["_print"].shift())
-        self.pdf = pdf
-        self.which = (~same).cumsum().to_numpy() - 1 if len(pdf) else np.zeros(0, np.int64)
-        self.docs = pdf[~same]
+        pdf, which = ordered(pdf)
+        self.docs = pdf[np.diff(which, prepend=-1) > 0]
         self.texts = [bytes(x) for x in self.docs["_text"]]
-        self.keys = self.docs["_key"].to_numpy(np.int64)
+        self.keys = self.docs["_id"].to_numpy(np.int64)
         self.width = width
         doc, place, first, second = [], [], [], []
         for a, b in runs(byte_lengths(self.texts)):
@@ -100,10 +129,10 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     columns are not read.
     """
     rows = df.select(
-        guarded_id(df, id_col).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_print"), text_bytes(text).alias("_text"),
+        guarded_id(df, id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_print"), text_bytes(text).alias("_text"),
     )
     blocks = block_count(df, text, block_bytes)
-    rows = rows.withColumn("_block", block_of(blocks, "_key", "_print"))
+    rows = rows.withColumn("_block", block_of(blocks, "_id", "_print"))
     bits = max(12, int(np.ceil(np.log2(max(2, blocks * block_bytes / 6 * CELLS)))))
     shard_bits = max(0, bits - int(np.log2(SHARD_CELLS)))
 
@@ -130,52 +159,45 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     groups = max(1, blocks * block_bytes // 6 // SHARD_WINDOWS)
 
     def candidates(docs: pd.DataFrame, bit_rows: pd.DataFrame) -> pd.DataFrame:
-        names = ["kind", "block", "n_words", "kept_sha256", "text", "_key", "_print", "group", "h1", "h2", "key", "local"]
+        """The windows whose cells are all repeated: first ones in the block by hash group, others at once as later."""
+        names = ["block", "group", "h1", "h2", "key", "local"]
         if not len(docs):
             return pd.DataFrame(columns=names)
-        block, number = Block(docs, width, wide=True), docs["_block"].iloc[0]
+        block, number, out = Block(docs, width, wide=True), docs["_block"].iloc[0], []
         held = dict(zip(bit_rows["shard"], bit_rows["repeated"], strict=True))
-        likely = np.ones(len(block.hash), bool)
+        at = np.arange(len(block.hash))
         for row in range(ROWS):
             cells, _, cell = block.cells(row, bits)
             edge, flags = _shards(cells, bits, shard_bits), np.zeros(len(cells), bool)
             for s in np.flatnonzero(np.diff(edge)):
                 a, b = edge[s], edge[s + 1]
                 flags[a:b] = np.unpackbits(np.frombuffer(held[row << 32 | int(s)], np.uint8), count=b - a)
-            likely &= flags[np.searchsorted(cells, cell)]
-        at = np.flatnonzero(likely)
-        touched = np.zeros(len(block.texts), bool)
-        touched[block.doc[at]] = True
-        out = []
-        for i, key, mark in zip(block.which, block.pdf["_key"], block.pdf["_print"], strict=True):
-            if touched[i]:
-                out.append(("doc", number, None, None, block.texts[i], key, mark, None, None, None, None, None))
-            else:
-                w = block.texts[i].split()
-                kept = b" ".join(w)
-                out.append(("done", number, len(w), hashlib.sha256(kept).hexdigest(), kept if with_kept else None, key, None, None, None, None, None, None))
-        ordinal = np.cumsum(touched) - 1
-        local = ordinal[block.doc].astype(np.int64) << 32 | block.place
+            at = at[_among(cells[flags], cell[at])]
+        local = block.doc[at].astype(np.int64) << 32 | block.place[at]
+        _, first = np.unique(block.hash[at], return_index=True)
+        own_first = np.zeros(len(at), bool)
+        own_first[first] = True
+        out.append((number, -1, None, None, None, pack_rising(local[~own_first])))
+        at, local = at[own_first], local[own_first]
         group = (mixed(block.hash[at], 11) % np.uint64(groups)).astype(np.int64)
         order = np.argsort(group, kind="stable")  # within a group by document and place
-        at, group = at[order], group[order]
+        at, local, group = at[order], local[order], group[order]
         edge = np.searchsorted(group, np.arange(groups + 1))
         for g in np.flatnonzero(np.diff(edge)):
             own = at[edge[g] : edge[g + 1]]
-            out.append(("hash", number, None, None, None, None, None, int(g), block.hash[own].tobytes(), block.hash2[own].tobytes(), block.keys[block.doc[own]].tobytes(), local[own].tobytes()))
-        return pd.DataFrame(out, columns=names).astype({"n_words": "Int64", "_key": "Int64", "_print": "Int64", "group": "Int64"})
+            out.append((number, int(g), block.hash[own].tobytes(), block.hash2[own].astype(np.uint32).tobytes(), pack_rising(block.keys[block.doc[own]]), pack_rising(local[edge[g] : edge[g + 1]])))
+        return pd.DataFrame(out, columns=names)
 
     second = shared_table(
         rows.groupBy("_block").cogroup(repeated.groupBy("block")).applyInPandas(
-            candidates,
-            "kind string, block int, n_words long, kept_sha256 string, text binary, _key long, _print long, group long, h1 binary, h2 binary, key binary, local binary",
+            candidates, "block int, group int, h1 binary, h2 binary, key binary, local binary"
         )
-    )
+    )
 
     def first_of_each(pdf: pd.DataFrame) -> pd.DataFrame:
         """Which windows of each blob have the same words as an earlier one."""
-        load = lambda name, kind: [np.frombuffer(x, kind) for x in pdf[name]]
-        h1, h2, key, local = (load(n, k) for n, k in (("h1", np.uint64), ("h2", np.uint64), ("key", np.int64), ("local", np.int64)))
+        h1, h2 = [np.frombuffer(x, np.uint64) for x in pdf["h1"]], [np.frombuffer(x, np.uint32) for x in pdf["h2"]]
+        key, local = [unpack_rising(x) for x in pdf["key"]], [unpack_rising(x) for x in pdf["local"]]
         sizes = [len(x) for x in h1]
         block = np.repeat(pdf["block"].to_numpy(np.int64), sizes)
         h1, h2, key, local = map(np.concatenate, (h1, h2, key, local))
@@ -183,36 +205,37 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         later = np.zeros(len(order), bool)
         later[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
         ends = np.cumsum(sizes)
-        return pd.DataFrame({"block": pdf["block"], "later": [np.sort(local[e - n : e][later[e - n : e]]).tobytes() for n, e in zip(sizes, ends, strict=True)]})
+        return pd.DataFrame({"block": pdf["block"], "later": [pack_rising(local[e - n : e][later[e - n : e]]) for n, e in zip(sizes, ends, strict=True)]})
 
-    exact = second.where("kind = 'hash'").select("group", "block", "h1", "h2", "key", "local").groupBy("group").applyInPandas(first_of_each, "block int, later binary")
+    exact = second.where("group >= 0").groupBy("group").applyInPandas(first_of_each, "block int, later binary")
+    exact = exact.unionByName(second.where("group = -1").select("block", F.col("local").alias("later")))
 
     def remove(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        names = ["_id", "n_words", "n_removed", "kept_sha256", "kept"]
         if not len(docs):
-            return pd.DataFrame(columns=["_key", "n_words", "n_removed", "kept_sha256", "kept"])
-        later = np.sort(np.concatenate([np.frombuffer(x, np.int64) for x in found["later"]])) if len(found) else np.zeros(0, np.int64)
-        docs = docs.sort_values(["_key", "_print"], kind="stable").reset_index(drop=True)
-        same = docs["_key"].eq(docs["_key"].shift()) & docs["_print"].eq(docs["_print"].shift())
-        out, row = [], None
-        for i, n in enumerate((~same).cumsum().to_numpy() - 1):
-            if not same[i]:
-                w = bytes(docs["text"][i]).split()
+            return pd.DataFrame(columns=names)
+        later = np.sort(np.concatenate([unpack_rising(x) for x in found["later"]])) if len(found) else np.zeros(0, np.int64)
+        docs, which = ordered(docs)
+        out, last = [], -1
+        for key, n, content in zip(docs["_id"], which, docs["_text"], strict=True):
+            if n != last:
+                w, last = bytes(content).split(), n
                 a, b = np.searchsorted(later, [n << 32, (n + 1) << 32])
-                edge = np.zeros(len(w) + 1, np.int32)
-                start = later[a:b] & 0xFFFFFFFF
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + width, -1)
-                stays = np.cumsum(edge[:-1]) == 0
-                kept = b" ".join(x for x, s in zip(w, stays.tolist(), strict=True) if s)
-                row = (len(w), len(w) - int(stays.sum()), hashlib.sha256(kept).hexdigest(), kept if with_kept else None)
-            out.append((docs["_key"][i], *row))
-        return pd.DataFrame(out, columns=["_key", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    touched = second.where("kind = 'doc'").select("block", "_key", "_print", "text")
-    removed = touched.groupBy("block").cogroup(exact.groupBy("block")).applyInPandas(remove, "_key long, n_words long, n_removed long, kept_sha256 string, kept binary")
-    done = second.where("kind = 'done'").select("_key", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("text").alias("kept"))
-    both = done.unionByName(removed).withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("_key", "_id")
-    return both.select(restored_id(df, id_col), "n_words", "n_removed", "kept_sha256", *(["kept"] if with_kept else []))
+                if a == b:
+                    kept, gone = b" ".join(w), 0
+                else:
+                    edge = np.zeros(len(w) + 1, np.int32)
+                    start = later[a:b] & 0xFFFFFFFF
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + width, -1)
+                    stays = np.cumsum(edge[:-1]) == 0
+                    kept, gone = b" ".join(x for x, s in zip(w, stays.tolist(), strict=True) if s), len(w) - int(stays.sum())
+                row = (len(w), gone, hashlib.sha256(kept).hexdigest(), kept if with_kept else None)
+            out.append((key, *row))
+        return pd.DataFrame(out, columns=names)
+
+    removed = rows.groupBy("_block").cogroup(exact.groupBy("block")).applyInPandas(remove, "_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    return removed.select(restored_id(df, id_col), "n_words", "n_removed", "kept_sha256", *([F.col("kept").cast("string").alias("kept")] if with_kept else []))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
