@@ -121,5 +121,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     )
 
 
+def take(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``df`` as the mix takes them: each as often as its copies, those with none not at all.
+
+    Rows of one id, text and source are taken equally often.
+    """
+    marked = df.withColumn("_p", F.xxhash64(text_or_empty(text)))
+    decided = mix(marked, id_col, text, source, carry=("_p",)).where("copies > 0")
+    decided = decided.groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("_p").alias("_q")).agg(F.max("copies").alias("_copies"))
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))
+    taken = marked.join(decided, same).withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies")))
+    return taken.select(*df.columns)
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, media_jpeg, mixing, packing, quality_rules, secret_scans, sharding, substring_dedup
+from . import lm_scoring, media_jpeg, mixing, ngram_join, packing, pii, quality_rules, secret_scans, sharding, substring_dedup
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4,
     "op5_media_jpeg": media_jpeg.op5,
     "op6_quality_rules": quality_rules.op6,
+    "op7_pii": pii.op7,
+    "op8_ngram_jaccard_join": ngram_join.op8,
     "op9_sharding": sharding.op9,
     "op10_mixing": mixing.op10,
 }
