@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Words, block_count, block_of, byte_lengths, guarded_id, mixed, restored_id, runs, shared_table, text_bytes
+from .common import BLOCK_BYTES, Words, block_count, block_of, byte_lengths, guarded_id, mixed, pack_rising, restored_id, runs, shared_table, text_bytes, unpack_rising
 
 WIDTH = 20
 #: Rows of the sketch, and cells per window in each (at least; a power of two in all).
@@ -50,17 +50,6 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def pack_rising(values: np.ndarray) -> bytes:
-    """int64 values in few bytes if they mostly rise slowly."""
-    steps = np.diff(values, prepend=np.int64(0))
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpack_rising(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
-
-
 def _among(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Which of ``asked`` are among the sorted ``values``; a table of their low bits rules most out."""
     if not len(values):
