@@ -222,10 +222,10 @@ def d23_growth(s):  # D23, D24, D26, M15
     return rows.orderBy(F.col("growth").desc(), "art").limit(30)
 
 
-@query("SELECT art, round(avg(balance), 6) AS mean_balance, round(stddev_samp(balance), 6) AS std_balance, round(avg(price), 6) AS mean_price, count(DISTINCT channel) AS channels FROM tx JOIN customers USING (cust) GROUP BY art", "tx customers")
+@query("SELECT art, round(avg(balance), 8) AS mean_balance, round(stddev_samp(balance), 5) AS std_balance, round(avg(price), 8) AS mean_price, count(DISTINCT channel) AS channels FROM tx JOIN customers USING (cust) GROUP BY art", "tx customers")
 def d27_buyer_profile(s):
     t = s.purchases.join(s.customers, "cust")
-    return t.groupBy("art").agg(F.round(F.avg("balance"), 6).alias("mean_balance"), F.round(F.stddev_samp("balance"), 6).alias("std_balance"), F.round(F.avg("price"), 6).alias("mean_price"), F.countDistinct("channel").alias("channels"))
+    return t.groupBy("art").agg(F.round(F.avg("balance"), 8).alias("mean_balance"), F.round(F.stddev_samp("balance"), 5).alias("std_balance"), F.round(F.avg("price"), 8).alias("mean_price"), F.countDistinct("channel").alias("channels"))
 
 
 @query("""WITH m AS (SELECT max(date) AS last FROM sales), g AS (SELECT item, store, sum(quantity) FILTER (WHERE date > last - 364) AS r, sum(quantity) FILTER (WHERE date <= last - 364 AND date > last - 728) AS p, min(date) AS first_sale, sum(quantity) AS total, max(last) AS last FROM sales, m GROUP BY ALL)

@@ -95,12 +95,12 @@ def m21_cold_items(s):
     return s.sales.select("item", "dept").distinct().join(known, ["item", "dept"], "left").join(dept, "dept", "left").crossJoin(overall).select("item", "dept", F.round(F.coalesce("im", "dm", "om"), 5).alias("expected"))
 
 
-@query("""WITH p AS (SELECT item, date, round(avg(price), 6) AS price FROM sales GROUP BY ALL), c AS (SELECT *, price - lag(price) OVER (PARTITION BY item ORDER BY date) AS diff FROM p)
-SELECT item, date, price, round(diff, 6) AS price_diff, round(stddev_samp(diff) OVER (PARTITION BY item ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 6) AS volatility, CAST(abs(coalesce(diff, 0)) > 500 AS INT) AS jump FROM c""", "sales")
+@query("""WITH p AS (SELECT item, date, avg(price) AS price FROM sales GROUP BY ALL), c AS (SELECT *, price - lag(price) OVER (PARTITION BY item ORDER BY date) AS diff FROM p)
+SELECT item, date, round(price, 8) AS price, round(diff + 1e-9, 5) AS price_diff, round(stddev_samp(diff) OVER (PARTITION BY item ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 5) AS volatility, CAST(abs(coalesce(diff, 0)) > 500 AS INT) AS jump FROM c""", "sales")
 def e07_price_features(s):
-    p = s.sales.groupBy("item", "date").agg(F.round(F.avg("price"), 6).alias("price"))
+    p = s.sales.groupBy("item", "date").agg(F.avg("price").alias("price"))
     p = p.withColumn("diff", F.col("price") - series.row_lag("price", 1, ["item"], "date"))
-    return p.select("item", "date", "price", F.round("diff", 6).alias("price_diff"), F.round(series.rolling(F.stddev_samp, "diff", 30, ["item"], "date"), 6).alias("volatility"), (F.abs(F.coalesce("diff", F.lit(0.0))) > 500).cast("int").alias("jump"))
+    return p.select("item", "date", F.round("price", 8).alias("price"), F.round(F.col("diff") + 1e-9, 5).alias("price_diff"), F.round(series.rolling(F.stddev_samp, "diff", 30, ["item"], "date"), 5).alias("volatility"), (F.abs(F.coalesce("diff", F.lit(0.0))) > 500).cast("int").alias("jump"))
 
 
 @query("""WITH c AS (SELECT art, week, count(*) AS n FROM txw GROUP BY ALL) SELECT art, week, sum(n) OVER (PARTITION BY art ORDER BY week DESC) AS sold_so_far FROM c""", "txw")

@@ -29,7 +29,7 @@ def _cell(x):
     if isinstance(x, bool):
         return x
     if isinstance(x, (int, float)) or type(x).__name__ == "Decimal":
-        x = round(float(x), 6)
+        x = float(f"{float(x):.9g}")
         return 0.0 if x == 0 else x
     return str(x).removesuffix(" 00:00:00")
 
