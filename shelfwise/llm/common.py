@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Text that one numpy batch holds at a time.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Text of a block, the unit in which per-document work meets corpus-wide tables.
 BLOCK_BYTES = 14 << 20
 
 _own_root: list[str] = []
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: what was shuffled to make it isn't needed after, and Python gets rows in small batches.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,12 +46,14 @@ def shared_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/shelfwise-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # what was shuffled to make the table isn't needed any more
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
