@@ -307,7 +307,7 @@ def add_media_features(df: DataFrame, media: str = "media") -> DataFrame:
     def features(column: pd.Series) -> pd.DataFrame:
         rows = []
         held = [None if x is None else bytes(x) for x in column]
-        for a, b in runs(byte_lengths(x or b"" for x in held) if len(held) else np.zeros(0, np.int64)):
+        for a, b in runs(byte_lengths([x or b"" for x in held])):
             rows += [x or (None, None, None, None) for x in describe(held[a:b])]
         out = pd.DataFrame(rows, columns=["width", "height", "thumb_hash", "thumb_crc"])
         return out.astype({"width": "Int32", "height": "Int32"})

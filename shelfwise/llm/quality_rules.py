@@ -84,7 +84,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
 def fails() -> Column:
     """Whether a measured document fails any rule, as hosts are judged."""
-    mean = F.col("word_chars") / F.col("n_words")
+    mean = F.try_divide("word_chars", "n_words")
     return (
         F.col("base_failed")
         | (F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words"))
