@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,21 @@ def calendar_lag(df: DataFrame, keys: list[str], date: str, value: str, days: in
 
 
 def ewm_mean(c: str, span: int, keys: list[str], order: str) -> Column:
-    """Exponentially weighted mean of the rows before, weights normalized over the history."""
+    """Exponentially weighted mean of the rows before, weights normalized over the history.
+
+    A NULL adds nothing but ages what is before it.  Rows so far back that
+    their weight is lost in a double's rounding are not read, so a row costs
+    the same however long its key's history is.
+    """
     keep = 1 - 2 / (span + 1)
-    history = F.collect_list(c).over(by(keys, [order]).rowsBetween(Window.unboundedPreceding, -1))
+    reach = math.ceil(-60 * math.log(2) / math.log(keep))
+    history = F.collect_list(F.struct(F.col(c).alias("x"))).over(by(keys, [order]).rowsBetween(-reach, -1))
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("w"))
-    step = lambda a, x: F.struct((a["n"] * keep + x).alias("n"), (a["w"] * keep + 1).alias("w"))
-    return F.when(F.size(history) > 0, F.aggregate(history, start, step, lambda a: a["n"] / a["w"]))
+
+    def step(a: Column, r: Column) -> Column:
+        return F.struct((a["n"] * keep + F.coalesce(r["x"], F.lit(0.0))).alias("n"), (a["w"] * keep + F.when(r["x"].isNull(), 0.0).otherwise(1.0)).alias("w"))
+
+    return F.aggregate(history, start, step, lambda a: F.when(a["w"] > 0, a["n"] / a["w"]))
 
 
 def forward_fill(c: str, keys: list[str], order: list[str | Column]) -> Column:
