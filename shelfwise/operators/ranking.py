@@ -47,22 +47,24 @@ def pair_counts(purchases: DataFrame, least: int = 2, most: int = 10) -> DataFra
     return counted.unionByName(counted.select(F.col("other").alias("art"), F.col("art").alias("other"), "n"))
 
 
-def item_similarity(purchases: DataFrame, k: int, longest: int = 100) -> DataFrame:
+def item_similarity(purchases: DataFrame, k: int, reach: int = 64) -> DataFrame:
     """art, other, sim: direction-aware co-purchase similarity from each customer's purchase sequence.
 
-    Each ordered pair of positions adds a * 0.7^(gap-1) / ln(1+n) with a = 1
-    forward and 0.9 backward; sequences keep their last ``longest`` purchases,
-    which bounds the pairs of one customer.
+    Each ordered pair of positions at most ``reach`` apart adds
+    a * 0.7^(gap-1) / ln(1+n) with a = 1 forward and 0.9 backward; at the next
+    gap the weight is below 2e-10.  Sequences are whole: they are cut in
+    stretches of ``reach`` positions and each is joined with itself and its
+    neighbours, so pairs grow with the length of a sequence, not its square,
+    and a customer with very many purchases is dealt over many tasks.
     """
-    w = Window.partitionBy("cust").orderBy(F.col("day"), F.col("art"), F.col("receipt"))
-    back = Window.partitionBy("cust").orderBy(F.col("day").desc(), F.col("art").desc(), F.col("receipt").desc())
-    seq = purchases.withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= longest).withColumn("pos", F.row_number().over(w))
-    listed = seq.groupBy("cust").agg(F.sort_array(F.collect_list(F.struct("pos", "art"))).alias("s")).withColumn("n", F.size("s"))
-    one = listed.select("n", "s", F.explode("s").alias("i"))
-    both = one.select("n", "i", F.explode("s").alias("j")).where("i.pos <> j.pos")
-    gap = F.abs(F.col("j.pos") - F.col("i.pos"))
-    weight = F.when(F.col("j.pos") > F.col("i.pos"), 1.0).otherwise(0.9) * F.pow(F.lit(0.7), gap - 1) / F.log(F.lit(1.0) + F.col("n"))
-    scored = both.groupBy(F.col("i.art").alias("art"), F.col("j.art").alias("other")).agg(F.sum(weight).alias("sim"))
+    w = Window.partitionBy("cust").orderBy("day", "art", "receipt")
+    seq = purchases.select("cust", "art", F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("cust")).alias("n"))
+    seq = seq.withColumn("stretch", F.floor(F.col("pos") / reach))
+    near = seq.select("cust", F.col("art").alias("other"), F.col("pos").alias("_at"), F.explode(F.array(*[F.col("stretch") + d for d in (-1, 0, 1)])).alias("stretch"))
+    gap = F.abs(F.col("_at") - F.col("pos"))
+    both = seq.join(near, ["cust", "stretch"]).where(gap.between(1, reach))
+    weight = F.when(F.col("_at") > F.col("pos"), 1.0).otherwise(0.9) * F.pow(F.lit(0.7), gap - 1) / F.log(F.lit(1.0) + F.col("n"))
+    scored = both.groupBy("art", "other").agg(F.sum(weight).alias("sim"))
     return top_per(scored, ["art"], [F.round("sim", 8).desc(), F.col("other")], k)
 
 

@@ -51,8 +51,8 @@ def m06_co_occurrence(s):  # C17, K3, M6
     return ranking.top_per(ranking.pair_counts(s.purchases), ["art"], [F.col("n").desc(), F.col("other")], 5).select("art", "other", "n")
 
 
-_ICF = """s AS (SELECT cust, art, row_number() OVER w AS pos, count(*) OVER (PARTITION BY cust) AS n FROM (SELECT * FROM txw WHERE week < 104 QUALIFY row_number() OVER (PARTITION BY cust ORDER BY day DESC, art DESC, receipt DESC) <= 100) WINDOW w AS (PARTITION BY cust ORDER BY day, art, receipt)),
-v AS (SELECT i.art, j.art AS other, sum(CASE WHEN j.pos > i.pos THEN 1.0 ELSE 0.9 END * pow(0.7, abs(j.pos - i.pos) - 1) / ln(1 + i.n)) AS sim FROM s i JOIN s j ON i.cust = j.cust AND i.pos <> j.pos GROUP BY ALL),
+_ICF = """s AS (SELECT cust, art, row_number() OVER w AS pos, count(*) OVER (PARTITION BY cust) AS n FROM txw WHERE week < 104 WINDOW w AS (PARTITION BY cust ORDER BY day, art, receipt)),
+v AS (SELECT i.art, j.art AS other, sum(CASE WHEN j.pos > i.pos THEN 1.0 ELSE 0.9 END * pow(0.7, abs(j.pos - i.pos) - 1) / ln(1 + i.n)) AS sim FROM s i JOIN s j ON i.cust = j.cust AND i.pos <> j.pos AND abs(j.pos - i.pos) <= 64 GROUP BY ALL),
 t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY art ORDER BY round(sim, 8) DESC, other) <= 20)"""
 
 
@@ -154,9 +154,9 @@ def m09_score_fusion(s):  # E12, E13, I11, I12, M9
 
 
 @query("""WITH a AS (SELECT unnest(range(0, 12)) AS w), d AS (SELECT min(days_ago) AS z FROM txw)
-SELECT a.w AS week, art, round(sum(1.0 / (days_ago - 7 * a.w + 1)), 6) AS factor, round(sum(CAST(n > 1 AS INT)) / (count(*) + 0.000001), 6) AS repeat FROM a JOIN (SELECT t.*, 1 AS one FROM txw t) x ON x.week >= a.w JOIN (SELECT a2.w AS w2, art AS art2, cust AS cust2, count(*) AS n FROM (SELECT unnest(range(0, 12)) AS w) a2 JOIN txw ON week >= a2.w GROUP BY ALL) g ON g.w2 = a.w AND g.art2 = x.art AND g.cust2 = x.cust WHERE art <= 40 GROUP BY ALL""", "txw")
+SELECT a.w AS week, art, round(sum(1.0 / (days_ago - 7 * a.w + 1)), 6) AS factor, round(sum(CAST(n > 1 AS INT)) / (count(*) + 0.000001), 6) AS repeat FROM a JOIN (SELECT t.*, 1 AS one FROM txw t) x ON x.week >= a.w JOIN (SELECT a2.w AS w2, art AS art2, cust AS cust2, count(*) AS n FROM (SELECT unnest(range(0, 12)) AS w) a2 JOIN txw ON week >= a2.w GROUP BY ALL) g ON g.w2 = a.w AND g.art2 = x.art AND g.cust2 = x.cust GROUP BY ALL""", "txw")
 def m11_week_anchors(s):  # M11, M13: one row per anchor at or before a purchase's week, at most 12
-    t = tx(s).where("art <= 40").withColumn("w", F.explode(F.sequence(F.lit(0), F.least(F.col("week"), F.lit(11)))))
+    t = tx(s).withColumn("w", F.explode(F.sequence(F.lit(0), F.least(F.col("week"), F.lit(11)))))
     n = F.count(F.lit(1)).over(Window.partitionBy("w", "art", "cust"))
     return t.withColumn("n", n).groupBy(F.col("w").alias("week"), "art").agg(F.round(F.sum(1 / (F.col("days_ago") - 7 * F.col("w") + 1)), 6).alias("factor"), F.round(F.sum((F.col("n") > 1).cast("int")) / (F.count(F.lit(1)) + 0.000001), 6).alias("repeat"))
 
