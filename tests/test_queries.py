@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+from collections import Counter
 
+import numpy as np
 import oracle
+import pandas as pd
 import pytest
 from conftest import FOLDER
 from pyspark.sql import functions as F
 
 from shelfwise.functions import dates, lists, numbers
-from shelfwise.operators import models, ranking, series
+from shelfwise.operators import models, ranking, series, vectors
 from shelfwise.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -90,3 +94,47 @@ def test_regression_learns(spark):
     df = spark.range(400).select((F.col("id") % 20).cast("double").alias("x")).withColumn("y", F.col("x") * 3)
     out = models.scored(models.fit_regression(df, ["x"], "y", trees=5), df)
     assert out.agg(F.sqrt(F.avg(F.pow(F.col("score") - F.col("y"), 2)))).first()[0] < 5
+
+
+def test_ewm_equals_pandas_also_with_gaps_and_long_histories(spark):
+    values = [None if i % 7 == 3 else float((i * 37) % 101) for i in range(900)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, d int, v double")
+    got = [r.m for r in df.select("d", series.ewm_mean("v", 7, ["k"], "d").alias("m")).orderBy("d").collect()]
+    expected = pd.Series(values, dtype=float).ewm(span=7).mean().shift(1)
+    assert got[0] is None and np.allclose(got[1:], expected[1:], rtol=1e-12)
+
+
+def test_item_similarity_reads_whole_sequences(spark):
+    rows = [(c, (i * (c + 3)) % 11, dt.date(2020, 1, 1) + dt.timedelta(i), i) for c, n in ((1, 400), (2, 64), (3, 2), (4, 1)) for i in range(n)]
+    got = ranking.item_similarity(spark.createDataFrame(rows, "cust int, art int, day date, receipt int"), 50)
+    expected: Counter = Counter()
+    for c in (1, 2, 3, 4):
+        seq = [r[1] for r in rows if r[0] == c]
+        for i, a in enumerate(seq):
+            for j in range(max(0, i - 64), min(len(seq), i + 65)):
+                if i != j:
+                    expected[a, seq[j]] += (1 if j > i else 0.9) * 0.7 ** (abs(i - j) - 1) / math.log(1 + len(seq))
+    assert {(r.art, r.other): r.sim for r in got.collect()} == pytest.approx(dict(expected))
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    monkeypatch.setattr(vectors, "SLICE", 7)
+    m = np.random.default_rng(3).normal(size=(40, 4))
+    m[11] = m[5]  # a tie
+    m[12] = 0  # no direction
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(40)] + [(40, None)], "id long, v array<double>")
+    got = vectors.nearest(df.where("id % 4 = 0"), df, "id", "v", 5).collect()
+    length = np.linalg.norm(m, axis=1)
+    expected = set()
+    for i in range(0, 40, 4):
+        if length[i]:
+            sims = sorted((-round(float(m[i] @ m[j] / length[i] / length[j]), 5), j) for j in range(40) if j != i and length[j])
+            expected |= {(i, j, n + 1) for n, (_, j) in enumerate(sims[:5])}
+    assert {(r.id, r.other, r["rank"]) for r in got} == expected
+    assert vectors.nearest(df.where("id < 0"), df, "id", "v", 5).count() == 0
+
+
+def test_cosine_of_two_arrays(spark):
+    row = spark.sql("SELECT array(3.0D, 4.0D) AS a, array(4.0D, 3.0D) AS b").select(lists.cosine(F.col("a"), F.col("b")).alias("c")).first()
+    assert row.c == pytest.approx(0.96)
