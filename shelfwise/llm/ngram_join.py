@@ -9,8 +9,12 @@ that parity bitmaps can't rule out are counted by vertical partitioning: the
 order is cut into fragments, each fragment counts its part of the overlap, and
 the parts are summed per pair.  Stars already connect most of a group; what is
 left to compare are members of one group that are still in different components
-and whose distances to the group's centre leave a link possible.  No group is
-ever expanded into all its pairs.
+and whose distances to the group's centre leave a link possible.  Up to here no
+group is expanded into all its pairs.
+
+Links are counted afterwards: both ends of a link are in one component, so the
+classes of each component are cut into blocks and each pair of blocks counts its
+links from the whole sets, as a matrix product.  Only counts leave a block.
 """
 
 from __future__ import annotations
@@ -35,6 +39,11 @@ HEAVY = 32
 MAX_HEAVY = 1_000_000
 #: Pairs of each member of an n-gram that are counted before all others.
 LIKELIEST = 3
+#: Classes and n-grams of a block, the unit in which links are counted, about.
+LINK_CLASSES = 1024
+LINK_GRAMS = 1 << 19
+#: Cells of a matrix of classes by n-grams.
+CELLS = 1 << 22
 #: Windows held before a task reports its common n-grams.
 FLUSH = 2_000_000
 _MIN = -(1 << 63)
@@ -125,8 +134,41 @@ def _in_order(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return np.concatenate((s[~last], s[last]))
 
 
-def links(df: DataFrame, id_col: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(documents, components): (_id, n, cls, is_rep) of each row, and (cls, component) of the classes that have links."""
+def linked_counts(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets of the other side each set links with; without ``right``, of its own side, itself left out."""
+    sides = [left] if right is None else [left, right]
+    _, column = np.unique(np.concatenate([x for side in sides for x in side]), return_inverse=True)
+    size = [byte_lengths(side) for side in sides]
+    columns = np.split(column, [size[0].sum()])[: len(sides)]
+    held = [np.bincount(c, minlength=column.max() + 1) for c in columns]
+    use = np.flatnonzero(held[0] > 1 if right is None else (held[0] > 0) & (held[1] > 0))
+    cells = []
+    for c, n in zip(columns, size, strict=True):
+        order = np.argsort(c, kind="stable")
+        cells.append((np.repeat(np.arange(len(n)), n)[order], c[order]))
+    step = max(1, CELLS // max(map(len, sides)))
+    overlap = np.zeros((len(sides[0]), len(sides[-1])))
+    for a in range(0, len(use), step):
+        part, matrices = use[a : a + step], []
+        for (row, c), side in zip(cells, sides, strict=True):
+            lo, hi = np.searchsorted(c, part[0], "left"), np.searchsorted(c, part[-1], "right")
+            at = np.searchsorted(part, c[lo:hi])
+            ok = part[at] == c[lo:hi]
+            m = np.zeros((len(side), len(part)), np.float32)
+            m[row[lo:hi][ok], at[ok]] = 1
+            matrices.append(m)
+        overlap += matrices[0] @ matrices[-1].T
+    linked = 100 * overlap >= percent * (size[0][:, None] + size[-1][None, :] - overlap)
+    if right is None:
+        np.fill_diagonal(linked, False)
+    return linked.sum(1), linked.sum(0)
+
+
+def links(df: DataFrame, id_col: str, text: str, width: int, percent: int, counted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents, components): (_id, uid, n, cls, n_links) of each row, and (cls, component) of the classes that have links.
+
+    n_links is NULL without links, and everywhere if links aren't to be ``counted``.
+    """
     spark = df.sparkSession
     rows = df.select(guarded_id(df, id_col), text_bytes(text).alias("_text"))
 
@@ -332,8 +374,41 @@ def links(df: DataFrame, id_col: str, text: str, width: int, percent: int) -> tu
     all_links = shared_table(more_links.union(linked(count(shared_table(rest)))).distinct())
     components = connected(all_links)
     rows_out = docs.select("_id", "uid", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "cls"), ["n", "s1", "s2"])
-    degree = all_links.select(F.col("a").alias("cls")).union(all_links.select(F.col("b").alias("cls"))).groupBy("cls").count().withColumnRenamed("count", "n_links")
-    return rows_out.select("_id", "uid", "n", "cls").join(degree, "cls", "left"), components
+    placed = rows_out.select("_id", "uid", "n", "cls")
+    if not counted:
+        return placed.withColumn("n_links", F.lit(None).cast("long")), components
+
+    # all links of each class, also those that no component needed
+    parts = components.join(reps.select(F.col("uid").alias("cls"), "n"), "cls").groupBy("component").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("grams"))
+    parts = parts.withColumn("blocks", F.greatest(F.ceil(F.col("classes") / LINK_CLASSES), F.ceil(F.col("grams") / LINK_GRAMS)).cast("int"))
+    blocks = shared_table(components.join(parts, "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
+    several = blocks.where("classes > 2").join(reps.select(F.col("uid").alias("cls"), "s1", "s2", F.col("first_id").alias("_id")), "cls")
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(*_signature(s), s.tobytes()) for s in shingle_sets([bytes(x) for x in pdf["_text"]], width)], columns=["s1", "s2", "grams"])
+
+    def count_links(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of each class with those of one other block of its component, or of its own."""
+        out = []
+        for (_, i, j), pair in pdf.groupby(["component", "i", "j"]):
+            left, right = pair[pair["block"] == i], pair[pair["block"] == j] if i != j else None
+            if right is not None and not (len(left) and len(right)):
+                continue
+            x, y = linked_counts(*([np.frombuffer(g, np.uint64) for g in side["grams"]] if side is not None else None for side in (left, right)), percent)
+            out += [(left["cls"], x)] + ([(right["cls"], y)] if right is not None else [])
+        return pd.concat([pd.DataFrame({"cls": c.to_numpy(), "n_links": k}) for c, k in out] or [pd.DataFrame({"cls": [], "n_links": []}, dtype="int64")])
+
+    texts = rows.join(several.select("_id").distinct(), "_id", "left_semi").select("_text")
+    sets = texts.mapInPandas(whole, "s1 long, s2 long, grams binary").join(several.select("cls", "s1", "s2", "component", "block", "blocks"), ["s1", "s2"])
+    sets = shared_table(sets.drop("s1", "s2").dropDuplicates(["cls"]))
+    volume = sets.agg(F.sum(F.octet_length("grams") * F.col("blocks").cast("long"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // (4 << 20)))
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cls", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "grams")
+    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("component", "i", "j"), F.lit(shards)))
+    degree = dealt.groupBy("_shard").applyInPandas(count_links, "cls long, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    degree = shared_table(degree.union(blocks.where("classes = 2").select("cls", F.lit(1).cast("long"))))
+    return placed.join(degree, "cls", "left"), components
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -364,12 +439,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     (A-Z lowered; a shorter text is one shingle) have a Jaccard similarity of
     ``percent`` or more.  component_id is the smallest id reachable by links,
     the document's own included (NULL ids come first and stay NULL).  n_links
-    counts linked texts other than its own, of those compared; is_first marks
-    one row of each group.  Documents without words, NULL texts among them,
+    counts all texts it links with, those with its own set of shingles as none;
+    is_first marks one row of each group.  Documents without words, NULL texts among them,
     link with nothing and are their own group, each row.  An empty table gives
     no rows; other columns are not read.  The id must be an integer.
     """
-    documents, components = links(df, id_col, text, width, percent)
+    return _grouped(df, id_col, *links(df, id_col, text, width, percent))
+
+
+def _grouped(df: DataFrame, id_col: str, documents: DataFrame, components: DataFrame) -> DataFrame:
     placed = shared_table(documents.join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     alone = F.col("n") == 0
     names = placed.where(~alone).groupBy("component").agg(F.min(F.struct("_id", "uid")).alias("_first"))
@@ -387,7 +465,7 @@ def _named(key: Column) -> Column:
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without those whose group has a smaller id; of rows with the smallest, one stays."""
-    groups = similar_groups(df, id_col, text)
+    groups = _grouped(df, id_col, *links(df, id_col, text, WIDTH, PERCENT, counted=False))
     gone = shared_table(groups.where(~F.col("is_first") & F.col("n_shingles").isNotNull()).select(F.col(id_col).alias("_gone"), F.col("component_id").alias("_of")))
     dropped = gone.where(~F.col("_gone").eqNullSafe(F.col("_of"))).select("_gone").distinct()
     left = df.join(dropped, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")

@@ -282,6 +282,19 @@ def test_similar_groups_chain_and_large_group(spark):
     assert got == brute.components(rows)
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    """Also links between members that a centre has joined already, in one block and across several, and pairs of a component that don't link."""
+    rows = [(i, " ".join(f"c{j}" if j != i % 90 else f"e{i}" for j in range(100))) for i in range(60)] + [(60, " ".join(f"c{j}" for j in range(100)))]
+    rows += [(1000 + i, " ".join(f"v{j}" for j in range(4 * i, 4 * i + 100))) for i in range(12)]
+    rows += [(2000, "a b c d e f g h"), (2001, "a b c d e f g h i"), (2002, "A b c d e f g h i"), (3000, "alone here"), (3001, "")]
+    df, sets = spark.createDataFrame(rows, "doc_id long, text string"), {i: brute.shingles(t) for i, t in rows}
+    expected = {i: len({b for b in sets.values() if b != a and a and 100 * len(a & b) >= 80 * len(a | b)}) for i, a in sets.items()}
+    assert expected[60] == 60 and max(expected.values()) == 60 and expected[2000] == 1
+    for classes in (ngram_join.LINK_CLASSES, 7):
+        monkeypatch.setattr(ngram_join, "LINK_CLASSES", classes)
+        assert {r.doc_id: r.n_links for r in ngram_join.similar_groups(df).collect()} == expected
+
+
 def test_keep_one_of_each(spark, small, texts, edges):
     expected = {r for d, (_, r) in brute.components(list(texts.items())).items()}
     kept = ngram_join.keep_one_of_each(small)
