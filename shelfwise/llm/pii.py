@@ -2,10 +2,11 @@
 
 The tagger is trained on the driver, in numpy, on windows with labelled spans:
 those that the patterns find in a bounded sample of documents, and made-up ones
-in forms that the patterns don't cover.  It reads the neighbourhoods of digits
-and @, without which no span of these kinds exists, in overlapping windows; a
-character's scores are averaged over its windows, more weight in their middle,
-and each neighbourhood is then decoded once as a whole.
+in forms that the patterns don't cover.  It reads the neighbourhoods of digits,
+@ and what stands for it or a dot, as (at) and [dot], without which no span of
+these kinds exists, up to white space, in overlapping windows; a character's
+scores are averaged over its windows, more weight in their middle, and each
+neighbourhood is then decoded once as a whole.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile("[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]+|[\[(](?:[aA][tT]|[dD][oO][tT])[\])]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
 
@@ -171,11 +172,22 @@ def train(sample: list[str]) -> tuple[CharTagger, list[float]]:
 
 
 def neighbourhoods(text: str) -> list[tuple[int, int]]:
-    """Ranges of the text within REACH of a digit or @, those that touch merged."""
+    """Ranges of the text within REACH of a digit, @, (at) or (dot) and on to white space, those that touch merged.
+
+    No span that plausible() takes crosses an edge: its words are whole, and of
+    any two in a row at least one is next to such a sign.
+    """
     out: list[tuple[int, int]] = []
-    for m in re.finditer("[0-9@]+", text):
+    for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
+        done = out[-1][1] if out else -1
+        if b <= done:
+            continue
+        while a > max(done, 0) and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        if a <= done:
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))

@@ -242,6 +242,23 @@ def test_tagger_learns_and_masks():
     assert pii.masked("call +1 (286) 555-5136 now", [(5, 3, 22)]) == "call <PHONE> now"
 
 
+def test_obfuscated_addresses_without_digits(spark, monkeypatch):
+    """Addresses whose text holds no digit or @, and long ones that would be cut some characters from a digit."""
+    filler = "Some plain words come before this one and go on, "
+    held = ["jane (at) example (dot) com", "jane.doe[at]example[dot]org", "jane.42 (at) somelonghost (dot) example (dot) com", "tom.miller (at) " + "subsidiary" * 3 + " (dot) example (dot) com", "MARY(AT)EXAMPLE(DOT)NET", "x" * 60 + "@mail.example.com"]
+    for address in held:
+        text = filler + address + " " + filler
+        at = len(filler)
+        assert any(a <= at and at + len(address) <= b for a, b in pii.neighbourhoods(text))
+    assert pii.neighbourhoods(filler) == []
+    model, _ = pii.train([])
+    monkeypatch.setattr(pii, "fitted", lambda df, text: model)
+    df = spark.createDataFrame([(i, f"please write to {x} for the office order") for i, x in enumerate(held[:3])], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert spans == {i: f"email:16:{16 + len(x)}" for i, x in enumerate(held[:3])}
+    assert {r.text for r in pii.mask(df).collect()} == {"please write to <EMAIL> for the office order"}
+
+
 def test_tagger_gradient():
     m = CharTagger(3, embed=4, hidden=3)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
