@@ -45,9 +45,17 @@ def e04_rolling_sql_frame(s):  # E4, M1, C8
 
 @query("""WITH w AS (SELECT item, store, week, quantity, row_number() OVER (PARTITION BY item, store ORDER BY week) AS n FROM weekly WHERE week >= DATE '2000-06-01')
 SELECT a.item, a.store, a.week, round(sum(b.quantity * pow(0.75, a.n - b.n - 1)) / sum(pow(0.75, a.n - b.n - 1)), 5) AS ewm7 FROM w a LEFT JOIN w b ON a.item = b.item AND a.store = b.store AND b.n < a.n GROUP BY ALL""", "weekly")
-def e09_ewm(s):
-    w = s.weekly.where(F.col("week") >= F.lit("2000-06-01").cast("date"))
-    return w.select(*KEY, "week", F.round(series.ewm_mean("quantity", 7, KEY, "week"), 5).alias("ewm7"))
+def e09_ewm(s):  # from a week on, as its SQL, a self join
+    return _ewm(s.weekly.where(F.col("week") >= F.lit("2000-06-01").cast("date")))
+
+
+@query()
+def e09_ewm_whole(s):  # all weeks, so tested against pandas
+    return _ewm(s.weekly)
+
+
+def _ewm(weekly):
+    return weekly.select(*KEY, "week", F.round(series.ewm_mean("quantity", 7, KEY, "week"), 5).alias("ewm7"))
 
 
 @query("""WITH f AS (SELECT item, store, date, avg(price) AS price FROM sales GROUP BY ALL), t AS (SELECT item, store, CAST(d AS DATE) AS date FROM (SELECT DISTINCT item, store FROM sales) CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2001-01-01', TIMESTAMP '2001-06-01', INTERVAL 1 MONTH)) AS d))

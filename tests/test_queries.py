@@ -104,6 +104,15 @@ def test_ewm_equals_pandas_also_with_gaps_and_long_histories(spark):
     assert got[0] is None and np.allclose(got[1:], expected[1:], rtol=1e-12)
 
 
+def test_ewm_query_covers_the_whole_history(spark, con):
+    weekly = con.execute("SELECT p_brand AS item, s_nationkey AS store, CAST(date_trunc('week', CAST(l_shipdate AS DATE)) AS DATE) AS week, sum(l_quantity)::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL ORDER BY ALL").df()
+    expected = weekly.groupby(["item", "store"])["quantity"].transform(lambda q: q.ewm(span=7).mean().shift(1))
+    got = QUERIES["e09_ewm_whole"](spark, FOLDER).toPandas().astype({"week": "datetime64[us]"})
+    both = weekly.assign(expected=expected, week=weekly["week"].astype("datetime64[us]")).merge(got, on=["item", "store", "week"])
+    assert len(both) == len(weekly) == len(got)
+    assert np.allclose(both["ewm7"].astype(float), both["expected"], atol=1e-5, equal_nan=True)
+
+
 def test_item_similarity_reads_whole_sequences(spark):
     rows = [(c, (i * (c + 3)) % 11, dt.date(2020, 1, 1) + dt.timedelta(i), i) for c, n in ((1, 400), (2, 64), (3, 2), (4, 1)) for i in range(n)]
     got = ranking.item_similarity(spark.createDataFrame(rows, "cust int, art int, day date, receipt int"), 50)
