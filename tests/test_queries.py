@@ -113,6 +113,13 @@ def test_ewm_query_covers_the_whole_history(spark, con):
     assert np.allclose(both["ewm7"].astype(float), both["expected"], atol=1e-5, equal_nan=True)
 
 
+def test_daily_demand_covers_all_keys_up_to_the_last_day(spark, con):
+    keys, last = con.execute("SELECT count(DISTINCT (p_brand, s_nationkey)), CAST(max(l_shipdate) AS DATE) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey").fetchone()
+    got = QUERIES["m26_daily_demand"](spark, FOLDER).toPandas()
+    assert len(got.drop_duplicates(["item", "store"])) == keys and got["date"].max() == last
+    assert len(got) == keys * ((last - dt.date(2001, 7, 15)).days + 1)
+
+
 def test_item_similarity_reads_whole_sequences(spark):
     rows = [(c, (i * (c + 3)) % 11, dt.date(2020, 1, 1) + dt.timedelta(i), i) for c, n in ((1, 400), (2, 64), (3, 2), (4, 1)) for i in range(n)]
     got = ranking.item_similarity(spark.createDataFrame(rows, "cust int, art int, day date, receipt int"), 50)
