@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 #: Text that one numpy batch holds at a time.
 BATCH_BYTES = 1 << 20
 #: Text of a block, the unit in which per-document work meets corpus-wide tables.
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 8 << 20
 
 _own_root: list[str] = []
 #: While a table is written: what was shuffled to make it isn't needed after, and Python gets rows in small batches.
@@ -29,20 +32,46 @@ _WRITING = {
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="shelfwise-"))
     return _own_root[0]
 
 
-def shared_table(df: DataFrame) -> DataFrame:
+_scopes = threading.local()
+
+
+def _where(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def passing_tables(spark: SparkSession):
+    """Tables that shared_table writes inside go at the end, but for those written with ``keep``."""
+    outer, own = getattr(_scopes, "open", None), []
+    _scopes.open = own
+    try:
+        yield
+    finally:
+        _scopes.open = outer
+        for path in own:
+            where, store = _where(spark, path)
+            store.delete(where, True)
+
+
+def shared_table(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs no recomputation, and lets
-    later steps read only the columns they need.  The files go when Spark ends.
+    later steps read only the columns they need.  The files go when Spark ends,
+    or with the passing_tables block in which they were written unless to be
+    kept.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/shelfwise-{uuid.uuid4().hex}"
@@ -54,9 +83,10 @@ def shared_table(df: DataFrame) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, store = _where(spark, path)
+    store.deleteOnExit(where)
+    if not keep and getattr(_scopes, "open", None) is not None:
+        _scopes.open.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,10 +127,92 @@ def restored_id(df: DataFrame, id_col: str) -> Column:
     return column.cast(kind).alias(id_col)
 
 
-def block_count(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """How many blocks of about block_bytes hold all texts."""
-    total = df.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + F.lit(16))).first()[0] or 0
-    return max(1, -(-total // block_bytes))
+_CODEC = "zstd"
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec(_CODEC).compress(data, asbytes=True)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return pa.Codec(_CODEC).decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
+def packed_blocks(rows: DataFrame, numbers: dict[str, str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A table of blocks: (block, n, text_bytes, _text, *numbers), one row for some documents read one after the other.
+
+    ``rows`` has the texts as binary column _text and columns of numbers, given
+    with their numpy types; all are packed and compressed.  A block holds at
+    most about ``block_bytes`` of text, a longer text is one by itself.
+    Documents stay where they are read, so nothing is shuffled and equal rows
+    are dealt like any others.
+    """
+
+    def packed(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        texts = [bytes(x) for p in parts for x in p["_text"]]
+        out = {"n": [len(texts)], "text_bytes": [sum(map(len, texts))], "_text": [squeezed(byte_lengths(texts).tobytes() + b"".join(texts))]}
+        for c, kind in numbers.items():
+            out[c] = [squeezed(np.concatenate([p[c].to_numpy(kind) for p in parts]).tobytes())]
+        return pd.DataFrame(out)
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches:
+            a = 0
+            for i, n in enumerate(byte_lengths(pdf["_text"]).tolist()):
+                if size and size + n + 16 > block_bytes:
+                    yield packed([*held, pdf[a:i]])
+                    held, size, a = [], 0, i
+                size += n + 16
+            held.append(pdf[a:])
+        if size:
+            yield packed(held)
+
+    made = rows.select("_text", *numbers).mapInPandas(gather, "n long, text_bytes long, _text binary" + "".join(f", {c} binary" for c in numbers))
+    return shared_table(made.withColumn("block", F.monotonically_increasing_id()))
+
+
+def block_texts(row) -> list[bytes]:
+    """The texts of one row of packed_blocks."""
+    raw, n = unsqueezed(row["_text"]), int(row["n"])
+    ends = np.cumsum(np.frombuffer(raw, np.int64, n)) + 8 * n
+    return [raw[a:b] for a, b in zip([8 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
+
+
+def block_numbers(row, column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(unsqueezed(row[column]), kind)
+
+
+class Exchange:
+    """How blocks and shards meet in two steps, each task with about the square root of the blocks.
+
+    A block sends to ``side`` coarse shards; those of a group of blocks are
+    combined, and only then go to the shards below each coarse one.  Answers
+    come back the same way.  So there are about blocks ** 1.5 messages, each a
+    packed range of keys, and no task holds more than those of one group and
+    one coarse shard, or of one shard and all groups.
+    """
+
+    def __init__(self, blocks: int, shards: int):
+        self.shards = max(1, shards)
+        self.side = max(1, round(max(1, blocks) ** 0.5))
+
+    def group(self, block: int) -> int:
+        return int(mixed(np.array([block], np.uint64), 41)[0] % np.uint64(self.side))
+
+    def shard(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes % np.uint64(self.shards)).astype(np.int64)
+
+    def coarse(self, shard: np.ndarray) -> np.ndarray:
+        return shard % self.side
+
+
+def parts_by(place: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(p, rows) of each p in 0..count-1 that ``place`` holds; rows keep their order."""
+    order = np.argsort(place, kind="stable")
+    edge = np.searchsorted(place[order], np.arange(count + 1))
+    for p in np.flatnonzero(np.diff(edge)):
+        yield int(p), order[edge[p] : edge[p + 1]]
 
 
 def block_of(blocks: int, *by: str) -> Column:
@@ -183,9 +295,9 @@ class Words:
 def pack_rising(values: np.ndarray) -> bytes:
     """int64 values in few bytes if they mostly rise slowly."""
     steps = np.diff(values, prepend=np.int64(0))
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return squeezed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpack_rising(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(unsqueezed(blob), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())

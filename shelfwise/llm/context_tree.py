@@ -7,10 +7,12 @@ Krichevsky-Trofimov probability of what it saw, and the weighted probability
 
     P_w = 1/2 * P_kt + 1/2 * product of P_w over its children (one byte more)
 
-with P_w = P_kt at the largest depth.  A trained tree predicts a bit by mixing
-the KT estimates of all depths along the context; the share of a node is its
-posterior weight ``P_kt / (P_kt + product of children)``.  A context that was
-never seen has no node: the mixture stops at the deepest node that exists.
+with P_w = P_kt at the largest depth.  The probability of a next bit is the
+ratio of P_w of the root with and without it.  That is a mixture of the KT
+estimates of all depths along the context, in which the share of a node is its
+posterior weight ``P_kt / (P_kt + product of children)`` and what lies below
+has the rest.  A context never seen has KT estimates of 1/2 like any node
+without counts.
 
 Rows are (key, count) where the key packs ``c1 c2 c3 c4 c5 symbol`` into six
 bytes, so that equal prefixes are equal contexts.  Symbol 0xFF, which UTF-8
@@ -100,13 +102,13 @@ def shorten(key: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Subtree:
-    """All nodes of depths 2 to DEPTH below some two-byte contexts.
+    """All nodes of depths TOP to DEPTH below some contexts of TOP bytes.
 
     ``key`` are distinct and sorted; a count of 0 marks a key that is asked
     for but was not seen in training.
     """
 
-    TOP = 2
+    TOP = 3
 
     def __init__(self, key: np.ndarray, count: np.ndarray):
         self.levels: dict[int, _Level] = {DEPTH: _Level(key, count.astype(np.float64))}
@@ -128,23 +130,23 @@ class Subtree:
             self.log_weighted[depth], self.stays[depth] = lw, stays
 
     def summary(self) -> dict[str, np.ndarray]:
-        """One row per seen node of depth 2: c1, node (1 and the bit prefix), counts, log P_w."""
-        top, out = self.levels[self.TOP], {k: [] for k in ("c1", "node", "zeros", "ones", "lw")}
+        """One row per seen node of one byte less than TOP: context, node (1 and the bit prefix), counts and log P_w of the children."""
+        top, found = self.levels[self.TOP], []
         for bit in range(8):
             key = top.key[top.first[bit]]
-            seen = top.zeros[bit] + top.ones[bit] > 0
-            out["c1"].append((key >> np.uint64(16)).astype(np.int64)[seen])
-            out["node"].append(((1 << bit) | ((key & np.uint64(255)).astype(np.int64) >> (8 - bit)))[seen])
-            out["zeros"].append(top.zeros[bit][seen])
-            out["ones"].append(top.ones[bit][seen])
-            out["lw"].append(self.log_weighted[self.TOP][bit][seen])
-        return {k: np.concatenate(v) for k, v in out.items()}
+            node = (1 << bit) | ((key & np.uint64(255)).astype(np.int64) >> (8 - bit))
+            found.append(np.stack([(key >> np.uint64(16)).astype(np.int64) << 8 | node, top.zeros[bit], top.ones[bit], self.log_weighted[self.TOP][bit]]))
+        code, zeros, ones, lw = np.concatenate(found, 1) if found else np.zeros((4, 0))
+        seen = zeros + ones > 0
+        distinct, where = np.unique(code[seen].astype(np.int64), return_inverse=True)
+        total = lambda x: np.bincount(where, x[seen], len(distinct))
+        return {"code": distinct, "zeros": total(zeros), "ones": total(ones), "lw": total(lw)}
 
     def log10(self, top: "Top") -> np.ndarray:
         """log10 probability of each key's symbol after its context."""
         key = self.levels[DEPTH].key
         symbol = (key & np.uint64(255)).astype(np.int64)
-        c1 = (key >> np.uint64(8 * DEPTH)).astype(np.int64)
+        context = (key >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)  # c1 c2
         index, at = {DEPTH: np.arange(len(key))}, np.arange(len(key))
         for depth in range(DEPTH, self.TOP, -1):
             at = self.parent[depth][at]
@@ -152,39 +154,46 @@ class Subtree:
         out = np.zeros(len(key))
         for bit in range(8):
             one = (symbol >> (7 - bit)) & 1
-            q = seen = None
+            q = None
             for depth in range(DEPTH, self.TOP - 1, -1):
                 level = self.levels[depth]
                 run = level.run[bit][index[depth]]
                 zeros, ones = level.zeros[bit][run], level.ones[bit][run]
                 kt = (np.where(one == 1, ones, zeros) + 0.5) / (zeros + ones + 1)
-                q = kt if q is None else np.where(seen, self.stays[depth][bit][run] * kt + (1 - self.stays[depth][bit][run]) * q, kt)
-                seen = zeros + ones > 0
-            node = (1 << bit) | (symbol >> (8 - bit))
-            out += np.log10(top.mix(c1, node, one, q, seen))
+                q = kt if q is None else self.stays[depth][bit][run] * kt + (1 - self.stays[depth][bit][run]) * q
+            out += np.log10(top.mix(context, (1 << bit) | (symbol >> (8 - bit)), one, q))
         return out
 
 
+def _posterior(kt: np.ndarray, children: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(children - kt, -700, 700)))
+
+
 class Top:
-    """Depths 0 and 1, at most 256 * 255 + 255 nodes: summed on the driver, sent to every task."""
-
-    def __init__(self, c1: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, lw: np.ndarray):
-        self.zeros, self.ones, children = (np.zeros((256, 256)) for _ in range(3))
-        for table, values in ((self.zeros, zeros), (self.ones, ones), (children, lw)):
-            np.add.at(table, (c1, node), values)
-        kt = log_kt(self.zeros, self.ones)
-        self.stays = 1 / (1 + np.exp(np.clip(children - kt, -700, 700)))
-        weighted = np.logaddexp(kt, children) - LOG2
-        weighted[self.zeros + self.ones == 0] = 0
-        self.zeros0, self.ones0 = self.zeros.sum(0), self.ones.sum(0)
-        self.stays0 = 1 / (1 + np.exp(np.clip(weighted.sum(0) - log_kt(self.zeros0, self.ones0), -700, 700)))
-
-    def mix(self, c1, node, one, q, seen):
-        for zeros, ones, stays in (
-            (self.zeros[c1, node], self.ones[c1, node], self.stays[c1, node]),
-            (self.zeros0[node], self.ones0[node], self.stays0[node]),
-        ):
-            kt = (np.where(one == 1, ones, zeros) + 0.5) / (zeros + ones + 1)
-            q = np.where(seen, stays * kt + (1 - stays) * q, kt)
-            seen = zeros + ones > 0
+    """Depths 0 to 2, summed on the driver and sent to every task: at most 65,536 contexts of 255 nodes, of which text uses few."""
+
+    def __init__(self, code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, lw: np.ndarray):
+        order = np.argsort(code)
+        self.code, zeros, ones, lw = code[order], zeros[order], ones[order], lw[order]
+        # a last row stands for nodes that were never seen
+        self.levels = []
+        place = self.code
+        for depth in (2, 1, 0):
+            kt = log_kt(zeros, ones)
+            add = lambda x, last: np.append(x, last)
+            self.levels.append((place, add(zeros, 0.0), add(ones, 0.0), add(_posterior(kt, lw), 0.5)))
+            weighted = np.logaddexp(kt, lw) - LOG2
+            if depth:
+                shorter = (place >> 16 << 8 | place & 255) if depth == 2 else place & 255  # without the oldest byte
+                place, where = np.unique(shorter, return_inverse=True)
+                total = lambda x, where=where, n=len(place): np.bincount(where, x, n)
+                zeros, ones, lw = total(zeros), total(ones), total(weighted)
+
+    def mix(self, context: np.ndarray, node: np.ndarray, one: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """``q``, the mixture of the depths below, mixed with depths 2, 1 and 0; ``context`` is c1 c2."""
+        for (place, zeros, ones, stays), code in zip(self.levels, (context << 8 | node, context >> 8 << 8 | node, node), strict=True):
+            at = np.searchsorted(place, code)
+            at[at < len(place)] = np.where(place[at[at < len(place)]] == code[at < len(place)], at[at < len(place)], len(place))
+            kt = (np.where(one == 1, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1)
+            q = stays[at] * kt + (1 - stays[at]) * q
         return q

@@ -1,18 +1,20 @@
 """Language-model scores of all documents: context-tree weighting, and a word baseline.
 
 The counts a context tree needs are those of its longest contexts with their
-next byte; word counts serve the baseline.  Documents are dealt to blocks of
-bounded size.  A block counts its own keys once and sends them, packed, to the
-shards that add up the counts of all blocks.  From the sums the tree is built
-below each pair of context bytes; the two depths above are added up on the
-driver (at most 65,535 nodes).  Each key then has one log probability, which
-goes back to the blocks that asked for it, and documents are scored block by
-block.  Nothing that grows with the corpus is broadcast or collected.
+next byte; word counts serve the baseline.  Documents are packed into blocks of
+bounded size where they are read.  A block counts its own keys once and sends
+them, packed, to shards of the keys, in two steps (Exchange).  A shard holds
+whole contexts of three bytes and builds the tree below them; the depths above
+are added up on the driver (at most 65,536 two-byte contexts of 255 nodes, some
+thousand contexts in practice).  Each key then has one log probability, which
+goes back the same way to the blocks that asked for it, and documents are
+scored block by block.  Nothing that grows with the corpus is broadcast or
+collected.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import context_tree as tree
-from .common import BLOCK_BYTES, Words, block_count, block_of, byte_lengths, guarded_id, mixed, restored_id, runs, shared_table, text_bytes
+from .common import (
+    BLOCK_BYTES, Exchange, Words, block_numbers, block_texts, byte_lengths, guarded_id, mixed, packed_blocks, parts_by, passing_tables, restored_id, runs, shared_table, squeezed, text_bytes, unsqueezed,
+)
 
 #: One part in FOLDS is held out: the documents whose id, as text, has this remainder of its crc32.
 FOLDS, HELD_OUT = 5, 1
-#: Groups of two-byte contexts in which the tree is built.
-CONTEXT_GROUPS = 64
 _END_WORD = np.uint64(0x5EEDED0FF1CE0001)
 GRAM, WORD = 0, 1
 #: Slots of the table by which a block finds its keys.
@@ -33,22 +35,22 @@ _SLOT_BITS = 22
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct uint64 values: differences, byte planes, deflated."""
+    """Sorted distinct uint64 values: differences, byte planes, compressed."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return squeezed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpack_keys(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(unsqueezed(blob), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def pack_array(values: np.ndarray) -> bytes:
-    return zlib.compress(values.tobytes(), 1)
+    return squeezed(values.tobytes())
 
 
 def unpack_array(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), kind)
+    return np.frombuffer(unsqueezed(blob), kind)
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,156 +87,154 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tree.keys_of(data, starts, ends), ends - starts, words, w.count + 1
 
 
+_KINDS = {GRAM: np.float64, WORD: np.int64}
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte).
 
     Learns from the documents that aren't held out and scores all, by whole
     texts with A-Z lowered (NULL: empty; a NULL id is never held out).  Scores
-    are log10 probabilities, of the text and its end.  Repeated rows are
-    learnt from and scored each; an empty table gives no rows; other columns
-    are not read.  Without any training document all counts are 0 and N is 0;
-    base_score is then that of a uniform guess and score that of KT estimates
-    without counts.
+    are log10 probabilities, of the text and its end.  The id must be an
+    integer.  Repeated rows are learnt from and scored each; an empty table
+    gives no rows; other columns are not read.  Without any training document
+    all counts are 0 and N is 0; base_score is then that of a uniform guess and
+    score that of KT estimates without counts, 1/2 for each bit.
     """
-    spark = df.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
-    rows = df.select(guarded_id(df, id_col), held.alias("_held"), text_bytes(text).alias("_text"))
-    blocks = block_count(df, text, block_bytes)
-    rows = rows.withColumn("_block", block_of(blocks, "_id", "_text"))
-    shards = blocks
+    rows = df.select(guarded_id(df, id_col), held.cast("int").alias("_held"), text_bytes(text).alias("_text"))
+    with passing_tables(df.sparkSession):
+        scored, n_train = _scored(rows, block_bytes)
+        scored = shared_table(scored, keep=True)
+    return scored.select(
+        restored_id(df, id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes",
+        F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+    )
 
-    def shard_of(kind: int, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys, 3 + kind) % np.uint64(shards)).astype(np.int64)
 
-    def lowered(pdf: pd.DataFrame) -> list[bytes]:
-        return [bytes(x).lower() for x in pdf["_text"]]
+def _scored(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    spark = rows.sparkSession
+    blocks = packed_blocks(rows, {"_id": "int64", "_held": "int8"}, block_bytes)
+    number = blocks.count()
+    meet = Exchange(number, number)
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts, train = lowered(pdf), ~pdf["_held"].to_numpy(bool)
-        keys: dict[int, list] = {GRAM: [], WORD: []}
-        counts: dict[int, list] = {GRAM: [], WORD: []}
-        for a, b in runs(byte_lengths(texts)):
-            grams, per_text, words, per_words = _keys(texts[a:b])
-            for kind, values, per in ((GRAM, grams, per_text), (WORD, words, per_words)):
-                learnt = np.repeat(train[a:b], per)
-                for part, weight in ((values[learnt], 1), (values[~learnt], 0)):
-                    key, n = np.unique(part, return_counts=True)
-                    keys[kind].append(key)
-                    counts[kind].append(n * weight)
-        out = []
-        for kind in keys:
-            key, n = summed(keys[kind], counts[kind])
-            to = shard_of(kind, key)
-            order = np.argsort(to, kind="stable")
-            edge = np.searchsorted(to[order], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(edge)):
-                own = order[edge[s] : edge[s + 1]]
-                out.append((int(s), pdf["_block"].iloc[0], kind, pack_keys(key[own]), pack_array(n[own].astype(np.uint32))))
-        return pd.DataFrame(out, columns=["shard", "block", "kind", "keys", "counts"])
-
-    sent = shared_table(rows.groupBy("_block").applyInPandas(count, "shard int, block int, kind int, keys binary, counts binary"))
-
-    def merged(pdf: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    def shard_of(kind: int, keys: np.ndarray) -> np.ndarray:
+        return meet.shard(mixed(keys >> np.uint64(8 * (tree.DEPTH + 1 - tree.Subtree.TOP)) if kind == GRAM else keys, 3 + kind))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                texts, train = [t.lower() for t in block_texts(row)], block_numbers(row, "_held", "int8") == 0
+                keys: dict[int, list] = {GRAM: [], WORD: []}
+                counts: dict[int, list] = {GRAM: [], WORD: []}
+                for a, b in runs(byte_lengths(texts)):
+                    grams, per_text, words, per_words = _keys(texts[a:b])
+                    for kind, values, per in ((GRAM, grams, per_text), (WORD, words, per_words)):
+                        learnt = np.repeat(train[a:b], per)
+                        for part, weight in ((values[learnt], 1), (values[~learnt], 0)):
+                            key, n = np.unique(part, return_counts=True)
+                            keys[kind].append(key)
+                            counts[kind].append(n * weight)
+                out = []
+                for kind in keys:
+                    key, n = summed(keys[kind], counts[kind])
+                    for c, own in parts_by(meet.coarse(shard_of(kind, key)), meet.side):
+                        out.append((meet.group(row["block"]), c, row["block"], kind, pack_keys(key[own]), pack_array(n[own].astype(np.uint32))))
+                yield pd.DataFrame(out, columns=["grp", "coarse", "block", "kind", "keys", "counts"])
+
+    sent = shared_table(blocks.mapInPandas(count, "grp int, coarse int, block long, kind int, keys binary, counts binary"))
+
+    def merged(pdf: pd.DataFrame, kind: int, dtype) -> tuple[np.ndarray, np.ndarray]:
         own = pdf[pdf["kind"] == kind]
-        return summed([unpack_keys(x) for x in own["keys"]], [unpack_array(x, np.uint32).astype(np.int64) for x in own["counts"]])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, out = pdf["shard"].iloc[0], []
-        key, n = merged(pdf, GRAM)
-        group = (mixed(key >> np.uint64(8 * (tree.DEPTH - 1)), 5) % np.uint64(CONTEXT_GROUPS)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(CONTEXT_GROUPS + 1))
-        for g in np.flatnonzero(np.diff(edge)):
-            own = order[edge[g] : edge[g + 1]]
-            out.append((int(g), shard, pack_keys(key[own]), pack_array(n[own]), 0, 0))
-        key, n = merged(pdf, WORD)
-        out.append((-1, shard, None, None, int(n.sum()), int((n > 0).sum())))
-        return pd.DataFrame(out, columns=["group", "shard", "keys", "counts", "tokens", "types"])
-
-    sums = shared_table(sent.groupBy("shard").applyInPandas(merge, "group int, shard int, keys binary, counts binary, tokens long, types long"))
-    totals = sums.where("group = -1").agg(F.sum("tokens"), F.sum("types")).first()
+        return summed([unpack_keys(x) for x in own["keys"]], [unpack_array(x, dtype).astype(np.int64) for x in own["counts"]])
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The counts of a group of blocks and a coarse shard, by shard."""
+        g, c, out = pdf["grp"].iloc[0], pdf["coarse"].iloc[0], []
+        for kind in (GRAM, WORD):
+            key, n = merged(pdf, kind, np.uint32)
+            for s, own in parts_by(shard_of(kind, key) // meet.side, meet.shards // meet.side + 1):
+                out.append((g, c, s * meet.side + c, kind, pack_keys(key[own]), pack_array(n[own])))
+        return pd.DataFrame(out, columns=["grp", "coarse", "shard", "kind", "keys", "counts"])
+
+    asked = shared_table(sent.groupBy("grp", "coarse").applyInPandas(combine, "grp int, coarse int, shard int, kind int, keys binary, counts binary"))
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, n = merged(pdf, GRAM, np.int64)
+        _, words = merged(pdf, WORD, np.int64)
+        return pd.DataFrame([(pdf["shard"].iloc[0], pack_keys(key), pack_array(n), int(words.sum()), int((words > 0).sum()))], columns=["shard", "keys", "counts", "tokens", "types"])
+
+    sums = shared_table(asked.groupBy("shard").applyInPandas(total, "shard int, keys binary, counts binary, tokens long, types long"))
+    totals = sums.agg(F.sum("tokens"), F.sum("types")).first()
     n_train, n_types = int(totals[0] or 0), int(totals[1] or 0)
 
-    def subtree(pdf: pd.DataFrame) -> tuple[tree.Subtree, np.ndarray, np.ndarray]:
-        keys = [unpack_keys(x) for x in pdf["keys"]]
-        key = np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
-        n = np.concatenate([unpack_array(x, np.int64) for x in pdf["counts"]])
-        return tree.Subtree(key[order], n[order]), order, np.repeat(pdf["shard"].to_numpy(np.int64), [len(x) for x in keys])
-
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(subtree(pdf)[0].summary())
-
-    grams = sums.where("group >= 0").select("group", "shard", "keys", "counts")
-    nodes = grams.groupBy("group").applyInPandas(summary, "c1 long, node long, zeros double, ones double, lw double")
-    upper = nodes.groupBy("c1", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("lw").alias("lw"))
-    upper = upper.orderBy("c1", "node").toPandas()  # at most 256 * 255 rows
-    top = spark.sparkContext.broadcast(tree.Top(*[upper[c].to_numpy() for c in ("c1", "node", "zeros", "ones", "lw")]))
-
-    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        built, order, shard = subtree(pdf)
-        key, value, shard = built.levels[tree.DEPTH].key, built.log10(top.value).astype(np.float32), shard[order]
-        by = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[by], np.arange(shards + 1))
-        out = []
-        for s in np.flatnonzero(np.diff(edge)):
-            own = by[edge[s] : edge[s + 1]]
-            out.append((int(s), pack_keys(key[own]), pack_array(value[own])))
-        return pd.DataFrame(out, columns=["shard", "keys", "values"])
+    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for keys, counts in zip(pdf["keys"], pdf["counts"], strict=True):
+                yield pd.DataFrame(tree.Subtree(unpack_keys(keys), unpack_array(counts, np.int64)).summary())
 
-    predicted = grams.groupBy("group").applyInPandas(predict, "shard int, keys binary, values binary")
+    nodes = sums.select("keys", "counts").mapInPandas(summary, "code long, zeros double, ones double, lw double")
+    upper = nodes.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "lw")]).toPandas()  # at most 65,536 * 255 rows
+    top = spark.sparkContext.broadcast(tree.Top(*[upper[c].to_numpy() for c in ("code", "zeros", "ones", "lw")]))
 
     def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame(columns=["block", "shard", "kind", "keys", "values"])
-        keys = np.concatenate([unpack_keys(x) for x in known["keys"]])
-        values = np.concatenate([unpack_array(x, np.float32) for x in known["values"]])
-        order = np.argsort(keys, kind="stable")
-        keys, values = keys[order], values[order]
-        words, counts = merged(asked, WORD)
+        """To each group, what its keys have: a log10 probability, a word its count."""
         out = []
-        for block, kind, blob in zip(asked["block"], asked["kind"], asked["keys"], strict=True):
-            key = unpack_keys(blob)
-            found = values[np.searchsorted(keys, key)] if kind == GRAM else counts[np.searchsorted(words, key)]
-            out.append((block, asked["shard"].iloc[0], kind, blob, pack_array(found)))
-        return pd.DataFrame(out, columns=["block", "shard", "kind", "keys", "values"])
+        if len(asked):
+            built = tree.Subtree(unpack_keys(known["keys"].iloc[0]), unpack_array(known["counts"].iloc[0], np.int64))
+            table = {GRAM: (built.levels[tree.DEPTH].key, built.log10(top.value)), WORD: merged(asked, WORD, np.int64)}
+            for g, c, kind, blob in zip(asked["grp"], asked["coarse"], asked["kind"], asked["keys"], strict=True):
+                keys, values = table[kind]
+                out.append((g, c, kind, blob, pack_array(values[np.searchsorted(keys, unpack_keys(blob))])))
+        return pd.DataFrame(out, columns=["grp", "coarse", "kind", "keys", "values"])
 
     answers = shared_table(
-        sent.groupBy("shard").cogroup(predicted.groupBy("shard")).applyInPandas(answer, "block int, shard int, kind int, keys binary, values binary")
+        asked.groupBy("shard").cogroup(sums.select("shard", "keys", "counts").groupBy("shard")).applyInPandas(answer, "grp int, coarse int, kind int, keys binary, values binary")
     )
 
+    def found(back: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        own = back[back["kind"] == kind]
+        keys = np.concatenate([np.zeros(0, np.uint64), *[unpack_keys(x) for x in own["keys"]]])
+        values = np.concatenate([np.zeros(0, _KINDS[kind]), *[unpack_array(x, _KINDS[kind]) for x in own["values"]]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], values[order]
+
+    def spread(asked: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        """A group's answers, to each block what it asked for."""
+        table, out = {kind: found(back, kind) for kind in _KINDS}, []
+        for block, kind, blob in zip(asked["block"], asked["kind"], asked["keys"], strict=True):
+            keys, values = table[kind]
+            out.append((block, kind, blob, pack_array(values[np.searchsorted(keys, unpack_keys(blob))])))
+        return pd.DataFrame(out, columns=["block", "kind", "keys", "values"])
+
+    to_blocks = shared_table(sent.groupBy("grp", "coarse").cogroup(answers.groupBy("grp", "coarse")).applyInPandas(spread, "block long, kind int, keys binary, values binary"))
+
     def apply(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         names = ["_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"]
         if not len(docs):
             return pd.DataFrame(columns=names)
-        found = {}
-        for kind, dtype in ((GRAM, np.float32), (WORD, np.int64)):
-            own = back[back["kind"] == kind]
-            keys, values = np.concatenate([unpack_keys(x) for x in own["keys"]]), np.concatenate([unpack_array(x, dtype) for x in own["values"]])
-            order = np.argsort(keys, kind="stable")
-            found[kind] = Lookup(keys[order]), values[order]
-        texts, parts = lowered(docs), []
+        row, look = docs.iloc[0], {}
+        for kind in _KINDS:
+            keys, values = found(back, kind)
+            look[kind] = Lookup(keys), values
+        texts, parts = [t.lower() for t in block_texts(row)], []
         for a, b in runs(byte_lengths(texts)):
             grams, per_text, words, per_words = _keys(texts[a:b])
-            look, values = found[GRAM]
-            ends = np.cumsum(per_text)
-            scores = np.add.reduceat(values[look(grams)].astype(np.float64), ends - per_text)
-            look, counts = found[WORD]
-            c = counts[look(words)]
+            at, values = look[GRAM]
+            scores = np.add.reduceat(values[at(grams)], np.cumsum(per_text) - per_text)
+            at, counts = look[WORD]
+            c = counts[at(words)]
             starts = np.cumsum(per_words) - per_words
             base = np.add.reduceat(np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1))), starts)
             parts.append(pd.DataFrame({"n_tokens": per_words, "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "base_score": base, "score": scores, "n_bytes": per_text - 1}))
         out = pd.concat(parts, ignore_index=True)
-        out["_id"], out["held_out"] = docs["_id"].to_numpy(), docs["_held"].to_numpy()
+        out["_id"], out["held_out"] = block_numbers(row, "_id", "int64"), block_numbers(row, "_held", "int8") == 1
         return out[names]
 
-    scored = rows.groupBy("_block").cogroup(answers.groupBy("block")).applyInPandas(
+    scored = blocks.groupBy("block").cogroup(to_blocks.groupBy("block")).applyInPandas(
         apply, "_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
     )
-    return scored.select(
-        restored_id(df, id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes",
-        F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
-    )
+    return scored, n_train
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -1,27 +1,33 @@
 """Removal of repeated word windows behind a count-min prefilter.
 
-Documents are dealt to blocks of bounded size.  Each block counts its windows
-in the rows of a count-min sketch and sends the cells it touched, packed, to
-the tasks that hold those cells; merged there, the counts can only be too high.
-Each block gets back one bit per cell it touched: seen twice or more, or not.
-The second pass sends only windows whose cells are all repeated, with a 96-bit
-hash, to be grouped exactly; what comes back are the windows that are later copies.
-
-The sketch grows with the input and is never held in one place, and nothing is
+Documents are packed into blocks of bounded size where they are read.  Each
+block counts its windows in the rows of a count-min sketch and sends the cells
+it touched, packed, to the tasks that hold those cells; merged there, the counts
+can only be too high.  Each block gets back one bit per cell it touched: seen
+twice or more, or not.  The second pass sends only windows whose cells are all
+repeated, with a 96-bit hash, to be grouped exactly; what comes back are the
+windows that are later copies.
+
+Both ways go in two steps (Exchange): a group of blocks is merged before it
+meets the others, so messages don't grow with the square of the blocks.  The
+sketch grows with the input and is never held in one place, and nothing is
 broadcast.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Words, block_count, block_of, byte_lengths, guarded_id, mixed, pack_rising, restored_id, runs, shared_table, text_bytes, unpack_rising
+from .common import (
+    BLOCK_BYTES, Exchange, Words, block_numbers, block_texts, byte_lengths, guarded_id, mixed, pack_rising, packed_blocks, parts_by, passing_tables, restored_id, runs, shared_table, squeezed, text_bytes, unpack_rising,
+    unsqueezed,
+)
 
 WIDTH = 20
 #: Rows of the sketch, and cells per window in each (at least; a power of two in all).
@@ -29,8 +35,6 @@ ROWS = 2
 CELLS = 4
 #: Cells of the sketch that one task merges.
 SHARD_CELLS = 1 << 24
-#: Windows that one task groups exactly.
-SHARD_WINDOWS = 1 << 20
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -38,11 +42,11 @@ def pack_sorted(values: np.ndarray) -> bytes:
     steps = np.diff(values, prepend=np.uint64(0))
     small = np.minimum(steps, np.uint64(255)).astype(np.uint8)
     large = steps[small == 255]
-    return zlib.compress(np.uint64(len(values)).tobytes() + small.tobytes() + large.tobytes(), 1)
+    return squeezed(np.uint64(len(values)).tobytes() + small.tobytes() + large.tobytes())
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    raw = zlib.decompress(blob)
+    raw = unsqueezed(blob)
     n = int(np.frombuffer(raw[:8], np.uint64)[0])
     small = np.frombuffer(raw, np.uint8, n, 8)
     steps = small.astype(np.uint64)
@@ -64,21 +68,18 @@ def _among(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return out
 
 
-def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    """The rows of a block by id and text, and which distinct document each is."""
-    pdf = pdf.sort_values(["_id", "_print"], kind="stable").reset_index(drop=True)
-    same = pdf["_id"].eq(pdf["_id"].shift()) & pdf["_print"].eq(pdf["_print"].shift())
-    return pdf, (~same).cumsum().to_numpy(np.int64) - 1
-
-
 class Block:
-    """The distinct documents of a block in order, and their windows."""
-
-    def __init__(self, pdf: pd.DataFrame, width: int, wide: bool = False):
-        pdf, which = ordered(pdf)
-        self.docs = pdf[np.diff(which, prepend=-1) > 0]
-        self.texts = [bytes(x) for x in self.docs["_text"]]
-        self.keys = self.docs["_id"].to_numpy(np.int64)
+    """The distinct documents of a block in the order of id and text, and their windows."""
+
+    def __init__(self, row, width: int, wide: bool = False):
+        texts, ids, prints = block_texts(row), block_numbers(row, "_id", "int64"), block_numbers(row, "_print", "int64")
+        self.order = np.lexsort((prints, ids))
+        ids, prints = ids[self.order], prints[self.order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])
+        self.which = np.cumsum(new) - 1  # the distinct document of each row, rows in order
+        self.row_ids, self.ids, self.prints = ids, ids[new], prints[new]
+        self.texts = [texts[i] for i in self.order[new]]
         self.width = width
         doc, place, first, second = [], [], [], []
         for a, b in runs(byte_lengths(self.texts)):
@@ -88,10 +89,10 @@ class Block:
             place.append((at - w.offset[w.text[at]]).astype(np.int32))
             first.append(h)
             if wide:
-                second.append(w.windows(width, 7)[1])
+                second.append(w.windows(width, 7)[1].astype(np.uint32))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.doc, self.place, self.hash = join(doc, np.int32), join(place, np.int32), join(first, np.uint64)
-        self.hash2 = join(second, np.uint64)
+        self.hash2 = join(second, np.uint32)
 
     def cells(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct cells of the block's windows, sorted; whether two windows fall in one; each window's cell."""
@@ -100,10 +101,17 @@ class Block:
         return distinct, counts > 1, cell
 
 
-def _shards(sorted_cells: np.ndarray, bits: int, shard_bits: int) -> np.ndarray:
-    """Where each shard's cells begin, and the end."""
-    edges = np.arange((1 << shard_bits) + 1, dtype=np.uint64) << np.uint64(bits - shard_bits)
-    return np.searchsorted(sorted_cells, edges)
+def _edges(sorted_cells: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where each of 2^parts ranges of cells begins, and the end."""
+    return np.searchsorted(sorted_cells, np.arange((1 << parts) + 1, dtype=np.uint64) << np.uint64(bits - parts))
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _flags(blob: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, np.uint8), count=count).astype(bool)
 
 
 def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, with_kept: bool = False) -> DataFrame:
@@ -117,115 +125,200 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     one space.  The id must be an integer.  An empty table gives no rows; other
     columns are not read.
     """
-    rows = df.select(
-        guarded_id(df, id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_print"), text_bytes(text).alias("_text"),
-    )
-    blocks = block_count(df, text, block_bytes)
-    rows = rows.withColumn("_block", block_of(blocks, "_id", "_print"))
-    bits = max(12, int(np.ceil(np.log2(max(2, blocks * block_bytes / 6 * CELLS)))))
-    shard_bits = max(0, bits - int(np.log2(SHARD_CELLS)))
-
-    def sketch(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, out = Block(pdf, width), []
-        for row in range(ROWS):
-            cells, twice, _ = block.cells(row, bits)
-            edge = _shards(cells, bits, shard_bits)
-            for s in np.flatnonzero(np.diff(edge)):
-                a, b = edge[s], edge[s + 1]
-                out.append((row << 32 | int(s), pdf["_block"].iloc[0], pack_sorted(cells[a:b] - (np.uint64(s) << np.uint64(bits - shard_bits))), np.packbits(twice[a:b]).tobytes()))
-        return pd.DataFrame(out, columns=["shard", "block", "cells", "twice"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        count = np.zeros(1 << (bits - shard_bits), np.uint8)
+    rows = df.select(guarded_id(df, id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_print"), text_bytes(text).alias("_text"))
+    with passing_tables(df.sparkSession):
+        removed = shared_table(_removed(rows, width, block_bytes, with_kept), keep=True)
+    return removed.select(restored_id(df, id_col), "n_words", "n_removed", "kept_sha256", *([F.col("kept").cast("string").alias("kept")] if with_kept else []))
+
+
+def _removed(rows: DataFrame, width: int, block_bytes: int, with_kept: bool) -> DataFrame:
+    blocks = packed_blocks(rows, {"_id": "int64", "_print": "int64"}, block_bytes)
+    number, volume = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("text_bytes"), F.lit(0))).first()
+    meet = Exchange(number, number)
+    bits = max(12, int(np.ceil(np.log2(max(2, volume / 6 * CELLS)))))
+    coarse = max(0, int(np.ceil(np.log2(meet.side))))
+    fine = max(coarse, bits - int(np.log2(SHARD_CELLS)))
+    per = 1 << (fine - coarse)
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for packed in pdf.to_dict("records"):
+                block, number, out = Block(packed, width), packed["block"], []
+                for row in range(ROWS):
+                    cells, twice, _ = block.cells(row, bits)
+                    edge = _edges(cells, bits, coarse)
+                    for c in np.flatnonzero(np.diff(edge)):
+                        a, b = edge[c], edge[c + 1]
+                        out.append((meet.group(number), row << 32 | int(c), number, pack_sorted(cells[a:b]), _bits(twice[a:b])))
+                yield pd.DataFrame(out, columns=["grp", "coarse", "block", "cells", "twice"])
+
+    sent = shared_table(blocks.mapInPandas(sketch, "grp int, coarse long, block long, cells binary, twice binary"))
+
+    def merged(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The cells of each row, all of them, and which of those more than one window falls in."""
+        each = [unpack_sorted(x) for x in pdf["cells"]]
+        cells, where = np.unique(np.concatenate(each), return_inverse=True)
+        weight = np.concatenate([1 + _flags(t, len(x)) for t, x in zip(pdf["twice"], each, strict=True)])
+        return each, cells, np.bincount(where, weight, len(cells)) > 1
+
+    def shards(cells: np.ndarray, c: int) -> Iterator[tuple[int, slice]]:
+        edge = np.searchsorted(cells, (np.arange(per + 1, dtype=np.uint64) + np.uint64(c * per)) << np.uint64(bits - fine))
+        for s in np.flatnonzero(np.diff(edge)):
+            yield int(s), slice(edge[s], edge[s + 1])
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, c = int(pdf["grp"].iloc[0]), int(pdf["coarse"].iloc[0])
+        _, cells, twice = merged(pdf)
+        out = []
+        for s, own in shards(cells, c & 0xFFFFFFFF):
+            first = np.uint64((c & 0xFFFFFFFF) * per + s) << np.uint64(bits - fine)
+            out.append((g, c, s, pack_sorted(cells[own] - first), _bits(twice[own])))
+        return pd.DataFrame(out, columns=["grp", "coarse", "fine", "cells", "twice"])
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        count = np.zeros(1 << (bits - fine), np.uint8)
         for cells, twice in zip(pdf["cells"], pdf["twice"], strict=True):
             at = unpack_sorted(cells)
-            count[at] = np.minimum(count[at] + 1 + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at)), 2)
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "repeated": [np.packbits(count[unpack_sorted(c)] > 1).tobytes() for c in pdf["cells"]]})
+            count[at] = np.minimum(count[at] + 1 + _flags(twice, len(at)), 2)
+        return pd.DataFrame({"grp": pdf["grp"], "coarse": pdf["coarse"], "fine": pdf["fine"], "repeated": [_bits(count[unpack_sorted(c)] > 1) for c in pdf["cells"]]})
+
+    def spread(asked: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        each, cells, _ = merged(asked)
+        flags, held = np.zeros(len(cells), bool), dict(zip(back["fine"], back["repeated"], strict=True))
+        for s, own in shards(cells, int(asked["coarse"].iloc[0]) & 0xFFFFFFFF):
+            flags[own] = _flags(held[s], own.stop - own.start)
+        return pd.DataFrame({"block": asked["block"], "coarse": asked["coarse"], "repeated": [_bits(flags[np.searchsorted(cells, x)]) for x in each]})
 
-    sketches = rows.groupBy("_block").applyInPandas(sketch, "shard long, block int, cells binary, twice binary")
-    repeated = shared_table(sketches.groupBy("shard").applyInPandas(merge, "block int, shard long, repeated binary"))
+    merges = sent.groupBy("grp", "coarse").applyInPandas(combine, "grp int, coarse long, fine int, cells binary, twice binary")
+    settled = shared_table(merges.groupBy("coarse", "fine").applyInPandas(settle, "grp int, coarse long, fine int, repeated binary"))
+    repeated = shared_table(sent.groupBy("grp", "coarse").cogroup(settled.groupBy("grp", "coarse")).applyInPandas(spread, "block long, coarse long, repeated binary"))
 
-    groups = max(1, blocks * block_bytes // 6 // SHARD_WINDOWS)
+    # second pass: a message of windows has their hashes, their places (document << 32 | word) and the documents' ids and prints
+    message = ["h1", "h2", "local", "ids", "prints"]
+    kinds = ", ".join(f"{c} binary" for c in message)
 
     def candidates(docs: pd.DataFrame, bit_rows: pd.DataFrame) -> pd.DataFrame:
-        """The windows whose cells are all repeated: first ones in the block by hash group, others at once as later."""
-        names = ["block", "group", "h1", "h2", "key", "local"]
+        """The windows whose cells are all repeated: first ones in the block to be compared, others at once as later."""
+        names = ["grp", "coarse", "block", *message]
         if not len(docs):
             return pd.DataFrame(columns=names)
-        block, number, out = Block(docs, width, wide=True), docs["_block"].iloc[0], []
-        held = dict(zip(bit_rows["shard"], bit_rows["repeated"], strict=True))
+        block, number, out = Block(docs.iloc[0], width, wide=True), docs["block"].iloc[0], []
+        held = dict(zip(bit_rows["coarse"], bit_rows["repeated"], strict=True))
         at = np.arange(len(block.hash))
         for row in range(ROWS):
             cells, _, cell = block.cells(row, bits)
-            edge, flags = _shards(cells, bits, shard_bits), np.zeros(len(cells), bool)
-            for s in np.flatnonzero(np.diff(edge)):
-                a, b = edge[s], edge[s + 1]
-                flags[a:b] = np.unpackbits(np.frombuffer(held[row << 32 | int(s)], np.uint8), count=b - a)
+            edge, flags = _edges(cells, bits, coarse), np.zeros(len(cells), bool)
+            for c in np.flatnonzero(np.diff(edge)):
+                a, b = edge[c], edge[c + 1]
+                flags[a:b] = _flags(held[row << 32 | int(c)], b - a)
             at = at[_among(cells[flags], cell[at])]
         local = block.doc[at].astype(np.int64) << 32 | block.place[at]
-        _, first = np.unique(block.hash[at], return_index=True)
-        own_first = np.zeros(len(at), bool)
-        own_first[first] = True
-        out.append((number, -1, None, None, None, pack_rising(local[~own_first])))
-        at, local = at[own_first], local[own_first]
-        group = (mixed(block.hash[at], 11) % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")  # within a group by document and place
-        at, local, group = at[order], local[order], group[order]
-        edge = np.searchsorted(group, np.arange(groups + 1))
-        for g in np.flatnonzero(np.diff(edge)):
-            own = at[edge[g] : edge[g + 1]]
-            out.append((number, int(g), block.hash[own].tobytes(), block.hash2[own].astype(np.uint32).tobytes(), pack_rising(block.keys[block.doc[own]]), pack_rising(local[edge[g] : edge[g + 1]])))
+        order = np.lexsort((local, block.hash2[at], block.hash[at]))
+        h1, h2 = block.hash[at][order], block.hash2[at][order]
+        first = np.ones(len(at), bool)
+        first[order[1:]] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        out.append((-1, -1, number, None, None, pack_rising(local[~first]), None, None))
+        at, local = at[first], local[first]
+        for c, own in parts_by(meet.coarse(meet.shard(mixed(block.hash[at], 11))), meet.side):
+            w = at[own]
+            docs_here = np.unique(block.doc[w])
+            out.append((meet.group(number), c, number, squeezed(block.hash[w].tobytes()), squeezed(block.hash2[w].tobytes()), pack_rising(local[own]), squeezed(block.ids[docs_here].tobytes()), squeezed(block.prints[docs_here].tobytes())))
         return pd.DataFrame(out, columns=names)
 
-    second = shared_table(
-        rows.groupBy("_block").cogroup(repeated.groupBy("block")).applyInPandas(
-            candidates, "block int, group int, h1 binary, h2 binary, key binary, local binary"
-        )
-    )
-
-    def first_of_each(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Which windows of each blob have the same words as an earlier one."""
-        h1, h2 = [np.frombuffer(x, np.uint64) for x in pdf["h1"]], [np.frombuffer(x, np.uint32) for x in pdf["h2"]]
-        key, local = [unpack_rising(x) for x in pdf["key"]], [unpack_rising(x) for x in pdf["local"]]
-        sizes = [len(x) for x in h1]
-        block = np.repeat(pdf["block"].to_numpy(np.int64), sizes)
-        h1, h2, key, local = map(np.concatenate, (h1, h2, key, local))
-        order = np.lexsort((local, block, key, h2, h1))
+    second = shared_table(blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(candidates, f"grp int, coarse int, block long, {kinds}"))
+
+    def windows(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        """All windows of some messages, and which of them have the words of one that starts earlier."""
+        parts: dict[str, list] = {k: [] for k in ("h1", "h2", "local", "block", "id", "print")}
+        for number, h1, h2, local, ids, prints in zip(pdf["block"], *[pdf[c] for c in message], strict=True):
+            local = unpack_rising(local)
+            docs, which = np.unique(local >> 32, return_inverse=True)
+            for k, v in (("h1", np.frombuffer(unsqueezed(h1), np.uint64)), ("h2", np.frombuffer(unsqueezed(h2), np.uint32)), ("local", local), ("block", np.full(len(local), number, np.int64))):
+                parts[k].append(v)
+            for k, v in (("id", ids), ("print", prints)):
+                parts[k].append(np.frombuffer(unsqueezed(v), np.int64)[which])
+        w = {k: np.concatenate(v) for k, v in parts.items()}
+        w["place"] = w["local"] & 0xFFFFFFFF
+        keys = [w[k] for k in ("place", "print", "id", "h2", "h1")]
+        order = np.lexsort(keys)
+        new = np.ones(len(order), bool)
+        new[1:] = (w["h1"][order[1:]] != w["h1"][order[:-1]]) | (w["h2"][order[1:]] != w["h2"][order[:-1]])
+        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the earliest of the same words
         later = np.zeros(len(order), bool)
-        later[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-        ends = np.cumsum(sizes)
-        return pd.DataFrame({"block": pdf["block"], "later": [pack_rising(local[e - n : e][later[e - n : e]]) for n, e in zip(sizes, ends, strict=True)]})
-
-    exact = second.where("group >= 0").groupBy("group").applyInPandas(first_of_each, "block int, later binary")
-    exact = exact.unionByName(second.where("group = -1").select("block", F.col("local").alias("later")))
+        later[order] = np.any([w[k][order] != w[k][head] for k in ("id", "print", "place")], 0)
+        return w | {"later": later}
+
+    def by_block(w: dict[str, np.ndarray], own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The given windows by block, in the order of their places."""
+        own = own[np.lexsort((w["local"][own], w["block"][own]))]
+        edge = np.flatnonzero(np.diff(w["block"][own], prepend=-1))  # blocks count from 0
+        for a, b in zip(edge, np.append(edge[1:], len(own))[: len(edge)], strict=True):
+            yield int(w["block"][own[a]]), own[a:b]
+
+    def first_of_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Later windows within a group of blocks (shard -1), and the first ones by shard."""
+        g, c, w = pdf["grp"].iloc[0], pdf["coarse"].iloc[0], windows(pdf)
+        out = [(g, c, -1, number, None, None, pack_rising(w["local"][own]), None, None) for number, own in by_block(w, np.flatnonzero(w["later"]))]
+        first = np.flatnonzero(~w["later"])
+        for s, own in parts_by(meet.shard(mixed(w["h1"][first], 11)) // meet.side, meet.shards // meet.side + 1):
+            for number, at in by_block(w, first[own]):
+                docs, where = np.unique(w["local"][at] >> 32, return_index=True)
+                out.append((g, c, s, number, squeezed(w["h1"][at].tobytes()), squeezed(w["h2"][at].tobytes()), pack_rising(w["local"][at]), squeezed(w["id"][at][where].tobytes()), squeezed(w["print"][at][where].tobytes())))
+        return pd.DataFrame(out, columns=["grp", "coarse", "shard", "block", *message])
+
+    groups = shared_table(second.where("grp >= 0").groupBy("grp", "coarse").applyInPandas(first_of_group, f"grp int, coarse int, shard int, block long, {kinds}"))
+
+    def first_of_all(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = windows(pdf)
+        return pd.DataFrame([(number, pack_rising(w["local"][own])) for number, own in by_block(w, np.flatnonzero(w["later"]))], columns=["block", "later"])
+
+    exact = groups.where("shard >= 0").groupBy("coarse", "shard").applyInPandas(first_of_all, "block long, later binary")
+    later = exact.unionByName(second.where("grp < 0").select("block", F.col("local").alias("later"))).unionByName(groups.where("shard < 0").select("block", F.col("local").alias("later")))
 
     def remove(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         names = ["_id", "n_words", "n_removed", "kept_sha256", "kept"]
         if not len(docs):
             return pd.DataFrame(columns=names)
-        later = np.sort(np.concatenate([unpack_rising(x) for x in found["later"]])) if len(found) else np.zeros(0, np.int64)
-        docs, which = ordered(docs)
-        out, last = [], -1
-        for key, n, content in zip(docs["_id"], which, docs["_text"], strict=True):
-            if n != last:
-                w, last = bytes(content).split(), n
-                a, b = np.searchsorted(later, [n << 32, (n + 1) << 32])
-                if a == b:
-                    kept, gone = b" ".join(w), 0
-                else:
-                    edge = np.zeros(len(w) + 1, np.int32)
-                    start = later[a:b] & 0xFFFFFFFF
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + width, -1)
-                    stays = np.cumsum(edge[:-1]) == 0
-                    kept, gone = b" ".join(x for x, s in zip(w, stays.tolist(), strict=True) if s), len(w) - int(stays.sum())
-                row = (len(w), gone, hashlib.sha256(kept).hexdigest(), kept if with_kept else None)
-            out.append((key, *row))
-        return pd.DataFrame(out, columns=names)
-
-    removed = rows.groupBy("_block").cogroup(exact.groupBy("block")).applyInPandas(remove, "_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
-    return removed.select(restored_id(df, id_col), "n_words", "n_removed", "kept_sha256", *([F.col("kept").cast("string").alias("kept")] if with_kept else []))
+        later = np.sort(np.concatenate([np.zeros(0, np.int64), *[unpack_rising(x) for x in found["later"]]]))
+        block, out = Block(docs.iloc[0], width), []
+        for n, content in enumerate(block.texts):
+            w = content.split()
+            a, b = np.searchsorted(later, [n << 32, (n + 1) << 32])
+            if a == b:
+                kept, gone = b" ".join(w), 0
+            else:
+                edge = np.zeros(len(w) + 1, np.int32)
+                start = later[a:b] & 0xFFFFFFFF
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + width, -1)
+                stays = np.cumsum(edge[:-1]) == 0
+                kept, gone = b" ".join(x for x, s in zip(w, stays.tolist(), strict=True) if s), len(w) - int(stays.sum())
+            out.append((len(w), gone, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
+        return pd.DataFrame([(key, *out[n]) for key, n in zip(block.row_ids.tolist(), block.which.tolist(), strict=True)], columns=names)
+
+    return blocks.groupBy("block").cogroup(later.groupBy("block")).applyInPandas(remove, "_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     return repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+OP4_SQL = f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS} AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + {WIDTH - 1}), ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WIDTH - 2})) AS i FROM d WHERE len(ws) >= {WIDTH})
+), late AS (
+  SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {WIDTH})) AS i FROM late
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
