@@ -1,15 +1,24 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
 A source's target is a number of words.  Its documents are taken once for each
-whole multiple of its size in the target; the rest is a sample without
-replacement.  Each document draws a uniform number from its own hash and is
-ranked by
+whole multiple of the source's size in the target.  The rest is a sample without
+replacement with unequal inclusion probabilities: each is proportional to the
+document's value (its size, or its size times a stated weight), scaled so that
+the words expected are those still wanted.  Documents for which that gives 1 or
+more are certain copies and leave the sample.  Each other document draws a
+uniform number from a hash of itself and is ranked by
 
     (u / (1 - u)) / (p / (1 - p))
 
-the random odds over the odds of its inclusion probability p, and the lowest
-ranks are taken.  Ranks are summed in buckets of the rank first, so that a hot
-source is dealt over many tasks.
+the random odds over the odds of its inclusion.  A source is cut into strata of
+nearly equal size and value, and a stratum's sample has a fixed number of
+documents, its lowest ranks.  That number is the sum of its probabilities, rounded
+at random to one of its two neighbours; the words that rounding adds or leaves out
+are made up for in the strata of smaller documents, so that a source comes near
+its target and each document keeps its probability on average.
+
+The lowest ranks of a stratum are found from counts in buckets of the rank, so
+that a hot source is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -17,17 +26,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_table, text_or_empty
+from .common import WORD, passing_tables, shared_table, text_or_empty
 
 #: Weights of sources by code point, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 SEED = 17
-#: Rank buckets of a source.
+#: Rank buckets of a stratum.
 BUCKETS = 1024
-#: Documents that may be added one by one where the last rank leaves a gap.
-FILLS = 2
+#: Strata for each doubling of size, and of value.
+CLASSES = 8
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -60,79 +69,178 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     )
 
 
-def _uniform(*by: str) -> Column:
-    """A number in (0, 1) that depends on nothing but the row."""
-    return (F.pmod(F.xxhash64(F.lit(SEED), *by), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+def _uniform(*by: Column) -> Column:
+    """A number in (0, 1) from the md5 of some strings, NULL ones as empty."""
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in by]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
-    """How often each document is taken: (id, size, source, source_size, target, copies, taken, *carry).
+def _class(x: Column) -> Column:
+    return F.floor(F.log2(x) * CLASSES + F.lit(1e-9)).cast("int")
 
-    Size is the number of words (NULL text: 0).  ``weight`` may name a column
-    of non-negative document weights: the inclusion odds of a document are
-    multiplied by its weight (NULL: 1).  Documents without words are taken as
-    often as their source's whole copies.  Repeated rows draw the same number
-    and count each; a NULL source is a source of its own.  Reruns agree.
-    """
+
+def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
+    out = F.lit(True)
+    for c in names:
+        out = out & a[c].eqNullSafe(b[c])
+    return out
+
+
+def _decided(df: DataFrame, id_col: str, text: str, source: str, weight: str | None, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
+    """(_id, _print, source, size, source_size, target, inclusion, copies) of each row."""
     size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
+    value = size.cast("double") if weight is None else size * F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
     docs = df.select(
-        F.col(id_col).alias("_id"), size.alias("size"), F.col(source).alias("source"),
-        F.xxhash64(text_or_empty(text)).alias("_print"),
-        (F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)).alias("_weight"),
-        *[F.col(c).alias(f"_carry_{c}") for c in carry],
+        F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text)).alias("_print"), F.col(source).alias("source"), size.alias("size"), value.alias("_value"),
+        _uniform(F.lit(seed), F.col(id_col), F.md5(text_or_empty(text).cast("binary"))).alias("_u"),
     )
     docs = shared_table(docs.withColumn("_row", F.monotonically_increasing_id()))
     targets = shared_table(source_targets(docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, share, most))
-
-    joined = docs.join(targets, docs["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(times + F.lit(1e-12)).cast("int")
-    p = F.greatest(times - whole, F.lit(0.0))
-    odds = p / (1 - p) * F.col("_weight")
-    u = _uniform("_id", "_print", "size")
-    rank = u / (1 - u) / odds
-    drawn = joined.withColumn("_whole", whole).withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size"))
-    drawn = drawn.withColumn("_rank", F.when((p > 0) & (F.col("_weight") > 0) & (F.col("size") > 0), rank))
-    # rank/(1+rank) lies in (0, 1) and grows with the rank
-    drawn = drawn.withColumn("_bucket", F.floor(F.col("_rank") / (F.col("_rank") + 1) * BUCKETS).cast("int"))
-    drawn = shared_table(drawn)
-
-    sums = drawn.where(F.col("_rank").isNotNull()).groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))  # at most BUCKETS rows a source
-    # only the bucket in which a source's target falls needs its rows in order
-    inside = Window.partitionBy("source", "_bucket").orderBy("_rank", "_id", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    placed = drawn.join(sums.withColumnRenamed("source", "_s").withColumnRenamed("_bucket", "_b"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left").drop("_s", "_b")
-    cut = F.col("_rank").isNotNull() & (F.col("_before") <= F.col("_left")) & (F.col("_before") + F.col("_words") > F.col("_left"))
-    exact = placed.where(cut).withColumn("_upto", F.col("_before") + F.sum("size").over(inside)).withColumn("_in", F.col("_upto") <= F.col("_left")).drop("_upto")
-    rest = placed.where(~F.coalesce(cut, F.lit(False))).withColumn("_in", F.coalesce(F.col("_before") + F.col("_words") <= F.col("_left"), F.lit(False)))
-    chosen = exact.unionByName(rest).drop("_before", "_words", "_bucket")
-    for _ in range(FILLS):  # the document that best fills what is still missing, if it helps
-        chosen = shared_table(chosen)
-        gaps = chosen.groupBy("source").agg((F.max("_left") - F.sum(F.when(F.col("_in"), F.col("size")).otherwise(0))).alias("_gap"))
-        open_ = chosen.where(~F.col("_in") & F.col("_rank").isNotNull()).join(gaps.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        miss = F.abs(F.col("size") - F.col("_gap"))
-        best = open_.where(miss < F.col("_gap")).groupBy("_s").agg(F.min_by("_row", F.struct(miss, "_rank", "_row")).alias("_pick"))
-        chosen = chosen.join(best.select("_pick"), F.col("_row") == F.col("_pick"), "left").withColumn("_in", F.col("_in") | F.col("_pick").isNotNull()).drop("_pick")
-    copies = (F.col("_whole") + F.col("_in").cast("int")).alias("copies")
-    return chosen.select(
-        F.col("_id").alias(id_col), "size", "source", "source_size", "target", copies, (copies * F.col("size")).cast("long").alias("taken"),
-        *[F.col(f"_carry_{c}").alias(c) for c in carry],
+    targets = targets.withColumn("_whole", whole).withColumn("_wanted", F.greatest(times - whole, F.lit(0.0)) * F.col("source_size"))
+    open_ = (F.col("_wanted") > 0) & (F.col("size") > 0) & (F.col("_value") > 0)
+    joined = docs.join(targets, _same(docs, targets, "source")).drop(targets["source"])
+    joined = joined.withColumn("_vc", F.when(open_, _class(F.col("_value")))).withColumn("_sc", F.when(open_, _class(F.col("size"))))
+
+    # the scale c of p = c * value: classes of value from the largest on are certain as long as c would take them beyond 1
+    by_value = joined.where("_vc is not null").groupBy("source", "_vc").agg(
+        F.sum("size").alias("_words"), F.sum(F.col("_value") * F.col("size")).alias("_product"), F.max("_value").alias("_top"), F.max("_wanted").alias("_wanted")
     )
+    falling = Window.partitionBy("source").orderBy(F.col("_vc").desc())  # classes of one source
+    before = F.coalesce(F.sum("_words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    scale = (F.col("_wanted") - before) / F.sum("_product").over(falling.rowsBetween(0, Window.unboundedFollowing))
+    fits = (scale * F.col("_top") <= 1) | (before + F.col("_words") > F.col("_wanted"))
+    scales = by_value.select("source", "_vc", scale.alias("_scale"), fits.alias("_fits")).where("_fits").groupBy("source").agg(F.max(F.struct("_vc", "_scale")).alias("_s"))
+    scales = shared_table(scales.select("source", F.col("_s._vc").alias("_below"), F.col("_s._scale").alias("_scale")))
+
+    drawn = joined.join(scales, _same(joined, scales, "source"), "left").drop(scales["source"])
+    certain = F.col("_below").isNull() | (F.col("_vc") > F.col("_below")) | (F.col("_scale") * F.col("_value") >= 1)
+    drawn = drawn.withColumn("_p", F.when(F.col("_vc").isNull(), 0.0).when(certain, 1.0).otherwise(F.greatest(F.col("_scale") * F.col("_value"), F.lit(0.0))))
+    drawn = drawn.withColumn("_rank", F.when((F.col("_p") > 0) & (F.col("_p") < 1), F.col("_u") / (1 - F.col("_u")) / (F.col("_p") / (1 - F.col("_p")))))
+    # rank / (1 + rank) lies in (0, 1) and grows with the rank
+    drawn = shared_table(drawn.withColumn("_bucket", F.floor(F.col("_rank") / (F.col("_rank") + 1) * BUCKETS).cast("int")))
+
+    # how many documents each stratum gives, and the bucket in which the last of them is
+    strata = ["source", "_sc", "_vc"]
+    part = F.col("_p") * F.col("size")
+    counts = shared_table(drawn.where("_rank is not null").groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("_p"), F.sum(part).alias("_part")))
+    sums = counts.groupBy(*strata).agg(F.sum("_p").alias("_p"), F.sum("_part").alias("_part"), F.sum("_n").alias("_n"))
+    sums = sums.withColumn("_start", _uniform(F.lit(seed), F.col("source"), F.col("_sc"), F.col("_vc")))
+    listed = sums.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("_sc", "_vc", "_p", "_part", "_n", "_start")), False).alias("_all"))  # the strata of a source
+    empty = F.array().cast("array<struct<_sc:int,_vc:int,_number:bigint>>")
+
+    def rounded(acc: Column, x: Column) -> Column:
+        words, mean = acc["carry"] + x["_part"], x["_part"] / x["_p"]
+        n = F.least(F.greatest(F.floor(words / mean + x["_start"]), F.lit(0)), x["_n"])
+        return F.struct((words - n * mean).alias("carry"), F.concat(acc["out"], F.array(F.struct(x["_sc"].alias("_sc"), x["_vc"].alias("_vc"), n.alias("_number")))).alias("out"))
+
+    number = listed.select("source", F.explode(F.aggregate("_all", F.struct(F.lit(0.0).alias("carry"), empty.alias("out")), rounded, lambda acc: acc["out"])).alias("_x")).select("source", "_x.*")
+    inside = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    cuts = placed.join(number, _same(placed, number, *strata)).drop(*[number[c] for c in strata])
+    cuts = cuts.where("_before < _number and _number <= _before + _n").select(*[F.col(c).alias(f"{c}_of") for c in strata], F.col("_bucket").alias("_cut"), (F.col("_number") - F.col("_before")).alias("_need"))
+    cuts = shared_table(cuts)
+    on = drawn["source"].eqNullSafe(cuts["source_of"]) & (drawn["_sc"] == cuts["_sc_of"]) & (drawn["_vc"] == cuts["_vc_of"])
+    placed = drawn.join(cuts, on, "left").drop("source_of", "_sc_of", "_vc_of")
+    at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
+    order = Window.partitionBy(*strata).orderBy("_rank", "_id", "_row")  # one bucket of a stratum
+    exact = placed.where(at_cut).withColumn("_in", F.row_number().over(order) <= F.col("_need"))
+    rest = placed.where(~at_cut).withColumn("_in", F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False)))
+    chosen = exact.unionByName(rest)
+    copies = F.col("_whole") + ((F.col("_p") >= 1) | F.col("_in")).cast("int")
+    return chosen.select("_id", "_print", "source", "size", "source_size", "target", (F.col("_whole") + F.col("_p")).alias("inclusion"), copies.alias("copies"))
+
+
+def mix(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED
+) -> DataFrame:
+    """How often each document is taken: (id, size, source, source_size, target, inclusion, copies, taken).
+
+    Size is the number of words (NULL text: 0).  ``weight`` may name a column
+    of non-negative document weights (NULL: 1); a document of weight 0 is taken
+    only in whole copies.  ``inclusion`` is the expected number of copies,
+    before a stratum's number is rounded.  Documents without words are taken as
+    often as their source's whole copies.  Repeated rows draw the same number
+    and count each; a NULL source is a source of its own.  An empty table gives
+    no rows; other columns are not read.  Reruns agree.
+    """
+    with passing_tables(df.sparkSession):
+        decided = shared_table(_decided(df, id_col, text, source, weight, weights, share, most, seed), keep=True)
+    return decided.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", "inclusion", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def take(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``df`` as the mix takes them: each as often as its copies, those with none not at all.
 
-    Rows of one id, text and source are taken equally often.
+    All columns stay, whatever their names.  Rows of one id, text and source
+    share their copies evenly, and what can't be divided goes to one of them.
+    NULL and empty texts have no words and are taken in whole copies only; an
+    empty table gives no rows.
     """
-    marked = df.withColumn("_p", F.xxhash64(text_or_empty(text)))
-    decided = mix(marked, id_col, text, source, carry=("_p",)).where("copies > 0")
-    decided = decided.groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("_p").alias("_q")).agg(F.max("copies").alias("_copies"))
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))
-    taken = marked.join(decided, same).withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies")))
-    return taken.select(*df.columns)
+    with passing_tables(df.sparkSession):
+        decided = _decided(df, id_col, text, source, None, WEIGHTS, SHARE, MOST, SEED)
+        shares = decided.groupBy("_id", "_print", "source").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0")
+        shares = shared_table(shares.select("_id", "_print", "source", F.floor(F.col("_all") / F.col("_rows")).alias("_each"), (F.col("_all") % F.col("_rows")).alias("_more")), keep=True)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text)).alias("_print"), F.col(source).alias("source"))
+    held = rows.join(shares, _same(rows, shares, "_id", "_print", "source")).select("_row", shares["_id"], shares["_print"], shares["source"], "_each", "_more")
+    times = lambda x, n: x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select("_row.*")
+    taken = times(held.where("_each > 0"), "_each")
+    if shares.where("_more > 0").limit(1).count():  # only repeated rows have any
+        taken = taken.union(times(held.where("_more > 0").dropDuplicates(["_id", "_print", "source"]), "_more"))
+    return taken
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")
+
+
+_WEIGHTS = ", ".join(map(str, WEIGHTS))
+_U = "(CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+OP10_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, row_number() OVER () AS r,
+    {_U.format(f"'{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))")} AS u
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), o AS (
+  SELECT *, [{_WEIGHTS}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS w, source_size * {MOST}::DOUBLE AS most FROM s
+), l AS (
+  SELECT *, most / w AS level, {SHARE}::DOUBLE * sum(source_size) OVER () AS budget,
+    coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_left
+  FROM o
+), f AS (
+  SELECT *, before + level * w_left <= budget AS is_full FROM l
+), t AS (
+  SELECT source, source_size, CASE WHEN is_full THEN most ELSE least(most, w * (
+    SELECT max((budget - before) / w_left) FROM f WHERE NOT is_full AND level = (SELECT min(level) FROM f WHERE NOT is_full))) END AS target FROM f
+), n AS (
+  SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12) AS whole,
+    greatest(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12), 0) * source_size AS wanted FROM t
+), j AS (
+  SELECT d.*, source_size, target, whole, wanted, CASE WHEN wanted > 0 AND size > 0 THEN floor(log2(size) * {CLASSES} + 1e-9) END AS c FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+), v AS (
+  SELECT source, c, sum(size) AS words, sum(size::DOUBLE * size) AS product, max(size) AS top, max(wanted) AS wanted FROM j WHERE c IS NOT NULL GROUP BY source, c
+), b AS (
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY c DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(product) OVER (PARTITION BY source ORDER BY c DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below FROM v
+), k AS (
+  SELECT source, max(c) AS c, max_by((wanted - before) / below, c) AS scale FROM b WHERE (wanted - before) / below * top <= 1 OR before + words > wanted GROUP BY source
+), p AS (
+  SELECT j.*, CASE WHEN j.c IS NULL THEN 0.0 WHEN k.c IS NULL OR j.c > k.c OR scale * size >= 1 THEN 1.0 ELSE greatest(scale * size, 0) END AS p FROM j LEFT JOIN k ON j.source IS NOT DISTINCT FROM k.source
+), h AS (
+  SELECT source, c::INT AS c, sum(p) AS p, sum(p * size) AS part, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY c DESC) AS i,
+    {_U.format(f"'{SEED}|' || coalesce(source, '') || '|' || CAST(c::INT AS VARCHAR) || '|' || CAST(c::INT AS VARCHAR)")} AS start FROM p WHERE p > 0 AND p < 1 GROUP BY source, c
+), g AS (
+  SELECT source, c, i, least(greatest(floor(p + start), 0), n) AS number, part - least(greatest(floor(p + start), 0), n) * (part / p) AS carry FROM h WHERE i = 1
+  UNION ALL
+  SELECT h.source, h.c, h.i, least(greatest(floor((carry + part) / (part / p) + start), 0), n), carry + part - least(greatest(floor((carry + part) / (part / p) + start), 0), n) * (part / p)
+  FROM g JOIN h ON g.source IS NOT DISTINCT FROM h.source AND h.i = g.i + 1
+), x AS (
+  SELECT p.*, row_number() OVER (PARTITION BY p.source, p.c, p.p > 0 AND p.p < 1 ORDER BY u / (1 - u) / (p.p / (1 - p.p)), doc_id, r) AS place, number
+  FROM p LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source AND p.c = g.c
+)
+SELECT doc_id, size, source, source_size, target, whole + p AS inclusion, (size * (whole + CASE WHEN p >= 1 OR (p > 0 AND place <= number) THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
+"""

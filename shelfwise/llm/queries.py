@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixing": mixing.op10,
 }
 
-ORACLE_SQL = {"op6_quality_rules": quality_rules.OP6_SQL}
+ORACLE_SQL = {"op4_substring_dedup": substring_dedup.OP4_SQL, "op6_quality_rules": quality_rules.OP6_SQL, "op10_mixing": mixing.OP10_SQL}
