@@ -6,11 +6,13 @@ come last.  Two sets as similar as asked share an n-gram among the first few of
 each (prefix filter), so a class sends only those, packed, to the shard of each
 n-gram.  A shard pairs each class with one class of its n-gram (a star).  Pairs
 that parity bitmaps can't rule out are counted by vertical partitioning: the
-order is cut into fragments, each fragment counts its part of the overlap, and
-the parts are summed per pair.  Stars already connect most of a group; what is
+order is cut into fragments, the common n-grams at its end being the last, each
+fragment counts its part of the overlap, and the parts are summed per pair.  Stars already connect most of a group; what is
 left to compare are members of one group that are still in different components
 and whose distances to the group's centre leave a link possible.  Up to here no
-group is expanded into all its pairs.
+group is expanded into all its pairs, and none is held in one task: n-grams of
+very many classes are dealt to several shards, and large groups are cut in parts
+that each meet those outside the group's main component.
 
 Links are counted afterwards: both ends of a link are in one component, so the
 classes of each component are cut into blocks and each pair of blocks counts its
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_lengths, guarded_id, mixed, pack_rising, restored_id, runs, shared_table, text_bytes, unpack_rising
+from .common import Words, byte_lengths, guarded_id, mixed, pack_rising, passing_tables, restored_id, runs, shared_table, text_bytes, text_or_empty, unpack_rising
 
 WIDTH = 5
 #: Least similarity, in percent.
@@ -37,6 +39,10 @@ FRAGMENTS = 4
 #: which are does not change the result, only the work.
 HEAVY = 32
 MAX_HEAVY = 1_000_000
+#: An n-gram of more documents goes to several shards.
+HOT_MEMBERS = 4096
+#: Members of an n-gram that are compared with each other in one piece, about.
+GROUP_MEMBERS = 512
 #: Pairs of each member of an n-gram that are counted before all others.
 LIKELIEST = 3
 #: Classes and n-grams of a block, the unit in which links are counted, about.
@@ -127,11 +133,20 @@ def _among_first(values: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _in_order(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+def _split(s: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams in the global order: those that aren't common, by hash, and then the common ones, by hash."""
     if not len(heavy):
-        return s
+        return s, s[:0]
     last = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
-    return np.concatenate((s[~last], s[last]))
+    return s[~last], s[last]
+
+
+def fragments(s: np.ndarray, heavy: np.ndarray) -> list[np.ndarray]:
+    """The global order cut into FRAGMENTS: equal ranges of hashes, and the common n-grams at the end."""
+    light, common = _split(s, heavy)
+    edge = np.searchsorted(light >> np.uint64(32), np.arange(FRAGMENTS) * ((1 << 32) // (FRAGMENTS - 1)))
+    edge[-1] = len(light)
+    return [*(light[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)), common]
 
 
 def linked_counts(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,12 +180,12 @@ def linked_counts(left: list[np.ndarray], right: list[np.ndarray] | None, percen
 
 
 def links(df: DataFrame, id_col: str, text: str, width: int, percent: int, counted: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(documents, components): (_id, uid, n, cls, n_links) of each row, and (cls, component) of the classes that have links.
+    """(documents, components): (_id, _print, uid, n, cls, n_links) of each row, and (cls, component) of the classes that have links.
 
     n_links is NULL without links, and everywhere if links aren't to be ``counted``.
     """
     spark = df.sparkSession
-    rows = df.select(guarded_id(df, id_col), text_bytes(text).alias("_text"))
+    rows = df.select(guarded_id(df, id_col), text_bytes(text).alias("_text"), F.xxhash64(text_or_empty(text)).alias("_print"))
 
     def common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -193,18 +208,28 @@ def links(df: DataFrame, id_col: str, text: str, width: int, percent: int, count
             yield report()
 
     seen = rows.select("_text").mapInPandas(common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = shared_table(seen.where(F.col("n") >= HEAVY)).orderBy(F.col("n").desc(), "h").limit(MAX_HEAVY).select("h").toPandas()
+    top = shared_table(seen.where(F.col("n") >= HEAVY)).orderBy(F.col("n").desc(), "h").limit(MAX_HEAVY).toPandas()
     heavy = spark.sparkContext.broadcast(np.sort(top["h"].to_numpy(np.int64).astype(np.uint64)))
+    top = top[top["n"] > HOT_MEMBERS].sort_values("h", key=lambda h: h.astype("uint64"))
+    hot = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64).astype(np.uint64), -(-top["n"].to_numpy(np.int64) // HOT_MEMBERS)))
+
+    def parts_of(gram: np.ndarray) -> np.ndarray:
+        """In how many shards each n-gram is: one, if it isn't hot."""
+        hashes, parts = hot.value
+        if not len(hashes):
+            return np.ones(len(gram), np.int64)
+        at = np.minimum(np.searchsorted(hashes, gram), len(hashes) - 1)
+        return np.where(hashes[at] == gram, parts[at], 1)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for key, s in zip(pdf["_id"], shingle_sets([bytes(x) for x in pdf["_text"]], width), strict=True):
-                prefix = _in_order(s, heavy.value)[: _prefix_length(len(s), percent)] if len(s) else s
-                out.append((key, len(s), *_signature(s), prefix.tobytes(), _bitmap(s)))
-            yield pd.DataFrame(out, columns=["_id", "n", "s1", "s2", "prefix", "bitmap"])
+            for key, mark, s in zip(pdf["_id"], pdf["_print"], shingle_sets([bytes(x) for x in pdf["_text"]], width), strict=True):
+                prefix = np.concatenate(_split(s, heavy.value))[: _prefix_length(len(s), percent)] if len(s) else s
+                out.append((key, mark, len(s), *_signature(s), prefix.tobytes(), _bitmap(s)))
+            yield pd.DataFrame(out, columns=["_id", "_print", "n", "s1", "s2", "prefix", "bitmap"])
 
-    docs = rows.mapInPandas(describe, "_id long, n long, s1 long, s2 long, prefix binary, bitmap binary")
+    docs = rows.mapInPandas(describe, "_id long, _print long, n long, s1 long, s2 long, prefix binary, bitmap binary")
     docs = shared_table(docs.withColumn("uid", F.monotonically_increasing_id()))
     classes = docs.groupBy("n", "s1", "s2").agg(F.min("uid").alias("cls"), F.min(F.struct("_id", "uid")).alias("_first"))
     classes = shared_table(classes.select("n", "s1", "s2", "cls", F.col("_first._id").alias("first_id")))
@@ -220,7 +245,8 @@ def links(df: DataFrame, id_col: str, text: str, width: int, percent: int, count
             for a, b in runs(sizes * 24, 8 << 20):
                 gram = np.frombuffer(b"".join(pdf["prefix"][a:b]), np.uint64)
                 uid, n = np.repeat(pdf["uid"].to_numpy(np.int64)[a:b], sizes[a:b]), np.repeat(pdf["n"].to_numpy(np.int64)[a:b], sizes[a:b])
-                to = (mixed(gram, 31) % np.uint64(shards)).astype(np.int64)
+                part = mixed(uid.astype(np.uint64), 32) % parts_of(gram).astype(np.uint64)
+                to = (mixed(gram + part * np.uint64(0x9E3779B97F4A7C15), 31) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 edge = np.searchsorted(to[order], np.arange(shards + 1))
                 out = []
@@ -241,12 +267,14 @@ def links(df: DataFrame, id_col: str, text: str, width: int, percent: int, count
         first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         size = np.diff(np.concatenate((first, [len(gram)])))
         centre = np.repeat(uid[first], size)
-        keep = np.repeat(size, size) > 1
-        return pd.DataFrame({"gram": gram[keep].astype(np.int64), "uid": uid[keep], "n": n[keep], "centre": centre[keep]})
+        several = np.repeat(parts_of(gram[first]) > 1, size)  # has members in other shards
+        keep = several | (np.repeat(size, size) > 1)
+        return pd.DataFrame({"gram": gram[keep].astype(np.int64), "uid": uid[keep], "n": n[keep], "centre": centre[keep], "several": several[keep]})
 
-    members = shared_table(
-        reps.select("uid", "n", "prefix").mapInPandas(deal, "shard int, gram binary, uid binary, n binary").groupBy("shard").applyInPandas(shared, "gram long, uid long, n long, centre long")
-    )
+    dealt = reps.select("uid", "n", "prefix").mapInPandas(deal, "shard int, gram binary, uid binary, n binary")
+    found = shared_table(dealt.groupBy("shard").applyInPandas(shared, "gram long, uid long, n long, centre long, several boolean"))
+    first_of = found.where("several").groupBy("gram").agg(F.min("centre").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1")  # at most MAX_HEAVY rows
+    members = found.where("not several").drop("several").union(found.where("several").join(first_of, "gram").select("gram", "uid", "n", "first"))
 
     @F.pandas_udf("long")
     def difference(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -271,9 +299,8 @@ def links(df: DataFrame, id_col: str, text: str, width: int, percent: int, count
             for pdf in batches:
                 out = []
                 for s in shingle_sets([bytes(x) for x in pdf["_text"]], width):
-                    signs, edge = _signature(s), np.searchsorted(s >> np.uint64(32), np.arange(FRAGMENTS + 1) * ((1 << 32) // FRAGMENTS))
-                    edge[-1] = len(s)
-                    out += [(*signs, f, s[edge[f] : edge[f + 1]].tobytes()) for f in range(FRAGMENTS)]
+                    signs = _signature(s)
+                    out += [(*signs, f, part.tobytes()) for f, part in enumerate(fragments(s, heavy.value))]
                 yield pd.DataFrame(out, columns=["s1", "s2", "fragment", "grams"])
 
         parts = texts.select("_text").mapInPandas(cut, "s1 long, s2 long, fragment int, grams binary")
@@ -320,21 +347,28 @@ def links(df: DataFrame, id_col: str, text: str, width: int, percent: int, count
         """Pairs of members of one n-gram in different components that may be linked; with ``best``, only each member's likeliest."""
         placed = near.join(components, near["uid"] == components["cls"], "left").drop("cls").withColumn("component", F.coalesce("component", "uid"))
         # of n-grams with the same members, one stands for all
-        alike = placed.groupBy("gram").agg(
-            F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size"),
-            F.bit_xor(F.xxhash64("uid")).alias("_x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("_y"),
-        )
-        several = alike.where("_low <> _high").groupBy("_size", "_x", "_y").agg(F.min("gram").alias("gram")).select("gram")
-        groups = placed.join(several, "gram", "left_semi").join(reps.select("uid", "bitmap"), "uid").withColumn("_shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
-        return groups.groupBy("_shard").applyInPandas(lambda pdf: remaining(pdf, best), "a long, b long").distinct()
+        held = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("uid")).alias("_x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("_y"))
+        alike = held.groupBy("gram").agg(F.count(F.lit(1)).alias("_components"), F.sum("_n").alias("_size"), F.max(F.struct("_n", "component")).alias("_most"), F.bit_xor("_x").alias("_x"), F.bit_xor("_y").alias("_y"))
+        several = alike.where("_components > 1").groupBy("_size", "_x", "_y").agg(F.min(F.struct("gram", "_most")).alias("_g"))
+        pieces = lambda n: F.ceil(n / F.lit(float(GROUP_MEMBERS))).cast("int")
+        several = several.select("_g.gram", F.col("_g._most.component").alias("_main"), pieces(F.col("_size")).alias("_parts"), pieces(F.col("_size") - F.col("_g._most._n")).alias("_chunks"))
+        groups = placed.join(several, "gram").join(reps.select("uid", "bitmap"), "uid")
+        # a large group: each part of its members meets each chunk of those outside its main component
+        part, chunk = F.pmod(F.xxhash64("uid", F.lit(2)), F.col("_parts")).cast("int"), F.pmod(F.xxhash64("uid", F.lit(3)), F.col("_chunks")).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        outside = groups.where("_parts > 1 and component <> _main").withColumn("_j", chunk).withColumn("_outside", F.lit(True)).withColumn("_i", every("_parts"))
+        inside = groups.withColumn("_i", part).withColumn("_outside", F.lit(False)).withColumn("_j", F.when(F.col("_parts") > 1, F.sequence(F.lit(0), F.col("_chunks") - 1)).otherwise(F.array(F.lit(0)))).withColumn("_j", F.explode("_j"))
+        dealt = inside.unionByName(outside).withColumn("_shard", F.pmod(F.xxhash64("gram", "_i", "_j"), F.lit(shards)))
+        return dealt.groupBy("_shard").applyInPandas(lambda pdf: remaining(pdf, best), "a long, b long").distinct()
 
     def remaining(pdf: pd.DataFrame, best: int | None) -> pd.DataFrame:
         """Pairs of one n-gram in different components that could still be linked, by sizes, distances to the centre and bitmaps."""
         limit, out = 1 - percent / 100 + 1e-9, []
-        pdf = pdf.sort_values(["gram", "n", "uid"], kind="stable")
-        uid, n, comp, low, high = (pdf[c].to_numpy() for c in ("uid", "n", "component", "at_least", "at_most"))
+        pdf = pdf.sort_values(["gram", "_i", "_j", "n", "uid"], kind="stable")
+        uid, n, comp, low, high, side, main = (pdf[c].to_numpy() for c in ("uid", "n", "component", "at_least", "at_most", "_outside", "_main"))
         bitmaps = [bytes(x) for x in pdf["bitmap"]]
-        first = np.flatnonzero(np.concatenate(([True], np.diff(pdf["gram"].to_numpy()) != 0)))
+        piece = pdf[["gram", "_i", "_j"]].to_numpy(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]).any(1))))
         for a, b in zip(first, [*first[1:], len(pdf)], strict=True):
             maps = _Bitmaps(bitmaps[a:b])
 
@@ -349,20 +383,19 @@ def links(df: DataFrame, id_col: str, text: str, width: int, percent: int, count
                 if best is not None:
                     order = np.argsort(differ / (s[i] + s[j]), kind="stable")
                     i, j = i[order], j[order]
-                    ok = _among_first(i, best) | (_among_first(j, best) & (i != i[:1]).any())  # one member's pairs: its first
+                    ok = _among_first(i, best) | _among_first(j, best)
                     i, j = i[ok], j[ok]
                 out.append(np.stack([u[i], u[j]], 1))
 
-            if b - a <= 512:
+            others = np.flatnonzero(side[a:b])
+            if not len(others):
                 keep(*np.triu_indices(b - a, 1))
                 continue
-            _, inverse, sizes = np.unique(comp[a:b], return_inverse=True, return_counts=True)
-            largest = inverse == sizes.argmax()
-            for i in np.flatnonzero(~largest):  # each pair of components has a member outside the largest
-                lo, hi = np.searchsorted(n[a:b], -(-n[a + i] * percent // 100), "left"), np.searchsorted(n[a:b], n[a + i] * 100 // percent, "right")
-                j = np.arange(lo, hi)
-                j = j[largest[j] | (j > i)]
-                keep(np.full(len(j), i), j)
+            own = np.flatnonzero(~side[a:b])
+            i, j = np.repeat(own, len(others)), np.tile(others, len(own))
+            # of two outside the main component, each is in a part and in a chunk
+            ok = (comp[a:b][i] == main[a:b][i]) | (uid[a:b][i] < uid[a:b][j])
+            keep(i[ok], j[ok])
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         pairs = np.unique(np.sort(pairs, 1), axis=0) if len(pairs) else pairs
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -373,8 +406,8 @@ def links(df: DataFrame, id_col: str, text: str, width: int, percent: int, count
     rest = open_pairs(connected(more_links), None).join(star.select("a", "b"), ["a", "b"], "left_anti").join(likely, ["a", "b"], "left_anti")
     all_links = shared_table(more_links.union(linked(count(shared_table(rest)))).distinct())
     components = connected(all_links)
-    rows_out = docs.select("_id", "uid", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "cls"), ["n", "s1", "s2"])
-    placed = rows_out.select("_id", "uid", "n", "cls")
+    rows_out = docs.select("_id", "_print", "uid", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "cls"), ["n", "s1", "s2"])
+    placed = rows_out.select("_id", "_print", "uid", "n", "cls")
     if not counted:
         return placed.withColumn("n_links", F.lit(None).cast("long")), components
 
@@ -444,35 +477,44 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     link with nothing and are their own group, each row.  An empty table gives
     no rows; other columns are not read.  The id must be an integer.
     """
-    return _grouped(df, id_col, *links(df, id_col, text, width, percent))
-
-
-def _grouped(df: DataFrame, id_col: str, documents: DataFrame, components: DataFrame) -> DataFrame:
-    placed = shared_table(documents.join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    alone = F.col("n") == 0
-    names = placed.where(~alone).groupBy("component").agg(F.min(F.struct("_id", "uid")).alias("_first"))
-    out = placed.join(names, "component", "left")
-    return out.select(
-        restored_id(df, id_col), F.col("n").alias("n_shingles"),
-        _named(F.when(alone, F.col("_id")).otherwise(F.col("_first._id"))).cast(df.schema[id_col].dataType).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), (alone | (F.col("uid") == F.col("_first.uid"))).alias("is_first"), "uid",
+    groups = _grouped(df, id_col, text, width, percent)
+    kind = df.schema[id_col].dataType
+    return groups.select(
+        restored_id(df, id_col), F.col("n").alias("n_shingles"), F.when(F.col("_first_id") != _MIN, F.col("_first_id")).cast(kind).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("uid") == F.col("_first_uid")).alias("is_first"), "uid",
     )
 
 
-def _named(key: Column) -> Column:
-    return F.when(key != _MIN, key)
+def _grouped(df: DataFrame, id_col: str, text: str, width: int, percent: int, counted: bool = True) -> DataFrame:
+    """(_id, _print, uid, n, n_links) of each row and (_first_id, _first_print, _first_uid) of the first row of its group."""
+    with passing_tables(df.sparkSession):
+        documents, components = links(df, id_col, text, width, percent, counted)
+        placed = shared_table(documents.join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+        names = placed.where("n > 0").groupBy("component").agg(F.min(F.struct("_id", "uid", "_print")).alias("_f"))
+        first = lambda c: F.when(F.col("n") > 0, F.col(f"_f.{c}")).otherwise(F.col(c))
+        out = placed.join(names, "component", "left").select("_id", "_print", "uid", "n", "n_links", first("_id").alias("_first_id"), first("_print").alias("_first_print"), first("uid").alias("_first_uid"))
+        return shared_table(out, keep=True)
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without those whose group has a smaller id; of rows with the smallest, one stays."""
-    groups = _grouped(df, id_col, *links(df, id_col, text, WIDTH, PERCENT, counted=False))
-    gone = shared_table(groups.where(~F.col("is_first") & F.col("n_shingles").isNotNull()).select(F.col(id_col).alias("_gone"), F.col("component_id").alias("_of")))
-    dropped = gone.where(~F.col("_gone").eqNullSafe(F.col("_of"))).select("_gone").distinct()
-    left = df.join(dropped, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    if gone.where(F.col("_gone").eqNullSafe(F.col("_of"))).limit(1).count() == 0:
-        return left
-    # rows that repeat an id: one of each id and text
-    return left.withColumn("_print", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([id_col, "_print"]).drop("_print")
+    """The rows of ``df`` with one of each group of near copies: that of the smallest id (NULL first).
+
+    Judged row by row: an id that occurs with several texts keeps those that
+    are no copies.  Rows that repeat the id and the text of the one that stays
+    go but for one.  Rows without words, NULL texts among them, all stay.
+    Columns may have any names; an empty table gives no rows.  The id must be
+    an integer.
+    """
+    groups = _grouped(df, id_col, text, WIDTH, PERCENT, counted=False)
+    same = (F.col("_id") == F.col("_first_id")) & (F.col("_print") == F.col("_first_print"))
+    marks = groups.where("n > 0").groupBy("_id", "_print").agg(F.max(same).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    marks = shared_table(marks.where("not _stays or _rows > 1"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), guarded_id(df, id_col), F.xxhash64(text_or_empty(text)).alias("_print"))
+    marked = rows.join(marks, ["_id", "_print"], "left")
+    kept = marked.where("_stays is null").select("_row.*")
+    if marks.where("_stays").limit(1).count():  # rows repeated as they are
+        kept = kept.union(marked.where("_stays").dropDuplicates(["_id", "_print"]).select("_row.*"))
+    return kept
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
