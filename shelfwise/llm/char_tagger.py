@@ -1,8 +1,10 @@
 """A character tagger in numpy: bidirectional LSTM emissions, CRF transitions.
 
 Trained by gradient descent on the negative log likelihood of labelled windows
-(backpropagation through time; forward and backward recursions of the CRF).
-Everything is seeded, so the same windows give the same weights.
+(backpropagation through time; forward and backward recursions of the CRF), with
+a share of the emissions' own cross entropy, so that a single character's scores
+say how likely its tags are.  Tag 0 is outside, 2k+1 begins a span of kind k and
+2k+2 goes on with it; nothing else may come before 2k+2.  Everything is seeded, so the same windows give the same weights.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import numpy as np
 
 CHARS = 130  # ASCII, one code for all else, one for padding
 OTHER, PAD = 128, 129
+#: Share of the emissions' cross entropy in the loss, and the score of a transition that can't be.
+OWN_SHARE, NEVER = 0.1, -1e4
 
 
 def codes(text: str) -> np.ndarray:
@@ -25,7 +29,7 @@ def _sigmoid(x):
 class CharTagger:
     """``tags`` tag 0 is outside; inside a batch all windows have one length."""
 
-    def __init__(self, tags: int, embed: int = 12, hidden: int = 20, seed: int = 5):
+    def __init__(self, tags: int, embed: int = 12, hidden: int = 12, seed: int = 5):
         r = np.random.default_rng(seed)
         w = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.tags, self.hidden = tags, hidden
@@ -36,6 +40,13 @@ class CharTagger:
             b[hidden : 2 * hidden] = 1
             self.p |= {f"wx{d}": w(embed, 4 * hidden), f"wh{d}": w(hidden, 4 * hidden), f"b{d}": b}
 
+    def _moves(self, dtype=np.float32) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the first tag and of each transition."""
+        tag = np.arange(self.tags)
+        inner = (tag > 0) & (tag % 2 == 0)
+        ok = ~inner[None, :] | (tag[None, :] == tag[:, None]) | (tag[None, :] == tag[:, None] + 1)
+        return self.p["first"].astype(dtype), np.where(ok, self.p["trans"], NEVER).astype(dtype)
+
     def _both(self, name: str) -> np.ndarray:
         return np.stack((self.p[f"{name}f"], self.p[f"{name}b"]))
 
@@ -86,8 +97,32 @@ class CharTagger:
         return dx[0] + dx[1, :, ::-1]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """(windows, length, tags) scores of each character's tag."""
-        return self._lstm(self.p["emb"][ids], False)[0] @ self.p["out"] + self.p["bias"]
+        """(windows, length, tags) scores of each character's tag.
+
+        The same network as in training, without its tape: what a character
+        adds to the gates is looked up, and a sigmoid is a tanh of half its input.
+        """
+        (n, steps), size, p = ids.shape, self.hidden, self.p
+        half = np.full(4 * size, 0.5, np.float32)
+        half[2 * size : 3 * size] = 1
+        table, wh = (p["emb"] @ self._both("wx") + self._both("b")[:, None]) * half, self._both("wh") * half
+        seq = np.ascontiguousarray(ids.T)
+        h, c = np.zeros((2, n, size), np.float32), np.zeros((2, n, size), np.float32)
+        z, added, out = np.empty((2, n, 4 * size), np.float32), np.empty((n, 4 * size), np.float32), np.empty((2, steps, n, size), np.float32)
+        i, f, g, o = (z[..., k * size : (k + 1) * size] for k in range(4))
+        one, point = np.float32(1), np.float32(0.5)
+        for t in range(steps):
+            np.matmul(h, wh, out=z)
+            for d, place in ((0, t), (1, steps - 1 - t)):
+                z[d] += np.take(table[d], seq[place], axis=0, out=added)
+            np.tanh(z, out=z)
+            c *= (f + one) * point
+            c += (i + one) * g * point
+            np.tanh(c, out=h)
+            h *= (o + one) * point
+            out[:, t] = h
+        scores = out[0] @ p["out"][:size] + out[1, ::-1] @ p["out"][size:] + p["bias"]
+        return scores.transpose(1, 0, 2)
 
     def loss(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tag sequences, and its gradient.
@@ -100,7 +135,7 @@ class CharTagger:
         x = p["emb"][ids]
         h, kept = self._lstm(x, True)
         e = (h @ p["out"] + p["bias"]).astype(np.float64)
-        trans, first = p["trans"].astype(np.float64), p["first"].astype(np.float64)
+        first, trans = self._moves(np.float64)
         top = e.max(2, keepdims=True)
         q, go = np.exp(e - top), np.exp(trans)
         alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((n, steps, 1))
@@ -118,12 +153,15 @@ class CharTagger:
         pair = go * (alpha[:, :-1].reshape(-1, self.tags).T @ (q * beta / scale)[:, 1:].reshape(-1, self.tags))
         np.add.at(pair, (tags[:, :-1], tags[:, 1:]), -1)
         grad["trans"] += pair / n
-        de[rows[:, None], np.arange(steps), tags] -= 1
+        own = q / q.sum(2, keepdims=True)
+        own_loss = -np.log(own[rows[:, None], np.arange(steps), tags]).sum(1)
+        de += OWN_SHARE * own
+        de[rows[:, None], np.arange(steps), tags] -= 1 + OWN_SHARE
         de = (de / n).astype(np.float32)
         grad["out"] += h.reshape(-1, h.shape[2]).T @ de.reshape(-1, self.tags)
         grad["bias"] += de.sum((0, 1))
         np.add.at(grad["emb"], ids, self._lstm_back(de @ p["out"].T, kept, grad))
-        return float((z - gold).mean()), grad
+        return float((z - gold + OWN_SHARE * own_loss).mean()), grad
 
     def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01) -> list[float]:
         """Adam over shuffled batches; the mean loss of each epoch."""
@@ -146,6 +184,15 @@ class CharTagger:
             losses.append(float(np.mean(held)))
         return losses
 
+    @staticmethod
+    def _side_by_side(emissions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sequences one after the other, longest first: order, lengths, where each begins, all scores, and how many are longer than t."""
+        lengths = np.array([len(e) for e in emissions])
+        order = np.argsort(-lengths, kind="stable")
+        held = lengths[order]
+        begin = np.concatenate(([0], np.cumsum(held)[:-1]))
+        return order, held, begin, np.concatenate([emissions[i] for i in order]), np.searchsorted(-held, -np.arange(held[0]), "left")
+
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
         """The best tag sequence under each (length, tags) array; lengths may differ and are all at least 1.
 
@@ -154,18 +201,14 @@ class CharTagger:
         """
         if not emissions:
             return []
-        lengths = np.array([len(e) for e in emissions])
-        order = np.argsort(-lengths, kind="stable")
-        held = lengths[order]
-        begin = np.concatenate(([0], np.cumsum(held)[:-1]))
-        flat = np.concatenate([emissions[i] for i in order])
-        alive = np.searchsorted(-held, -np.arange(held[0]), "left")  # how many are longer than t
-        score, back = self.p["first"] + flat[begin], []
+        order, held, begin, flat, alive = self._side_by_side(emissions)
+        first, trans = self._moves()
+        score, back = first + flat[begin], []
         last = np.zeros(len(order), np.int8)
         for t in range(1, held[0]):
             n = alive[t]
             last[n : len(score)] = score[n:].argmax(1)
-            whole = score[:n, :, None] + self.p["trans"]
+            whole = score[:n, :, None] + trans
             back.append(whole.argmax(1).astype(np.int8))
             score = whole.max(1) + flat[begin[:n] + t]
         last[: len(score)] = score.argmax(1)
@@ -179,3 +222,55 @@ class CharTagger:
         for i, a, n in zip(order, begin, held, strict=True):
             out[i] = tags[a : a + n]
         return out
+
+    def may_be_inside(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """For each array of scores, which characters the best tag sequence can have inside a span; all others are outside in it.
+
+        A run of tags other than 0 is worth no more, against tag 0 throughout,
+        than the sum of what each of its characters can gain, less what going
+        in and out costs.  Only characters in a run of positive worth are left.
+        """
+        first, trans = self._moves(np.float64)
+        begin, inner = np.arange(1, self.tags, 2), np.arange(2, self.tags, 2)
+        still = trans[0, 0]
+        lengths = np.array([len(s) for s in scores])
+        flat = np.concatenate([x for s in scores for x in (s, np.zeros((1, self.tags), np.float32))]).astype(np.float64)
+        go_on = (flat[:, inner] + trans[inner, inner]).max(1) - still
+        anew = (flat[:, begin] + np.maximum(trans[begin, inner] - trans[inner, inner], 0) + np.maximum(trans[1:, begin].max(0) - still, 0)).max(1)
+        gain = np.maximum(go_on, anew) - flat[:, 0]
+        ends = np.cumsum(lengths + 1)
+        enter, leave = trans[0, begin].max() - still, trans[1:, 0].max() - still
+        starts = ends - lengths - 1
+        gain[starts] += max(0.0, (first[1:] - first[0]).max() - enter)
+        gain[np.maximum(ends - 2, starts)] += max(0.0, -leave)
+        gain[ends - 1] = -1e7  # between two texts
+        total = np.concatenate(([0.0], np.cumsum(gain)))
+        most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        near = most > -(enter + leave)
+        return [near[a : a + n] for a, n in zip(starts, lengths, strict=True)]
+
+    def posteriors(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+        """(length, tags) probability of each character's tag, under all tag sequences, for each array of scores."""
+        if not emissions:
+            return []
+        order, held, begin, flat, alive = self._side_by_side(emissions)
+        flat = flat.astype(np.float64)
+        first, trans = self._moves(np.float64)
+        q, go = np.exp(flat - flat.max(1, keepdims=True)), np.exp(trans)
+        alpha, beta = np.empty_like(q), np.ones_like(q)
+        alpha[begin] = np.exp(first) * q[begin]
+        for t in range(held[0]):
+            at = begin[: alive[t]] + t
+            if t:
+                alpha[at] = (alpha[at - 1] @ go) * q[at]
+            alpha[at] /= alpha[at].sum(1, keepdims=True)
+        for t in range(held[0] - 1, 0, -1):
+            at = begin[: alive[t]] + t
+            b = (q[at] * beta[at]) @ go.T
+            beta[at - 1] = b / b.sum(1, keepdims=True)
+        both = alpha * beta
+        both /= both.sum(1, keepdims=True)
+        out: list[np.ndarray] = [both[:0]] * len(order)
+        for i, a, n in zip(order, begin, held, strict=True):
+            out[i] = both[a : a + n]
+        return out

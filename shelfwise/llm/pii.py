@@ -2,16 +2,17 @@
 
 The tagger is trained on the driver, in numpy, on windows with labelled spans:
 those that the patterns find in a bounded sample of documents, and made-up ones
-in forms that the patterns don't cover.  It reads the neighbourhoods of digits,
-@ and what stands for it or a dot, as (at) and [dot], without which no span of
-these kinds exists, up to white space, in overlapping windows; a character's
-scores are averaged over its windows, more weight in their middle, and each
-neighbourhood is then decoded once as a whole.
+in forms that the patterns don't cover.  It reads whole texts in overlapping
+windows; a character's scores are averaged over its windows, more weight in
+their middle.  The best tag sequence of the whole text is then found, and a span
+counts if the CRF is sure of each of its characters and its digits pass the exact
+checks (ranges, Luhn).
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -21,15 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .char_tagger import PAD, CharTagger, codes
-from .common import guarded_id, guarded_type, restored_id, text_or_empty
+from .common import byte_lengths, guarded_id, guarded_type, restored_id, runs, shared_root, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents with spans that the training sample holds at most, and made-up windows beside them.
+#: Documents that give training windows at most, windows of each, and made-up texts beside them.
 SAMPLE_DOCS = 300
-MADE_UP = 1200
-WINDOW, STRIDE, REACH = 64, 32, 24
+SAMPLE_WINDOWS = 8
+MADE_UP = 1400
+#: Characters of a window in training, and in use with the step to the next one.
+TRAIN_WINDOW = 72
+WINDOW, STRIDE = 256, 216
 #: Windows that the tagger reads at a time.
-BATCH = 2048
+BATCH = 1024
+#: Added to the score of a character known to be outside.
+OUTSIDE = 100.0
+#: Least probability of each character of a span.
+SURE = 0.5
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,7 +45,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+|[\[(](?:[aA][tT]|[dD][oO][tT])[\])]")
+_DIGIT = re.compile("[0-9]")
+_AT = re.compile(r"@|[\[(](?:at|AT)[\])]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
 
@@ -65,7 +74,7 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
         else:
             end = at + 1
         at = text.find("@", end)
-    if _TRIGGER.search(text):
+    if _DIGIT.search(text):
         found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 and int(x.lstrip("0") or "0") <= 255 for x in m.group().split("."))]
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -79,17 +88,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def plausible(kind: int, found: str) -> bool:
-    """An exact check of what the tagger proposes."""
+def in_range(kind: int, found: str) -> bool:
+    """The exact checks of what the tagger proposes: an e-mail's @, (at) or [at], numbers of an address, digits and Luhn sum of a card, digits of a phone."""
     digits = _NOT_DIGIT.sub("", found)
     if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+(@|\s?[\[(](at|AT)[\])]\s?)[A-Za-z0-9-]+((\.|\s?[\[(](dot|DOT)[\])]\s?)[A-Za-z0-9-]+)+", found))
+        return bool(_AT.search(found))
     if kind == 1:
-        parts = re.split(r"\[\.\]|\.", found)
-        return len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)
+        parts = re.findall("[0-9]+", found)
+        return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
     if kind == 2:
-        return bool(re.fullmatch(r"[0-9]{4}([ .\-/]?[0-9]{1,6}){2,4}", found)) and 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 2
-    return bool(re.fullmatch(r"(\+?[0-9]{1,3}[ .\-]?)?(\([0-9]{2,4}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}|00[0-9]{1,3}([ .\-][0-9]{2,4}){2,5}", found)) and 10 <= len(digits) <= 15
+        return 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 2
+    return 10 <= len(digits) <= 15
 
 
 def made_up(r: np.random.Generator, words: list[str], count: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -112,8 +121,9 @@ def made_up(r: np.random.Generator, words: list[str], count: int) -> list[tuple[
     def email() -> str:
         host = f"{name()}.{pick(['com', 'org', 'net', 'co', 'example.com', 'de', 'fr'])}"
         user = pick([name(), f"{name()}.{name()}", f"{name()}{number(2)}", f"{name()}_{number(3)}", f"{name()}.{number(2)}"])
-        at, dot = pick([("@", "."), ("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]")])
-        return f"{user}{at}{host.replace('.', dot)}"
+        at, dot = pick([("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("(AT)", "(DOT)")])
+        whole = f"{user}{at}{host.replace('.', dot)}"
+        return whole.upper() if r.random() < 0.1 else whole
 
     def ip() -> str:
         return pick([".", ".", "[.]"]).join(str(int(r.integers(0, 256))) for _ in range(4))
@@ -122,6 +132,8 @@ def made_up(r: np.random.Generator, words: list[str], count: int) -> list[tuple[
         return pick([
             number(int(r.integers(1, 9))), f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}:{number(2)}", f"{number(1)}.{number(1)}.{number(2)}", f"{number(3)},{number(3)}.{number(2)}", number(16), f"#{number(6)}",
             "".join(pick("0123456789abcdef") for _ in range(int(r.integers(16, 41)))), f"{number(3)}-{number(2)}-{number(4)}", f"@{name()}", f"{name()}{number(3)}", f"{number(4)} {number(4)} {number(4)} {number(3)}", f"$ {number(3)}.{number(2)}",
+            f"{name()} at {name()}", f"the dot {name()}", f"{name()} (at {name()})", f"www.{name()}.com", f"{name()}.{name()}.txt", f"http://{name()}.org/{name()}", f"at {number(2)} {name()}", f"{number(4)}-{number(4)}", f"{name()}: {number(4)}", f"{name()}-{name()}", f"[{name()}]", f"({name()})",
+            f"{number(2)}.{number(2)}.{number(4)}", f"{number(12)}", f"{number(3)}.{number(3)}.{number(3)}.{number(3)}.{number(2)}",
         ])
 
     out = []
@@ -138,122 +150,163 @@ def made_up(r: np.random.Generator, words: list[str], count: int) -> list[tuple[
     return out
 
 
-def windows_of(text: str, spans: list[tuple[int, int, int]], size: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Character and tag windows around the spans of a text; tag 2k+1 begins kind k, 2k+2 goes on."""
-    ids, tags = codes(text), np.zeros(len(text), np.int64)
+def labels(length: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """The tag of each character: 2k+1 begins kind k, 2k+2 goes on."""
+    tags = np.zeros(length, np.int8)
     for a, k, b in reversed(spans):
         tags[a:b] = 2 * k + 2
         tags[a] = 2 * k + 1
-    for a, _, b in spans:
-        at = max(0, (a + b - size) // 2)
-        part = slice(at, at + size)
+    return tags
+
+
+def windows_of(text: str, spans: list[tuple[int, int, int]], centres: list[int], size: int = TRAIN_WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Character and tag windows around some places of a text; all spans in them are labelled."""
+    ids, tags = codes(text), labels(len(text), spans)
+    for at in centres:
+        part = slice(max(0, at - size // 2), max(0, at - size // 2) + size)
         yield np.pad(ids[part], (0, size - len(ids[part])), constant_values=PAD), np.pad(tags[part], (0, size - len(tags[part])))
 
 
-def train(sample: list[str]) -> tuple[CharTagger, list[float]]:
-    """The tagger from the pattern spans of sample texts and made-up windows."""
-    words = sorted({w for t in sample for w in re.findall(r"[^\W\d_]+", t)})[:3000] or ["call", "write", "to", "the", "office", "order", "from", "and"]
-    made = made_up(np.random.default_rng(3), words, MADE_UP)
-    made += [(t, s) for t in sample if (s := pattern_spans(t)[:8])]
-    pairs = [w for t, s in made for w in windows_of(t, s)]
-    plain = [(t, [(m.start(), -1, m.end()) for m in list(re.finditer(r"[0-9]{3,}", t))[:4]]) for t, _ in made]
-    for t, near in plain:  # windows at numbers, with whatever labels they have
-        labels = pattern_spans(t) if t in sample else next((s for u, s in made[:MADE_UP] if u is t), [])
-        ids, tags = codes(t), np.zeros(len(t), np.int64)
-        for a, k, b in reversed(labels):
-            tags[a:b] = 2 * k + 2
-            tags[a] = 2 * k + 1
-        for a, _, _ in near[:1]:
-            part = slice(max(0, a - WINDOW // 2), max(0, a - WINDOW // 2) + WINDOW)
-            pairs.append((np.pad(ids[part], (0, WINDOW - len(ids[part])), constant_values=PAD), np.pad(tags[part], (0, WINDOW - len(tags[part])))))
+def sample_windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """At most SAMPLE_WINDOWS training windows of a document: around pattern spans, around other numbers, and anywhere."""
+    spans, r = pattern_spans(text), np.random.default_rng(len(text))
+    centres = [(a + b) // 2 for a, _, b in spans][: SAMPLE_WINDOWS - 4]
+    centres += [m.start() for _, m in zip(range(2), re.finditer("[0-9]{3,}", text), strict=False)]
+    centres += r.integers(0, len(text) + 1, 2).tolist()
+    return list(windows_of(text, spans, centres))
+
+
+def training_set(sample: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of sample documents, and of made-up texts in their words."""
+    prose = " ".join("".join(map(chr, ids[ids < 128])) for ids, _ in sample)
+    words = sorted(set(re.findall(r"[^\W\d_]+", prose)))[:3000] or ["call", "write", "to", "the", "office", "order", "from", "and"]
+    pairs = list(sample)
+    for t, spans in made_up(np.random.default_rng(3), words, MADE_UP):
+        numbers = [m.start() for m in re.finditer("[0-9]{3,}", t)]
+        pairs += windows_of(t, spans, [(a + b) // 2 for a, _, b in spans] + numbers[:1] + [len(t) // 3])
+    return np.stack([a for a, _ in pairs]), np.stack([b for _, b in pairs]).astype(np.int64)
+
+
+def train(sample: list[tuple[np.ndarray, np.ndarray]]) -> tuple[CharTagger, list[float]]:
+    """The tagger from windows of sample documents and made-up ones."""
     model = CharTagger(2 * len(KINDS) + 1)
-    losses = model.fit(np.stack([a for a, _ in pairs]), np.stack([b for _, b in pairs]), epochs=9, batch=32, rate=0.025)
+    losses = model.fit(*training_set(sample), epochs=9, batch=32, rate=0.025)
     return model, losses
 
 
-def neighbourhoods(text: str) -> list[tuple[int, int]]:
-    """Ranges of the text within REACH of a digit, @, (at) or (dot) and on to white space, those that touch merged.
+def stretches(inside: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of the characters marked, with one on either side, those that touch as one."""
+    near = np.flatnonzero(inside)
+    if not len(near):
+        return []
+    cut = np.flatnonzero(np.diff(near) > 3)
+    first, last = near[np.concatenate(([0], cut + 1))], near[np.concatenate((cut, [len(near) - 1]))]
+    return list(zip(np.maximum(first - 1, 0).tolist(), np.minimum(last + 2, len(inside)).tolist(), strict=True))
 
-    No span that plausible() takes crosses an edge: its words are whole, and of
-    any two in a row at least one is next to such a sign.
-    """
-    out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        done = out[-1][1] if out else -1
-        if b <= done:
-            continue
-        while a > max(done, 0) and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        if a <= done:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
 
+_WEIGHT = (1 - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2) / (WINDOW / 2) + 0.05).astype(np.float32)[:, None]
 
-def tagged_spans(model: CharTagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Spans that the tagger finds in each text, before any check."""
-    regions = [(i, a, b) for i, t in enumerate(texts) for a, b in neighbourhoods(t)]
-    windows: list[tuple[int, int]] = []  # region, offset
-    for r, (_, a, b) in enumerate(regions):
-        windows += [(r, o) for o in range(0, max(1, b - a - WINDOW + STRIDE), STRIDE)]
-    ids = {i: codes(texts[i]) for i in {i for i, _, _ in regions}}
-    weight = (1 - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2) / (WINDOW / 2) + 0.05).astype(np.float32)[:, None]
-    sums = [np.zeros((b - a, model.tags), np.float32) for _, a, b in regions]
-    shares = [np.zeros((b - a, 1), np.float32) for _, a, b in regions]
-    for at in range(0, len(windows), BATCH):
-        part = windows[at : at + BATCH]
-        batch = np.full((len(part), WINDOW), PAD, np.int16)
-        for row, (r, o) in enumerate(part):
-            i, a, b = regions[r]
-            own = ids[i][a + o : min(b, a + o + WINDOW)]
+
+def scores_of(model: CharTagger, texts: list[str]) -> list[np.ndarray]:
+    """(length, tags) scores of each text's characters, averaged over the windows that hold them."""
+    ids = [codes(t) for t in texts]
+    windows = [(i, at) for i, x in enumerate(ids) for at in range(0, max(1, len(x) - WINDOW + STRIDE), STRIDE) if len(x)]
+    windows.sort(key=lambda w: min(WINDOW, len(ids[w[0]]) - w[1]))  # short ones together
+    sums, shares = [np.zeros((len(x), model.tags), np.float32) for x in ids], [np.zeros((len(x), 1), np.float32) for x in ids]
+    for a in range(0, len(windows), BATCH):
+        part = windows[a : a + BATCH]
+        length = max(min(WINDOW, len(ids[i]) - at) for i, at in part)
+        batch = np.full((len(part), length), PAD, np.int16)
+        for row, (i, at) in enumerate(part):
+            own = ids[i][at : at + length]
             batch[row, : len(own)] = own
-        scores = model.emissions(batch)
-        for row, (r, o) in enumerate(part):
-            n = min(WINDOW, len(sums[r]) - o)
-            sums[r][o : o + n] += scores[row, :n] * weight[:n]
-            shares[r][o : o + n] += weight[:n]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (i, a, _), best in zip(regions, model.decode([s / w for s, w in zip(sums, shares, strict=True)]), strict=True):
-        if not best.any():
-            continue
-        t = 0
-        while t < len(best):
-            if best[t]:
-                kind, start = (best[t] - 1) // 2, t
+        for (i, at), scores in zip(part, model.emissions(batch), strict=True):
+            n = min(length, len(ids[i]) - at)
+            sums[i][at : at + n] += scores[:n] * _WEIGHT[:n]
+            shares[i][at : at + n] += _WEIGHT[:n]
+    return [s / w for s, w in zip(sums, shares, strict=True)]
+
+
+def tagged_spans(model: CharTagger, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
+    """(start, kind, end, least probability of a character) of the spans that the tagger finds in each text, before any check."""
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    for first, last in runs(byte_lengths(texts)):
+        scores = scores_of(model, texts[first:last])
+        # what surrounds a stretch is outside in the best sequence, so each can be decoded by itself
+        ranges = [(i, a, b) for i, inside in enumerate(model.may_be_inside(scores)) for a, b in stretches(inside)]
+        held = [scores[i][a:b].copy() for i, a, b in ranges]
+        for s, (i, a, b) in zip(held, ranges, strict=True):
+            s[0, 0] += OUTSIDE * (a > 0)
+            s[-1, 0] += OUTSIDE * (b < len(scores[i]))
+        tags = model.decode(held)
+        some = [k for k, best in enumerate(tags) if best.any()]
+        for k, sure in zip(some, model.posteriors([held[k] for k in some]), strict=True):
+            (i, begin, _), best, t = ranges[k], tags[k], 0
+            while t < len(best):
+                if not best[t]:
+                    t += 1
+                    continue
+                kind, start = (int(best[t]) - 1) // 2, t
                 t += 1
                 while t < len(best) and best[t] == 2 * kind + 2:
                     t += 1
-                out[i].append((a + start, int(kind), a + t))
-            else:
-                t += 1
+                out[first + i].append((begin + start, kind, begin + t, float(sure[np.arange(start, t), best[start:t]].min())))
     return out
 
 
 def added_spans(model: CharTagger, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """The tagger's spans that pass the check and touch no pattern span."""
+    """The tagger's spans of which it is sure, that pass the exact checks, cut no word and touch no pattern span."""
     out = []
     for text, known, new in zip(texts, base, tagged_spans(model, texts), strict=True):
         good = []
-        for a, k, b in new:
+        for a, k, b, sure in new:
             while a < b and text[a] in " \n\t,;:":
                 a += 1
             while b > a and text[b - 1] in " \n\t,;:.#*$%&|<>":
                 b -= 1
-            clear = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-            if clear and plausible(k, text[a:b]) and all(b <= x or y <= a for x, _, y in known):
+            whole = a < b and (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
+            if whole and sure >= SURE and in_range(k, text[a:b]) and all(b <= x or y <= a for x, _, y in known):
                 good.append((a, k, b))
         out.append(good)
     return out
 
 
+_fitted: dict[str, CharTagger] = {}
+
+
 def fitted(df: DataFrame, text: str) -> CharTagger:
-    """A tagger trained on at most SAMPLE_DOCS documents of ``df``, the first with a digit or @ in reading order."""
-    rows = df.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t")).limit(SAMPLE_DOCS).toPandas()
-    return train(list(rows["t"]))[0]
+    """A tagger trained on windows of at most SAMPLE_DOCS documents of ``df``: those with a digit or @ whose text hashes are the smallest.
+
+    Windows are cut where the documents are; only those come to the driver.
+    The weights are kept in the shared folder under a hash of all they were
+    trained on, so the same sample is trained on once.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    last = rows.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for h, t in zip(pdf["h"], pdf["t"], strict=True):
+                yield pd.DataFrame([(h, a.tobytes(), b.tobytes()) for a, b in sample_windows(t)], columns=["h", "ids", "tags"])
+
+    found = rows.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).mapInPandas(cut, "h long, ids binary, tags binary").toPandas().sort_values(["h", "ids", "tags"])
+    sample = [(np.frombuffer(a, np.int16), np.frombuffer(b, np.int8)) for a, b in zip(found["ids"], found["tags"], strict=True)]
+    mark = hashlib.sha256(b"".join(x.tobytes() for x in training_set(sample)) + repr(sorted((k, v.shape) for k, v in CharTagger(2 * len(KINDS) + 1).p.items())).encode()).hexdigest()[:32]
+    if mark not in _fitted:
+        path = f"{shared_root(spark)}/shelfwise-tagger-{mark}"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            model = CharTagger(2 * len(KINDS) + 1)
+            with np.load(io.BytesIO(spark.read.parquet(path).first()["weights"])) as held:
+                model.p = {k: held[k] for k in held.files}
+        else:
+            model = train(sample)[0]
+            out = io.BytesIO()
+            np.savez(out, **model.p)
+            spark.createDataFrame([(bytearray(out.getvalue()),)], "weights binary").write.mode("overwrite").parquet(path)
+        _fitted[mark] = model
+    return _fitted[mark]
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,12 +324,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame
         for pdf in batches:
             texts = list(pdf["_text"])
             base = [pattern_spans(t) for t in texts]
-            near = [i for i, t in enumerate(texts) if _TRIGGER.search(t)]
-            added: list[list] = [[] for _ in texts]
-            for i, new in zip(near, added_spans(model.value, [texts[i] for i in near], [base[i] for i in near]), strict=True):
-                added[i] = new
             out = []
-            for key, b, new in zip(pdf["_id"], base, added, strict=True):
+            for key, b, new in zip(pdf["_id"], base, added_spans(model.value, texts, base), strict=True):
                 counts = [sum(k == x for _, k, _ in b) for x in range(4)]
                 out.append((key, *counts, hashlib.sha256(joined(b).encode()).hexdigest(), joined(sorted(b + new)), len(new)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
@@ -296,15 +345,19 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with all personal data in its text masked; texts without any, and NULL, stay as they are."""
+    """``df`` with all personal data in its text masked; texts without any, and NULL, stay as they are.
+
+    Repeated rows are masked each; an empty table gives no rows; other columns
+    stay, whatever their names.
+    """
     model = df.sparkSession.sparkContext.broadcast(fitted(df, text))
 
     @F.pandas_udf("string")
     def clean(column: pd.Series) -> pd.Series:
         texts = list(column)
-        near = [i for i, t in enumerate(texts) if t is not None and _TRIGGER.search(t)]
-        base = [pattern_spans(texts[i]) for i in near]
-        for i, b, new in zip(near, base, added_spans(model.value, [texts[i] for i in near], base), strict=True):
+        held = [i for i, t in enumerate(texts) if t]
+        base = [pattern_spans(texts[i]) for i in held]
+        for i, b, new in zip(held, base, added_spans(model.value, [texts[i] for i in held], base), strict=True):
             if b or new:
                 texts[i] = masked(texts[i], b + new)
         return pd.Series(texts, dtype=object)
