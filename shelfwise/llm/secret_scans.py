@@ -4,10 +4,13 @@ Matches are placed without leaving the row: a pattern's matches and the gaps
 between them (the text split by the pattern) give all positions by adding up
 their lengths.  A long token that no pattern covers is tested for randomness in
 the alphabet of the encoding it looks like: chi-squared uniformity of the
-symbols, runs above and below the middle of the alphabet, and correlation of
-neighbours.  How far its chi-squared value lies below what prose of that length
-would give bounds its chance of being prose; those bounds are held to a false
-discovery rate within each length class, over all documents.
+symbols and of their classes (upper, lower, digit, sign), runs above and below
+the middle of the alphabet, and correlation of neighbours.  Fisher's sum makes
+the tests one p-value of "random".  False discoveries are counted with decoys:
+for each token a piece of the document's own words, run together with capitals, as long and read in the
+same alphabet, goes through the same tests.  In each class of length (a power of
+two) and encoding, tokens count as random down to the p-value at which decoys would
+be too large a share of what passes, over all documents.
 """
 
 from __future__ import annotations
@@ -27,15 +30,16 @@ HEX = "[0-9a-f]{16,}"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 MIN_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "random")
-#: Share of false discoveries allowed in a length class.
+#: Share of false discoveries allowed in a class of length and encoding.
 FDR = 0.01
-#: Standard deviations at which a test still passes as random.
-MAX_Z = 3.5
-#: Of prose, per alphabet: sum of squared symbol shares, and the spread of those shares.
-COINCIDENCE = {16: 0.15, 32: 0.08, 64: 0.06}
-SPREAD = {16: 0.06, 32: 0.035, 64: 0.03}
-ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-BINS = 200
+#: Tenths of -log10 of a p-value: bins in all, and the last in which a token may still count as random.
+BINS, LAST_BIN = 60, 30
+#: Symbols of each encoding, and where its classes of symbols end.
+ALPHABETS = {
+    16: "0123456789abcdef", 26: "abcdefghijklmnopqrstuvwxyz", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "0123456789abcdefghijklmnopqrstuvwxyz",
+    64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+CLASSES = {16: (10, 16), 26: (26,), 32: (26, 32), 36: (10, 36), 64: (26, 52, 62, 64)}
 _CHUNK = 128
 
 
@@ -77,16 +81,30 @@ def _spans(found: Column, kind: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
-def _battery(v: Column, size: int) -> Column:
-    """-log10 of the bound that symbols 0..size-1 come from prose, 0 where a test finds them not random."""
-    n = F.size(v).cast("double")
-    run = F.aggregate(
+def _log_tail(z: Column) -> Column:
+    """ln of the chance that a standard normal value exceeds z (a logistic approximation, within 2e-4 of the chance)."""
+    return -F.log1p(F.exp(F.least(1.5976 * z + 0.070565 * z * z * z, F.lit(600.0))))
+
+
+def _log_chi(x: Column, df: Column) -> Column:
+    """ln of the chance that chi-squared with df degrees exceeds x (Wilson and Hilferty)."""
+    return _log_tail((F.cbrt(x / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+
+
+def randomness(symbols: Column, size: Column) -> Column:
+    """-log10 of the p-value of the symbols 0..size-1 under uniform randomness: Fisher's sum of all tests; 99 below two symbols."""
+    return let(F.struct(symbols.alias("v"), size.alias("size")), lambda t: _fisher(t["v"], t["size"]))
+
+
+def _fisher(v: Column, size: Column) -> Column:
+    n, k = F.size(v).cast("double"), size.cast("double")
+    squares = F.aggregate(
         F.array_sort(v), F.struct(F.lit(-1).alias("p"), F.lit(0.0).alias("r"), F.lit(0.0).alias("s")),
         lambda a, x: let(F.when(x == a["p"], a["r"] + 1).otherwise(0.0), lambda r: F.struct(x.alias("p"), r.alias("r"), (a["s"] + 2 * r + 1).alias("s"))),
         lambda a: a["s"],
     )
-    chi = F.lit(float(size)) / n * run - n  # counts squared are summed as 1 + 3 + 5 .. along each run of equal symbols
-    half = size / 2
+    # counts squared are summed as 1 + 3 + 5 .. along each run of equal symbols
+    half = k / 2
     start = F.struct(*[F.lit(0.0).alias(c) for c in ("i", "p", "c", "hi", "s", "q", "x")])
     scan = F.aggregate(
         v, start,
@@ -96,40 +114,85 @@ def _battery(v: Column, size: int) -> Column:
             (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q"), (a["x"] + F.when(a["i"] > 0, a["p"] * x).otherwise(0.0)).alias("x"),
         ),
     )
+    ends = F.element_at(F.create_map(*[c for s, e in CLASSES.items() for c in (F.lit(s), F.array(*map(F.lit, e)))]), size)
+
+    def of_classes(e: Column) -> Column:
+        """ln p of the classes' uniformity, 0 where an encoding has one class only."""
+        low = lambda i: F.when(i > 0, F.get(e, i - 1)).otherwise(0)
+        wanted = lambda i: n * (F.get(e, i) - low(i)) / k
+        off = F.transform(F.sequence(F.lit(0), F.size(e) - 1), lambda i: let(F.size(F.filter(v, lambda x: (x >= low(i)) & (x < F.get(e, i)))) - wanted(i), lambda d: d * d / wanted(i)))
+        return F.when(F.size(e) > 1, _log_chi(F.aggregate(off, F.lit(0.0), lambda a, x: a + x), (F.size(e) - 1).cast("double"))).otherwise(F.lit(0.0))
 
     def verdict(t: Column) -> Column:
-        chi, a = t["chi"], t["scan"]
-        z_chi = (chi - (size - 1)) / math.sqrt(2 * (size - 1))
+        a, e = t["scan"], t["ends"]
         two = 2 * a["hi"] * (n - a["hi"])
         spread = F.sqrt(F.greatest(two * (two - n) / (n * n * (n - 1)), F.lit(1e-9)))
-        z_runs = F.when(two > 0, F.abs(a["c"] + 1 - (1 + two / n)) / spread).otherwise(99.0)
+        runs = F.when(two > 0, F.abs(a["c"] + 1 - (1 + two / n)) / spread).otherwise(99.0)
         mean = a["s"] / n
-        ends = (F.get(v, F.lit(0)) + F.element_at(v, -1)).cast("double")
-        cross = a["x"] - mean * (2 * a["s"] - ends) + (n - 1) * mean * mean
-        z_serial = F.abs(cross / F.greatest(a["q"] - n * mean * mean, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-        prose = (size - 1) + (n - 1) * (size * COINCIDENCE[size] - 1)
-        prose_sd = F.sqrt(2 * (size - 1) + 4 * n * (size * SPREAD[size]) ** 2)
-        below = (prose - chi) / prose_sd
-        passes = (z_chi <= MAX_Z) & (z_runs <= MAX_Z) & (z_serial <= MAX_Z) & (below > 0)
-        return F.when(passes, (below * below / 2 + math.log(2)) / math.log(10)).otherwise(0.0)  # normal tail <= exp(-x^2/2)/2
+        outer = (F.get(v, F.lit(0)) + F.element_at(v, -1)).cast("double")
+        cross = a["x"] - mean * (2 * a["s"] - outer) + (n - 1) * mean * mean
+        serial = F.abs(cross / F.greatest(a["q"] - n * mean * mean, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
+        both = lambda z: F.least(_log_tail(z) + math.log(2), F.lit(0.0))
+        h = -(_log_chi(k / n * t["squares"] - n, k - 1) + of_classes(e) + both(runs) + both(serial))
+        three = 1 + h + h * h / 2
+        return (h - F.log(F.when(F.size(e) > 1, three + h * h * h / 6).otherwise(three))) / math.log(10)  # chi-squared of twice as many degrees as tests
+
+    return F.when(F.size(v) > 1, let(F.struct(squares.alias("squares"), scan.alias("scan"), ends.alias("ends")), verdict)).otherwise(F.lit(99.0))
+
+
+def encoding(token: Column) -> Column:
+    """The size of the smallest alphabet in ALPHABETS that a token without padding fits; 0 for digits alone."""
+    return (
+        F.when(token.rlike("^[0-9]*$"), 0).when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(token.rlike("^([a-z]+|[A-Z]+)$"), 26)
+        .when(token.rlike("^[A-Z2-7]+$"), 32).when(token.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), 36).otherwise(64)
+    )
+
 
-    return let(F.struct(chi.alias("chi"), scan.alias("scan")), verdict)
+def _ordinals(text: Column, size: Column) -> Column:
+    symbols = F.element_at(F.create_map(*[F.lit(c) for x in ALPHABETS.items() for c in x]), size)
+    one_case = F.when(size.isin(16, 26, 36), F.lower(text)).when(size == 64, F.translate(text, "-_", "+/")).otherwise(text)
+    return let(F.struct(symbols.alias("a"), one_case.alias("t")), lambda s: F.filter(F.transform(F.split(s["t"], ""), lambda c: F.position(c, s["a"]) - 1), lambda x: x >= 0))
 
 
-def token_evidence(token: Column) -> Column:
-    """The battery in the inferred encoding of a token; 0 for tokens of one character class."""
+def _bin(evidence: Column) -> Column:
+    return F.least(F.floor(F.greatest(evidence, F.lit(0.0)) * 10), F.lit(BINS)).cast("int")
+
+
+def _tested(start: Column, end: Column, token: Column, letters: Column) -> Column:
+    """Place, class of length and encoding, and the p-value bins of a token and of its decoy (NULL where the document has too few letters)."""
     body = F.regexp_replace(token, "=+$", "")
 
-    def ordinals(size: int, text: Column) -> Column:
-        return F.filter(F.transform(F.split(text, ""), lambda c: F.position(c, F.lit(ALPHABETS[size])) - 1), lambda x: x >= 0)
+    def of(t: Column) -> Column:
+        length, piece = F.length(t["body"]), t["piece"]
+        # letters in other alphabets: by their place, around and around
+        decoy = F.when(t["size"].isin(26, 64), _ordinals(piece, t["size"])).otherwise(F.transform(_ordinals(piece, F.lit(26)), lambda x: x % t["size"]))
+        return F.struct(
+            start.alias("start"), end.alias("end"), (F.floor(F.log2(length)).cast("int") * 100 + t["size"]).alias("size"),
+            F.when(t["size"] == 0, BINS).otherwise(_bin(randomness(_ordinals(t["body"], t["size"]), t["size"]))).alias("bin"),
+            F.when((t["size"] > 0) & (F.length(letters) >= length), _bin(randomness(decoy, t["size"]))).alias("decoy"),
+        )
+
+    def placed(b: Column) -> Column:
+        length = F.length(b)
+        piece = letters.substr(F.pmod(F.xxhash64(start, token), F.greatest(F.length(letters) - length + 1, F.lit(1))).cast("int") + 1, length)
+        return let(F.struct(b.alias("body"), encoding(b).alias("size"), piece.alias("piece")), of)
+
+    return let(body, placed)
 
-    mixed = (token.rlike("[0-9]") & token.rlike("[A-Za-z]")) | (token.rlike("[a-z]") & token.rlike("[a-z][A-Z]") & token.rlike("[A-Z].*[A-Z].*[A-Z]"))
-    return (
-        F.when(~mixed, 0.0)
-        .when(body.rlike("^[0-9a-fA-F]+$"), let(ordinals(16, F.lower(body)), lambda v: _battery(v, 16)))
-        .when(body.rlike("^[A-Z2-7]+$"), let(ordinals(32, body), lambda v: _battery(v, 32)))
-        .otherwise(let(ordinals(64, F.translate(body, "-_", "+/")), lambda v: F.when(F.size(v) > 1, _battery(v, 64)).otherwise(0.0)))
-    )
+
+def cuts(tested: DataFrame, fdr: float) -> DataFrame:
+    """(size, cut) of the classes of length and encoding in which any token counts as random: those in bins up to ``cut``.
+
+    It is the last bin, LAST_BIN at most, up to which decoys are no more than
+    ``fdr`` of the tokens.
+    """
+    each = tested.select(F.explode("_tested").alias("t")).select("t.*")
+    bins = each.groupBy("size", F.col("bin")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("d"))
+    bins = bins.unionByName(each.where("decoy is not null").groupBy("size", F.col("decoy").alias("bin")).agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("d")))
+    bins = bins.groupBy("size", "bin").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    upto = Window.partitionBy("size").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most BINS + 1 rows
+    summed = bins.withColumn("_n", F.sum("n").over(upto)).withColumn("_d", F.sum("d").over(upto))
+    return summed.where((F.col("bin") <= LAST_BIN) & (F.col("_n") > 0) & (F.col("_d") <= F.lit(fdr) * F.col("_n"))).groupBy("size").agg(F.max("bin").alias("cut"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", fdr: float = FDR) -> DataFrame:
@@ -143,44 +206,25 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", fdr: float =
     content = F.col("_text")
     rows = df.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_text"))
     found = rows.select(
-        "_id",
+        "_id", "_text",
         F.filter(matches(content, ASSIGN, 2), lambda x: F.length(x["value"]) >= MIN_ASSIGNED).alias("_assign"),
         matches(content, ACCESS).alias("_access"),
         matches(content, HEX).alias("_hex"),
         matches(content, TOKEN).alias("_tokens"),
     )
     based = found.select(
-        "_id",
+        "_id", "_text",
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.array_sort(F.concat(*[_spans(F.col(f"_{k}"), i) for i, k in enumerate(KINDS[:3])])).alias("_base"),
         "_tokens",
     )
     free = F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tested = based.withColumn(
-        "_tested",
-        F.transform(
-            free,
-            lambda t: F.struct(
-                t["start"].alias("start"), t["end"].alias("end"),
-                F.least(F.floor(token_evidence(t["value"]) * 10), F.lit(BINS)).cast("int").alias("bin"),
-                F.floor(F.log2(F.length(t["value"]))).cast("int").alias("size"),
-            ),
-        ),
-    ).drop("_tokens")
+    based = based.withColumn("_free", free).withColumn("_letters", F.when(F.size("_free") > 0, F.regexp_replace(F.initcap(F.regexp_replace("_text", "[^A-Za-z]+", " ")), " ", "")).otherwise(F.lit("")))
+    tested = based.withColumn("_tested", F.transform("_free", lambda t: _tested(t["start"], t["end"], t["value"], F.col("_letters")))).drop("_tokens", "_free", "_letters", "_text")
     tested = shared_table(tested)
-
-    # Benjamini-Hochberg in each length class, on the upper bounds of the bins
-    bins = tested.select(F.explode("_tested").alias("t")).groupBy(F.col("t.size").alias("size"), F.col("t.bin").alias("bin")).count()
-    whole = Window.partitionBy("size")  # at most BINS + 1 rows
-    above = whole.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        bins.withColumn("_all", F.sum("count").over(whole)).withColumn("_upto", F.sum("count").over(above))
-        .where((F.col("bin") > 0) & (F.col("_all") * F.pow(F.lit(10.0), -F.col("bin") / 10) <= F.lit(fdr) * F.col("_upto")))
-        .groupBy("size").agg(F.min("bin").alias("cut"))
-    )
-    held = {r["size"]: r["cut"] for r in cuts.collect()}  # one row per power of two of the token length
+    held = {r["size"]: r["cut"] for r in cuts(tested, fdr).collect()}  # a row per encoding and power of two of the token length
     limits = F.create_map(*[F.lit(x) for pair in held.items() for x in pair]) if held else F.lit(None).cast("map<int,int>")
-    random = F.filter("_tested", lambda t: F.coalesce(t["bin"] >= F.element_at(limits, t["size"]), F.lit(False)))
+    random = F.filter("_tested", lambda t: F.coalesce(t["bin"] <= F.element_at(limits, t["size"]), F.lit(False)))
     spans = F.array_sort(F.concat("_base", _spans(F.col("_random"), 3)))
     names = F.array(*map(F.lit, KINDS))
     joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
