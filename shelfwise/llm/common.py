@@ -53,16 +53,27 @@ def _where(spark: SparkSession, path: str):
 
 @contextmanager
 def passing_tables(spark: SparkSession):
-    """Tables that shared_table writes inside go at the end, but for those written with ``keep``."""
-    outer, own = getattr(_scopes, "open", None), []
-    _scopes.open = own
+    """Tables that shared_table writes inside go at the end; those written with ``keep`` stay, or go with a block around this one."""
+    stack, own = _scopes.__dict__.setdefault("stack", []), []
+    stack.append(own)
     try:
         yield
     finally:
-        _scopes.open = outer
+        stack.remove(own)
         for path in own:
-            where, store = _where(spark, path)
-            store.delete(where, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, store = _where(spark, path)
+    store.delete(where, True)
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table of shared_table before Spark ends; any other frame is left alone."""
+    path = getattr(table, "_written_to", None)
+    if path:
+        _delete(table.sparkSession, path)
 
 
 def shared_table(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -85,9 +96,12 @@ def shared_table(df: DataFrame, keep: bool = False) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     where, store = _where(spark, path)
     store.deleteOnExit(where)
-    if not keep and getattr(_scopes, "open", None) is not None:
-        _scopes.open.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stack = getattr(_scopes, "stack", [])[: -1 if keep else None]
+    if stack:
+        stack[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def words(text: Column) -> Column:

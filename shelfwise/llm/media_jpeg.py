@@ -169,29 +169,69 @@ def _segments(scan: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return scan[:end][keep], place[np.minimum(starts, end)], place[np.concatenate((restarts, [end]))]
 
 
-def decode(images: list[bytes]) -> list[tuple[Header, list[np.ndarray]]]:
-    """Header and, for each component, its quantized coefficients (blocks down, blocks across, 64 in zigzag order)."""
-    headers = [parse(x) for x in images]
+_BROKEN = (ValueError, IndexError, KeyError, OverflowError, struct.error)
+
+
+def _units(header: Header) -> tuple[tuple, int]:
+    """The scan's components (sampling, DC table, AC table), and how many units it has."""
+    shape = tuple((header.components[c][1:3], header.tables[0, d], header.tables[1, a]) for c, d, a in header.scan)
+    most_h, most_v = max(c[1] for c in header.components), max(c[2] for c in header.components)
+    size = shape[0][0] if len(shape) == 1 else (1, 1)
+    return shape, -(-header.width * size[0] // (8 * most_h)) * -(-header.height * size[1] // (8 * most_v))
+
+
+def _checked(data: bytes) -> tuple[Header, tuple, int] | None:
+    """Header, components and units of a restart interval; None if it isn't a baseline JPEG, or says more blocks than its bytes can hold."""
+    try:
+        header = parse(data)
+        shape, units = _units(header)
+        blocks = units * (1 if len(shape) == 1 else sum(h * v for (h, v), _, _ in shape))
+        scan = len(data) - header.at
+        # a block has two codes at least, of a bit each
+        if not 0 < blocks <= 4 * scan:
+            return None
+        _, starts, _ = _segments(np.frombuffer(data, np.uint8)[header.at :])
+        interval = min(header.restart or units, units)
+        return (header, shape, interval) if len(starts) == -(-units // interval) else None
+    except _BROKEN:
+        return None
+
+
+def decode(images: list[bytes]) -> list[tuple[Header, list[np.ndarray]] | None]:
+    """Header and, for each component, its quantized coefficients (blocks down, blocks across, 64 in zigzag order).
+
+    None for what isn't a whole baseline JPEG: other formats, truncated or
+    altered data whose codes don't fit.  Work and memory are bounded by the
+    bytes there are.
+    """
+    checked = [_checked(x) for x in images]
+    headers = [x and x[0] for x in checked]
     groups: dict[tuple, list[int]] = {}
-    for i, h in enumerate(headers):
-        shape = tuple((h.components[c][1:3], h.tables[0, d], h.tables[1, a]) for c, d, a in h.scan)
-        most_h, most_v = max(c[1] for c in h.components), max(c[2] for c in h.components)
-        size = shape[0][0] if len(shape) == 1 else (1, 1)
-        per = -(-h.width * size[0] // (8 * most_h)) * -(-h.height * size[1] // (8 * most_v))
-        groups.setdefault((shape, h.restart or per), []).append(i)
-    out: list[list[np.ndarray]] = [[] for _ in images]
+    for i, x in enumerate(checked):
+        if x:
+            groups.setdefault(x[1:], []).append(i)
+    out: list[list[np.ndarray] | None] = [[] if x else None for x in checked]
     for (shape, interval), members in groups.items():
-        _decode_group(images, headers, members, shape, interval, out)
-    return list(zip(headers, out, strict=True))
+        try:
+            _decode_group(images, headers, members, shape, interval, out)
+        except _BROKEN:  # one of them; which?
+            for i in members:
+                out[i] = []
+                try:
+                    _decode_group(images, headers, [i], shape, interval, out)
+                except _BROKEN:
+                    out[i] = None
+    return [None if parts is None else (header, parts) for header, parts in zip(headers, out, strict=True)]
 
 
 def _decode_group(images, headers, members, shape, interval, out) -> None:
     """Images with the same tables and interval, all their intervals side by side."""
-    datas, begins, lanes, base = [], [], [], 0
+    datas, begins, ends, lanes, base = [], [], [], [], 0
     for i in members:
-        data, start, _ = _segments(np.frombuffer(images[i], np.uint8)[headers[i].at :])
+        data, start, end = _segments(np.frombuffer(images[i], np.uint8)[headers[i].at :])
         datas.append(data)
         begins.append(start + base)
+        ends.append(end + base)
         lanes.append(len(start))
         base += len(data)
     data = np.concatenate([*datas, np.zeros(8, np.uint8)]).astype(np.uint32)
@@ -199,6 +239,7 @@ def _decode_group(images, headers, members, shape, interval, out) -> None:
     word = word.astype(np.int64)
     last = len(word) - 1
     at = np.concatenate(begins).astype(np.int64) * 8
+    strange = np.zeros(len(at), bool)  # lanes with a code that no table has
     single = len(shape) == 1
     order = [(k, 1 if single else size[0] * size[1], _lookup(dc), _lookup(ac)) for k, (size, dc, ac) in enumerate(shape)]
     blocks = [np.zeros((len(at), interval * times, 64), np.int16) for _, times, _, _ in order]
@@ -209,6 +250,7 @@ def _decode_group(images, headers, members, shape, interval, out) -> None:
         """Next symbol of the lanes ``rows`` (a slice or indexes) and the value of its extra bits."""
         p = at[rows]
         got = table[(word[np.minimum(p >> 3, last)] >> (16 - (p & 7))) & 0xFFFF]
+        strange[rows] |= got == 0
         p += got >> 8
         symbol = got & 255
         size = symbol & 15
@@ -244,9 +286,14 @@ def _decode_group(images, headers, members, shape, interval, out) -> None:
                     rows, spot = rows[go], spot[go] + 1
                     if not len(rows):
                         break
+    strange |= at > np.concatenate(ends) * 8
     lane = 0
     for i, n in zip(members, lanes, strict=True):
         h = headers[i]
+        if strange[lane : lane + n].any():
+            out[i] = None
+            lane += n
+            continue
         most_h, most_v = max(c[1] for c in h.components), max(c[2] for c in h.components)
         across, down = -(-h.width // (8 * most_h)), -(-h.height // (8 * most_v))
         for k, (size, _, _) in enumerate(shape):
@@ -283,24 +330,23 @@ def payload_of(header: Header, luminance: np.ndarray) -> bytes:
 def describe(media: list[bytes | None]) -> list[tuple[int, int, str, str] | None]:
     """Width, height, thumbnail hash and thumbnail checksum of each JPEG; None where it isn't a baseline JPEG."""
     out: list = [None] * len(media)
-    good = []
-    for i, x in enumerate(media):
+    there = [i for i, x in enumerate(media) if x]
+    for i, found in zip(there, decode([media[i] for i in there]), strict=True):
         try:
-            if x is not None:
-                parse(x)
-                good.append(i)
-        except (ValueError, IndexError, KeyError, struct.error):
+            if found:
+                pixels = thumbnail(found[0], found[1][0])
+                out[i] = (found[0].width, found[0].height, average_hash(pixels), f"{zlib.crc32(pixels.tobytes()):08x}")
+        except _BROKEN:  # its quantizer is missing
             pass
-    for i, (header, parts) in zip(good, decode([media[i] for i in good]), strict=True):
-        pixels = thumbnail(header, parts[0])
-        out[i] = (header.width, header.height, average_hash(pixels), f"{zlib.crc32(pixels.tobytes()):08x}")
     return out
 
 
 def add_media_features(df: DataFrame, media: str = "media") -> DataFrame:
     """Add width, height, thumb_hash and thumb_crc to a table with a binary column of JPEGs.
 
-    NULL, empty, broken and non-baseline images get NULL in all four.
+    NULL, empty, broken, truncated and non-baseline images get NULL in all
+    four.  Repeated rows are read each; an empty table gives no rows; columns
+    of the four names are replaced, all others stay.
     """
 
     @F.pandas_udf("width int, height int, thumb_hash string, thumb_crc string")
@@ -312,7 +358,9 @@ def add_media_features(df: DataFrame, media: str = "media") -> DataFrame:
         out = pd.DataFrame(rows, columns=["width", "height", "thumb_hash", "thumb_crc"])
         return out.astype({"width": "Int32", "height": "Int32"})
 
-    return df.withColumn("_features", features(F.col(media))).select(*df.columns, "_features.*")
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), features(F.col(media)).alias("_features"))
+    names = ["width", "height", "thumb_hash", "thumb_crc"]
+    return held.select(*[F.col(f"_row.`{c}`") for c in df.columns if c not in names], *[f"_features.{c}" for c in names])
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_media: bool = False) -> DataFrame:
@@ -320,7 +368,8 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", with_
 
     (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature[, media]).  NULL is stored like an empty text, 64
-    bytes 0; a text of any length is stored whole.
+    bytes 0; a text of any length is stored whole.  Repeated rows are stored
+    each; an empty table gives no rows; other columns are not read.
     """
     schema = f"_id {guarded_type(df, id_col)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", media binary" if with_media else "")
 

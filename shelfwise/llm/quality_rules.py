@@ -130,9 +130,13 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str =
 
 
 def keep_good(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``df``, unchanged, whose documents and hosts pass."""
-    columns = df.columns
-    measured = measure(df.select(F.struct(*columns).alias("_all"), F.col(text).alias("_text"), F.col(host).alias("host")), "_text").drop("_text")
+    """The rows of ``df``, unchanged, whose documents and hosts pass.
+
+    NULL and empty texts have no words and go; NULL hosts are one host;
+    repeated rows are judged each and count each; an empty table gives no rows;
+    columns may have any names.
+    """
+    measured = measure(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), F.col(text).alias("_text"), F.col(host).alias("host")), "_text").drop("_text")
     measured = shared_table(measured)
     bad = host_rates(measured).where(F.col("host_rate") > MAX_HOST_RATE).select(F.col("host").alias("_host"))
     good = measured.where(~F.col("base_failed"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import shared_table, text_or_empty
 
 SHARDS = 16
+#: Rows of a file of write_shards.
+FILE_ROWS = 1_000_000
 
 
 def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -63,10 +65,11 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text") -> None:
-    """Write all columns of ``df`` as one folder per shard, in slot order within files."""
+    """Write all columns of ``df`` as one folder per shard, in slot order within files of at most FILE_ROWS rows."""
     carry = tuple(c for c in df.columns if c not in (id_col, "size", "text_crc32", "shard", "slot"))
     placed = assign_shards(df, shards, id_col, text, carry)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    file = F.floor(F.col("slot") / FILE_ROWS)
+    placed.repartition("shard", file).sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard").parquet(path)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
