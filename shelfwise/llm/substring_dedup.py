@@ -193,13 +193,17 @@ def _removed(rows: DataFrame, width: int, block_bytes: int, with_kept: bool) ->
     settled = shared_table(merges.groupBy("coarse", "fine").applyInPandas(settle, "grp int, coarse long, fine int, repeated binary"))
     repeated = shared_table(sent.groupBy("grp", "coarse").cogroup(settled.groupBy("grp", "coarse")).applyInPandas(spread, "block long, coarse long, repeated binary"))
 
-    # second pass: a message of windows has their hashes, their places (document << 32 | word) and the documents' ids and prints
-    message = ["h1", "h2", "local", "ids", "prints"]
+    # second pass: a message of windows has their hashes, blocks, places (document << 32 | word), and the documents' ids and prints
+    message = {"h1": np.uint64, "h2": np.uint32, "block": np.int64, "local": np.int64, "id": np.int64, "print": np.int64}
     kinds = ", ".join(f"{c} binary" for c in message)
 
+    def sent_as(w: dict[str, np.ndarray], own: np.ndarray) -> tuple[bytes, ...]:
+        own = own[np.lexsort((w["local"][own], w["block"][own]))]
+        return tuple(squeezed(w[c][own].tobytes()) for c in message)
+
     def candidates(docs: pd.DataFrame, bit_rows: pd.DataFrame) -> pd.DataFrame:
         """The windows whose cells are all repeated: first ones in the block to be compared, others at once as later."""
-        names = ["grp", "coarse", "block", *message]
+        names = ["grp", "coarse", "number", "later", *message]
         if not len(docs):
             return pd.DataFrame(columns=names)
         block, number, out = Block(docs.iloc[0], width, wide=True), docs["block"].iloc[0], []
@@ -217,30 +221,20 @@ def _removed(rows: DataFrame, width: int, block_bytes: int, with_kept: bool) ->
         h1, h2 = block.hash[at][order], block.hash2[at][order]
         first = np.ones(len(at), bool)
         first[order[1:]] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        out.append((-1, -1, number, None, None, pack_rising(local[~first]), None, None))
+        out.append((-1, -1, number, pack_rising(local[~first]), *[None] * len(message)))
         at, local = at[first], local[first]
-        for c, own in parts_by(meet.coarse(meet.shard(mixed(block.hash[at], 11))), meet.side):
-            w = at[own]
-            docs_here = np.unique(block.doc[w])
-            out.append((meet.group(number), c, number, squeezed(block.hash[w].tobytes()), squeezed(block.hash2[w].tobytes()), pack_rising(local[own]), squeezed(block.ids[docs_here].tobytes()), squeezed(block.prints[docs_here].tobytes())))
+        w = {"h1": block.hash[at], "h2": block.hash2[at], "block": np.full(len(at), number, np.int64), "local": local, "id": block.ids[block.doc[at]], "print": block.prints[block.doc[at]]}
+        for c, own in parts_by(meet.coarse(meet.shard(mixed(w["h1"], 11))), meet.side):
+            out.append((meet.group(number), c, number, None, *sent_as(w, own)))
         return pd.DataFrame(out, columns=names)
 
-    second = shared_table(blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(candidates, f"grp int, coarse int, block long, {kinds}"))
+    second = shared_table(blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(candidates, f"grp int, coarse int, number long, later binary, {kinds}"))
 
     def windows(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         """All windows of some messages, and which of them have the words of one that starts earlier."""
-        parts: dict[str, list] = {k: [] for k in ("h1", "h2", "local", "block", "id", "print")}
-        for number, h1, h2, local, ids, prints in zip(pdf["block"], *[pdf[c] for c in message], strict=True):
-            local = unpack_rising(local)
-            docs, which = np.unique(local >> 32, return_inverse=True)
-            for k, v in (("h1", np.frombuffer(unsqueezed(h1), np.uint64)), ("h2", np.frombuffer(unsqueezed(h2), np.uint32)), ("local", local), ("block", np.full(len(local), number, np.int64))):
-                parts[k].append(v)
-            for k, v in (("id", ids), ("print", prints)):
-                parts[k].append(np.frombuffer(unsqueezed(v), np.int64)[which])
-        w = {k: np.concatenate(v) for k, v in parts.items()}
+        w = {c: np.concatenate([np.frombuffer(unsqueezed(x), kind) for x in pdf[c]]) for c, kind in message.items()}
         w["place"] = w["local"] & 0xFFFFFFFF
-        keys = [w[k] for k in ("place", "print", "id", "h2", "h1")]
-        order = np.lexsort(keys)
+        order = np.lexsort([w[k] for k in ("place", "print", "id", "h2", "h1")])
         new = np.ones(len(order), bool)
         new[1:] = (w["h1"][order[1:]] != w["h1"][order[:-1]]) | (w["h2"][order[1:]] != w["h2"][order[:-1]])
         head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the earliest of the same words
@@ -248,32 +242,40 @@ def _removed(rows: DataFrame, width: int, block_bytes: int, with_kept: bool) ->
         later[order] = np.any([w[k][order] != w[k][head] for k in ("id", "print", "place")], 0)
         return w | {"later": later}
 
-    def by_block(w: dict[str, np.ndarray], own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The given windows by block, in the order of their places."""
-        own = own[np.lexsort((w["local"][own], w["block"][own]))]
-        edge = np.flatnonzero(np.diff(w["block"][own], prepend=-1))  # blocks count from 0
-        for a, b in zip(edge, np.append(edge[1:], len(own))[: len(edge)], strict=True):
-            yield int(w["block"][own[a]]), own[a:b]
+    def by_block(block: np.ndarray, local: np.ndarray) -> list[tuple[int, bytes]]:
+        order = np.lexsort((local, block))
+        block, local = block[order], local[order]
+        edge = np.flatnonzero(np.diff(block, prepend=-1))  # blocks count from 0
+        return [(int(block[a]), pack_rising(local[a:b])) for a, b in zip(edge, np.append(edge[1:], len(block))[: len(edge)], strict=True)]
 
     def first_of_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Later windows within a group of blocks (shard -1), and the first ones by shard."""
+        """Later windows within a group of blocks (by block, shard -1), and the first ones by shard."""
         g, c, w = pdf["grp"].iloc[0], pdf["coarse"].iloc[0], windows(pdf)
-        out = [(g, c, -1, number, None, None, pack_rising(w["local"][own]), None, None) for number, own in by_block(w, np.flatnonzero(w["later"]))]
+        out = [(g, c, -1, number, later, *[None] * len(message)) for number, later in by_block(w["block"][w["later"]], w["local"][w["later"]])]
         first = np.flatnonzero(~w["later"])
         for s, own in parts_by(meet.shard(mixed(w["h1"][first], 11)) // meet.side, meet.shards // meet.side + 1):
-            for number, at in by_block(w, first[own]):
-                docs, where = np.unique(w["local"][at] >> 32, return_index=True)
-                out.append((g, c, s, number, squeezed(w["h1"][at].tobytes()), squeezed(w["h2"][at].tobytes()), pack_rising(w["local"][at]), squeezed(w["id"][at][where].tobytes()), squeezed(w["print"][at][where].tobytes())))
-        return pd.DataFrame(out, columns=["grp", "coarse", "shard", "block", *message])
+            out.append((g, c, s, -1, None, *sent_as(w, first[own])))
+        return pd.DataFrame(out, columns=["grp", "coarse", "shard", "number", "later", *message])
 
-    groups = shared_table(second.where("grp >= 0").groupBy("grp", "coarse").applyInPandas(first_of_group, f"grp int, coarse int, shard int, block long, {kinds}"))
+    groups = shared_table(second.where("grp >= 0").groupBy("grp", "coarse").applyInPandas(first_of_group, f"grp int, coarse int, shard int, number long, later binary, {kinds}"))
 
     def first_of_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = windows(pdf)
-        return pd.DataFrame([(number, pack_rising(w["local"][own])) for number, own in by_block(w, np.flatnonzero(w["later"]))], columns=["block", "later"])
-
-    exact = groups.where("shard >= 0").groupBy("coarse", "shard").applyInPandas(first_of_all, "block long, later binary")
-    later = exact.unionByName(second.where("grp < 0").select("block", F.col("local").alias("later"))).unionByName(groups.where("shard < 0").select("block", F.col("local").alias("later")))
+        """For each group of blocks, which of its windows have the words of an earlier one in any group."""
+        w, out, at = windows(pdf), [], 0
+        for g, c, blob in zip(pdf["grp"], pdf["coarse"], pdf["h2"], strict=True):
+            own = np.arange(at, at + len(unsqueezed(blob)) // 4)
+            at, own = at + len(own), own[w["later"][own]]
+            out.append((g, c, squeezed(w["block"][own].tobytes()), squeezed(w["local"][own].tobytes())))
+        return pd.DataFrame(out, columns=["grp", "coarse", "block", "local"])
+
+    def spread_later(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, local = (np.concatenate([np.frombuffer(unsqueezed(x), np.int64) for x in pdf[c]]) for c in ("block", "local"))
+        return pd.DataFrame(by_block(block, local), columns=["block", "later"])
+
+    exact = shared_table(groups.where("shard >= 0").groupBy("coarse", "shard").applyInPandas(first_of_all, "grp int, coarse int, block binary, local binary"))
+    later = exact.groupBy("grp", "coarse").applyInPandas(spread_later, "block long, later binary")
+    for table in (second.where("grp < 0"), groups.where("shard < 0")):
+        later = later.unionByName(table.select(F.col("number").alias("block"), "later"))
 
     def remove(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         names = ["_id", "n_words", "n_removed", "kept_sha256", "kept"]
