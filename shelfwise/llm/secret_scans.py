@@ -31,7 +31,7 @@ TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 MIN_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "random")
 #: Share of false discoveries allowed in a class of length and encoding.
-FDR = 0.01
+FDR = 0.05
 #: Tenths of -log10 of a p-value: bins in all, and the last in which a token may still count as random.
 BINS, LAST_BIN = 60, 30
 #: Symbols of each encoding, and where its classes of symbols end.

