@@ -4,7 +4,8 @@ Trained by gradient descent on the negative log likelihood of labelled windows
 (backpropagation through time; forward and backward recursions of the CRF), with
 a share of the emissions' own cross entropy, so that a single character's scores
 say how likely its tags are.  Tag 0 is outside, 2k+1 begins a span of kind k and
-2k+2 goes on with it; nothing else may come before 2k+2.  Everything is seeded, so the same windows give the same weights.
+2k+2 goes on 2k+2 goes on with it; nothing else may come before 2k+2.  The gates are softsigns,
+x / (1 + |x|), which cost a fraction of a tanh. else may come before 2k+2.  Everything is seeded, so the same windows give the same weights.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ def codes(text: str) -> np.ndarray:
     return np.where(points < 128, points, OTHER).astype(np.int16)
 
 
-def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _soft(x):
+    return x / (1 + np.abs(x))
+
+
+def _slope(y):
+    """The derivative of _soft where its value is ``y``."""
+    return (1 - np.abs(y)) ** 2
 
 
 class CharTagger:
@@ -59,11 +65,12 @@ class CharTagger:
         h, c, out, tape = np.zeros((2, n, size), np.float32), np.zeros((2, n, size), np.float32), np.empty((2, steps, n, size), np.float32), []
         for t in range(steps):
             z = pre[:, t] + h @ wh
-            s, g = _sigmoid(z), np.tanh(z[..., 2 * size : 3 * size])
-            i, f, o = s[..., :size], s[..., size : 2 * size], s[..., 3 * size :]
+            z = _soft(z)
+            g = z[..., 2 * size : 3 * size]
+            i, f, o = 0.5 * z[..., :size] + 0.5, 0.5 * z[..., size : 2 * size] + 0.5, 0.5 * z[..., 3 * size :] + 0.5
             old_h, old_c = h, c
             c = f * c + i * g
-            tc = np.tanh(c)
+            tc = _soft(c)
             h = o * tc
             out[:, t] = h
             if keep:
@@ -81,10 +88,11 @@ class CharTagger:
         for t in range(steps - 1, -1, -1):
             i, f, g, o, tc, _, old_c = tape[t]
             dh = dh + dout[:, t]
-            dc = dc + dh * o * (1 - tc * tc)
+            dc = dc + dh * o * _slope(tc)
             now = dz[:, t]
-            now[..., :size], now[..., size : 2 * size] = dc * g * i * (1 - i), dc * old_c * f * (1 - f)
-            now[..., 2 * size : 3 * size], now[..., 3 * size :] = dc * i * (1 - g * g), dh * tc * o * (1 - o)
+            gate = lambda y: 0.5 * _slope(2 * y - 1)
+            now[..., :size], now[..., size : 2 * size] = dc * g * gate(i), dc * old_c * gate(f)
+            now[..., 2 * size : 3 * size], now[..., 3 * size :] = dc * i * _slope(g), dh * tc * gate(o)
             dh, dc = now @ back, dc * f
         flat = dz.reshape(2, steps * n, 4 * size)
         before = np.stack([x[5] for x in tape], 1).reshape(2, steps * n, size)
@@ -96,33 +104,51 @@ class CharTagger:
         dx = (flat @ wx.transpose(0, 2, 1)).reshape(2, steps, n, -1).transpose(0, 2, 1, 3)
         return dx[0] + dx[1, :, ::-1]
 
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """(windows, length, tags) scores of each character's tag.
+    def planes(self, ids: np.ndarray) -> np.ndarray:
+        """(length, tags, windows) scores of each character's tag.
 
-        The same network as in training, without its tape: what a character
-        adds to the gates is looked up, and a sigmoid is a tanh of half its input.
+        The same network as in training, without its tape, and with the
+        windows side by side in memory.
         """
         (n, steps), size, p = ids.shape, self.hidden, self.p
-        half = np.full(4 * size, 0.5, np.float32)
-        half[2 * size : 3 * size] = 1
-        table, wh = (p["emb"] @ self._both("wx") + self._both("b")[:, None]) * half, self._both("wh") * half
-        seq = np.ascontiguousarray(ids.T)
-        h, c = np.zeros((2, n, size), np.float32), np.zeros((2, n, size), np.float32)
-        z, added, out = np.empty((2, n, 4 * size), np.float32), np.empty((n, 4 * size), np.float32), np.empty((2, steps, n, size), np.float32)
-        i, f, g, o = (z[..., k * size : (k + 1) * size] for k in range(4))
-        one, point = np.float32(1), np.float32(0.5)
-        for t in range(steps):
-            np.matmul(h, wh, out=z)
-            for d, place in ((0, t), (1, steps - 1 - t)):
-                z[d] += np.take(table[d], seq[place], axis=0, out=added)
-            np.tanh(z, out=z)
-            c *= (f + one) * point
-            c += (i + one) * g * point
-            np.tanh(c, out=h)
-            h *= (o + one) * point
-            out[:, t] = h
-        scores = out[0] @ p["out"][:size] + out[1, ::-1] @ p["out"][size:] + p["bias"]
-        return scores.transpose(1, 0, 2)
+        x = np.ascontiguousarray(p["emb"][ids].transpose(1, 2, 0))
+        wide = x.shape[1]
+        out = np.empty((2, steps, size, n), np.float32)
+        one, half = np.float32(1), np.float32(0.5)
+        for d, name in enumerate("fb"):
+            weights = np.concatenate((p[f"wx{name}"], p[f"wh{name}"], p[f"b{name}"][None])).T.astype(np.float32)
+            held = np.zeros((wide + size + 1, n), np.float32)  # a character, the last output, 1
+            held[-1] = 1
+            h, c, z, y = held[wide : wide + size], np.zeros((size, n), np.float32), np.empty((4 * size, n), np.float32), np.empty((4 * size, n), np.float32)
+            i, f, g, o = (z[k * size : (k + 1) * size] for k in range(4))
+            soft = y[:size]
+            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+                held[:wide] = x[t]
+                np.matmul(weights, held, out=z)
+                np.abs(z, out=y)
+                y += one
+                z /= y
+                f += one
+                i += one
+                c *= f
+                i *= g
+                c += i
+                c *= half
+                np.abs(c, out=soft)
+                soft += one
+                np.divide(c, soft, out=soft)
+                o += one
+                o *= half
+                np.multiply(o, soft, out=h)
+                out[d, t] = h
+        scores = np.matmul(p["out"][:size].T, out[0])
+        scores += np.matmul(p["out"][size:].T, out[1])
+        scores += p["bias"][:, None]
+        return scores
+
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """(windows, length, tags) scores of each character's tag."""
+        return self.planes(ids).transpose(2, 0, 1)
 
     def loss(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tag sequences, and its gradient.
@@ -223,31 +249,40 @@ class CharTagger:
             out[i] = tags[a : a + n]
         return out
 
-    def may_be_inside(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """For each array of scores, which characters the best tag sequence can have inside a span; all others are outside in it.
+    def gains(self, planes: np.ndarray) -> np.ndarray:
+        """(windows, length): the most that a character can add to a run of tags other than 0, against tag 0.
+
+        ``planes`` are (length, tags, windows) scores.  What averaged scores
+        can add is never more than the largest of what each can add.
+        """
+        _, trans = self._moves()
+        best, still = None, trans[0, 0]
+        for b in range(1, self.tags, 2):
+            on = planes[:, b + 1] + trans[b + 1, b + 1]
+            new = planes[:, b] + max(trans[b, b + 1] - trans[b + 1, b + 1], 0) + max((trans[1:, b] - still).max(), 0) + still
+            on = np.maximum(on, new, out=on)
+            best = on if best is None else np.maximum(best, on, out=best)
+        best -= planes[:, 0] + still
+        return np.ascontiguousarray(best.T)
+
+    def may_be_inside(self, gain: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which characters the best tag sequence can have inside a span, of texts one after the other; all others are outside in it.
 
-        A run of tags other than 0 is worth no more, against tag 0 throughout,
-        than the sum of what each of its characters can gain, less what going
-        in and out costs.  Only characters in a run of positive worth are left.
+        ``gain`` has a place after each text that is not read.  A run of tags
+        other than 0 is worth no more, against tag 0 throughout, than the sum of
+        its gains less what going in and out costs.  Only characters in a run
+        of positive worth are left.
         """
         first, trans = self._moves(np.float64)
-        begin, inner = np.arange(1, self.tags, 2), np.arange(2, self.tags, 2)
-        still = trans[0, 0]
-        lengths = np.array([len(s) for s in scores])
-        flat = np.concatenate([x for s in scores for x in (s, np.zeros((1, self.tags), np.float32))]).astype(np.float64)
-        go_on = (flat[:, inner] + trans[inner, inner]).max(1) - still
-        anew = (flat[:, begin] + np.maximum(trans[begin, inner] - trans[inner, inner], 0) + np.maximum(trans[1:, begin].max(0) - still, 0)).max(1)
-        gain = np.maximum(go_on, anew) - flat[:, 0]
-        ends = np.cumsum(lengths + 1)
-        enter, leave = trans[0, begin].max() - still, trans[1:, 0].max() - still
-        starts = ends - lengths - 1
+        still, ends = trans[0, 0], np.cumsum(lengths + 1)
+        starts, gain = ends - lengths - 1, gain.astype(np.float64) + 1e-3
+        enter, leave = trans[0, 1::2].max() - still, trans[1:, 0].max() - still
         gain[starts] += max(0.0, (first[1:] - first[0]).max() - enter)
         gain[np.maximum(ends - 2, starts)] += max(0.0, -leave)
         gain[ends - 1] = -1e7  # between two texts
         total = np.concatenate(([0.0], np.cumsum(gain)))
         most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
-        near = most > -(enter + leave)
-        return [near[a : a + n] for a, n in zip(starts, lengths, strict=True)]
+        return most > -(enter + leave)
 
     def posteriors(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
         """(length, tags) probability of each character's tag, under all tag sequences, for each array of scores."""

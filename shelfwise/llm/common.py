@@ -144,8 +144,8 @@ def restored_id(df: DataFrame, id_col: str) -> Column:
 _CODEC = "zstd"
 
 
-def squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.Codec(_CODEC).compress(data, asbytes=True)
+def squeezed(data: bytes, level: int = 1) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=level).compress(data, asbytes=True)
 
 
 def unsqueezed(blob: bytes) -> bytes:
@@ -164,7 +164,7 @@ def packed_blocks(rows: DataFrame, numbers: dict[str, str], block_bytes: int = B
 
     def packed(parts: list[pd.DataFrame]) -> pd.DataFrame:
         texts = [bytes(x) for p in parts for x in p["_text"]]
-        out = {"n": [len(texts)], "text_bytes": [sum(map(len, texts))], "_text": [squeezed(byte_lengths(texts).tobytes() + b"".join(texts))]}
+        out = {"n": [len(texts)], "text_bytes": [sum(map(len, texts))], "_text": [squeezed(byte_lengths(texts).tobytes() + b"".join(texts), 3)]}
         for c, kind in numbers.items():
             out[c] = [squeezed(np.concatenate([p[c].to_numpy(kind) for p in parts]).tobytes())]
         return pd.DataFrame(out)

@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 
 from . import context_tree as tree
 from .common import (
-    BLOCK_BYTES, Exchange, Words, block_numbers, block_texts, byte_lengths, guarded_id, mixed, packed_blocks, parts_by, passing_tables, restored_id, runs, shared_table, squeezed, text_bytes, unsqueezed,
+    BLOCK_BYTES, Exchange, Words, block_numbers, block_texts, byte_lengths, forget, guarded_id, mixed, packed_blocks, parts_by, passing_tables, restored_id, runs, shared_table, squeezed, text_bytes, unsqueezed,
 )
 
 #: One part in FOLDS is held out: the documents whose id, as text, has this remainder of its crc32.
 FOLDS, HELD_OUT = 5, 1
-_END_WORD = np.uint64(0x5EEDED0FF1CE0001)
-GRAM, WORD = 0, 1
 #: Slots of the table by which a block finds its keys.
 _SLOT_BITS = 22
+_END_WORD = np.uint64(0x5EEDED0FF1CE0001)
+GRAM, WORD = 0, 1
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -79,6 +79,27 @@ class Lookup:
         return at
 
 
+#: Bytes kept of a log10 probability, in steps of 2^-35 (3e-11).
+_VALUE_BYTES, _STEP = 5, 35
+
+
+def pack_values(values: np.ndarray, kind: int) -> bytes:
+    """Word counts, or log10 probabilities from -16 to 0."""
+    if kind == WORD:
+        return pack_array(values)
+    steps = np.rint(-values * (1 << _STEP)).astype(np.int64)
+    return squeezed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :_VALUE_BYTES].T).tobytes())
+
+
+def unpack_values(blob: bytes, kind: int) -> np.ndarray:
+    if kind == WORD:
+        return unpack_array(blob, np.int64)
+    planes = np.frombuffer(unsqueezed(blob), np.uint8).reshape(_VALUE_BYTES, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :_VALUE_BYTES] = planes.T
+    return steps.view(np.int64).ravel() / -float(1 << _STEP)
+
+
 def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Gram keys and word keys of lower-cased texts with their end, and how many of each a text has."""
     data, starts, ends = tree.layout(texts)
@@ -87,9 +108,6 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tree.keys_of(data, starts, ends), ends - starts, words, w.count + 1
 
 
-_KINDS = {GRAM: np.float64, WORD: np.int64}
-
-
 def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte).
 
@@ -142,6 +160,16 @@ def _scored(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
                         out.append((meet.group(row["block"]), c, row["block"], kind, pack_keys(key[own]), pack_array(n[own].astype(np.uint32))))
                 yield pd.DataFrame(out, columns=["grp", "coarse", "block", "kind", "keys", "counts"])
 
+    def own_keys(texts: list[bytes]) -> dict[int, list[np.ndarray]]:
+        """The distinct keys of a block, for each coarse shard, as count() has sent them."""
+        keys: dict[int, list] = {GRAM: [], WORD: []}
+        for a, b in runs(byte_lengths(texts)):
+            grams, _, words, _ = _keys(texts[a:b])
+            keys[GRAM].append(np.unique(grams))
+            keys[WORD].append(np.unique(words))
+        distinct = {kind: np.unique(np.concatenate(parts)) for kind, parts in keys.items()}
+        return {kind: [(c, key[own]) for c, own in parts_by(meet.coarse(shard_of(kind, key)), meet.side)] for kind, key in distinct.items()}
+
     sent = shared_table(blocks.mapInPandas(count, "grp int, coarse int, block long, kind int, keys binary, counts binary"))
 
     def merged(pdf: pd.DataFrame, kind: int, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -185,39 +213,44 @@ def _scored(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
             table = {GRAM: (built.levels[tree.DEPTH].key, built.log10(top.value)), WORD: merged(asked, WORD, np.int64)}
             for g, c, kind, blob in zip(asked["grp"], asked["coarse"], asked["kind"], asked["keys"], strict=True):
                 keys, values = table[kind]
-                out.append((g, c, kind, blob, pack_array(values[np.searchsorted(keys, unpack_keys(blob))])))
+                out.append((g, c, kind, blob, pack_values(values[np.searchsorted(keys, unpack_keys(blob))], kind)))
         return pd.DataFrame(out, columns=["grp", "coarse", "kind", "keys", "values"])
 
     answers = shared_table(
         asked.groupBy("shard").cogroup(sums.select("shard", "keys", "counts").groupBy("shard")).applyInPandas(answer, "grp int, coarse int, kind int, keys binary, values binary")
     )
 
-    def found(back: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        own = back[back["kind"] == kind]
-        keys = np.concatenate([np.zeros(0, np.uint64), *[unpack_keys(x) for x in own["keys"]]])
-        values = np.concatenate([np.zeros(0, _KINDS[kind]), *[unpack_array(x, _KINDS[kind]) for x in own["values"]]])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], values[order]
+    forget(asked)
+    forget(sums)
 
     def spread(asked: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        """A group's answers, to each block what it asked for."""
-        table, out = {kind: found(back, kind) for kind in _KINDS}, []
-        for block, kind, blob in zip(asked["block"], asked["kind"], asked["keys"], strict=True):
-            keys, values = table[kind]
-            out.append((block, kind, blob, pack_array(values[np.searchsorted(keys, unpack_keys(blob))])))
-        return pd.DataFrame(out, columns=["block", "kind", "keys", "values"])
-
-    to_blocks = shared_table(sent.groupBy("grp", "coarse").cogroup(answers.groupBy("grp", "coarse")).applyInPandas(spread, "block long, kind int, keys binary, values binary"))
+        """A group's answers: to each block, the values of the keys it sent, in their order."""
+        out = []
+        for kind in (GRAM, WORD):
+            own = back[back["kind"] == kind]
+            if len(own):
+                keys, values = np.concatenate([unpack_keys(x) for x in own["keys"]]), np.concatenate([unpack_values(x, kind) for x in own["values"]])
+                order = np.argsort(keys, kind="stable")
+                keys, values = keys[order], values[order]
+                own = asked[asked["kind"] == kind]
+                out += [(block, c, kind, pack_values(values[np.searchsorted(keys, unpack_keys(blob))], kind)) for block, c, blob in zip(own["block"], own["coarse"], own["keys"], strict=True)]
+        return pd.DataFrame(out, columns=["block", "coarse", "kind", "values"])
+
+    to_blocks = shared_table(sent.groupBy("grp", "coarse").cogroup(answers.groupBy("grp", "coarse")).applyInPandas(spread, "block long, coarse int, kind int, values binary"))
+    forget(sent)
+    forget(answers)
 
     def apply(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         names = ["_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"]
         if not len(docs):
             return pd.DataFrame(columns=names)
         row, look = docs.iloc[0], {}
-        for kind in _KINDS:
-            keys, values = found(back, kind)
-            look[kind] = Lookup(keys), values
         texts, parts = [t.lower() for t in block_texts(row)], []
+        held = {(kind, c): blob for kind, c, blob in zip(back["kind"], back["coarse"], back["values"], strict=True)}
+        for kind, own in own_keys(texts).items():
+            keys, values = np.concatenate([k for _, k in own]), np.concatenate([unpack_values(held[kind, c], kind) for c, _ in own])
+            order = np.argsort(keys)
+            look[kind] = Lookup(keys[order]), values[order]
         for a, b in runs(byte_lengths(texts)):
             grams, per_text, words, per_words = _keys(texts[a:b])
             at, values = look[GRAM]

@@ -28,12 +28,12 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents that give training windows at most, windows of each, and made-up texts beside them.
 SAMPLE_DOCS = 300
 SAMPLE_WINDOWS = 8
-MADE_UP = 1400
+MADE_UP = 1000
 #: Characters of a window in training, and in use with the step to the next one.
 TRAIN_WINDOW = 72
-WINDOW, STRIDE = 256, 216
+WINDOW, STRIDE = 256, 224
 #: Windows that the tagger reads at a time.
-BATCH = 1024
+BATCH = 512
 #: Added to the score of a character known to be outside.
 OUTSIDE = 100.0
 #: Least probability of each character of a span.
@@ -195,53 +195,73 @@ def train(sample: list[tuple[np.ndarray, np.ndarray]]) -> tuple[CharTagger, list
 
 
 def stretches(inside: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of the characters marked, with one on either side, those that touch as one."""
-    near = np.flatnonzero(inside)
-    if not len(near):
-        return []
-    cut = np.flatnonzero(np.diff(near) > 3)
-    first, last = near[np.concatenate(([0], cut + 1))], near[np.concatenate((cut, [len(near) - 1]))]
-    return list(zip(np.maximum(first - 1, 0).tolist(), np.minimum(last + 2, len(inside)).tolist(), strict=True))
+    """Ranges of the characters marked."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    return list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 _WEIGHT = (1 - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2) / (WINDOW / 2) + 0.05).astype(np.float32)[:, None]
 
 
-def scores_of(model: CharTagger, texts: list[str]) -> list[np.ndarray]:
-    """(length, tags) scores of each text's characters, averaged over the windows that hold them."""
-    ids = [codes(t) for t in texts]
-    windows = [(i, at) for i, x in enumerate(ids) for at in range(0, max(1, len(x) - WINDOW + STRIDE), STRIDE) if len(x)]
-    windows.sort(key=lambda w: min(WINDOW, len(ids[w[0]]) - w[1]))  # short ones together
-    sums, shares = [np.zeros((len(x), model.tags), np.float32) for x in ids], [np.zeros((len(x), 1), np.float32) for x in ids]
-    for a in range(0, len(windows), BATCH):
-        part = windows[a : a + BATCH]
-        length = max(min(WINDOW, len(ids[i]) - at) for i, at in part)
-        batch = np.full((len(part), length), PAD, np.int16)
-        for row, (i, at) in enumerate(part):
-            own = ids[i][at : at + length]
-            batch[row, : len(own)] = own
-        for (i, at), scores in zip(part, model.emissions(batch), strict=True):
-            n = min(length, len(ids[i]) - at)
-            sums[i][at : at + n] += scores[:n] * _WEIGHT[:n]
-            shares[i][at : at + n] += _WEIGHT[:n]
-    return [s / w for s, w in zip(sums, shares, strict=True)]
+class Read:
+    """The tagger's scores of some texts, read in windows."""
+
+    def __init__(self, model: CharTagger, texts: list[str]):
+        ids = [codes(t) for t in texts]
+        self.lengths, self.tags = np.array([len(x) for x in ids]), model.tags
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths + 1)))[:-1]
+        windows = [(i, at) for i, x in enumerate(ids) for at in range(0, max(1, len(x) - WINDOW + STRIDE), STRIDE) if len(x)]
+        windows.sort(key=lambda w: min(WINDOW, len(ids[w[0]]) - w[1]))  # short ones together
+        self.place, self.planes = {w: divmod(k, BATCH) for k, w in enumerate(windows)}, []
+        gain = np.full(int((self.lengths + 1).sum()), -1e6, np.float32)
+        for a in range(0, len(windows), BATCH):
+            part = windows[a : a + BATCH]
+            length = min(WINDOW, len(ids[part[-1][0]]) - part[-1][1])
+            batch = np.full((len(part), length), PAD, np.int16)
+            for row, (i, at) in enumerate(part):
+                own = ids[i][at : at + length]
+                batch[row, : len(own)] = own
+            self.planes.append(model.planes(batch))
+            for (i, at), own in zip(part, model.gains(self.planes[-1]), strict=True):
+                here = gain[self.starts[i] + at : self.starts[i] + min(at + length, self.lengths[i])]
+                np.maximum(here, own[: len(here)], out=here)
+        self.inside = model.may_be_inside(gain, self.lengths) if len(gain) else gain > 0
+
+    def scores(self, i: int, a: int, b: int) -> np.ndarray:
+        """(b - a, tags) scores of the characters from a to b of text i, averaged over the windows that hold them."""
+        out, shares = np.zeros((b - a, self.tags), np.float32), np.zeros((b - a, 1), np.float32)
+        for at in range(max(0, (a - WINDOW) // STRIDE) * STRIDE, b, STRIDE):
+            if (i, at) in self.place:
+                batch, row = self.place[i, at]
+                held = self.planes[batch]
+                lo, hi = max(a, at), min(b, at + len(held), int(self.lengths[i]))
+                if lo < hi:
+                    weight = _WEIGHT[lo - at : hi - at]
+                    out[lo - a : hi - a] += held[lo - at : hi - at, :, row] * weight
+                    shares[lo - a : hi - a] += weight
+        return out / shares
 
 
 def tagged_spans(model: CharTagger, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
     """(start, kind, end, least probability of a character) of the spans that the tagger finds in each text, before any check."""
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     for first, last in runs(byte_lengths(texts)):
-        scores = scores_of(model, texts[first:last])
+        read = Read(model, texts[first:last])
         # what surrounds a stretch is outside in the best sequence, so each can be decoded by itself
-        ranges = [(i, a, b) for i, inside in enumerate(model.may_be_inside(scores)) for a, b in stretches(inside)]
-        held = [scores[i][a:b].copy() for i, a, b in ranges]
-        for s, (i, a, b) in zip(held, ranges, strict=True):
+        near = stretches(read.inside)
+        whose = np.searchsorted(read.starts, [a for a, _ in near], "right") - 1
+        ranges, held = [], []
+        for (a, b), i in zip(near, whose.tolist(), strict=True):
+            a, b = max(a - int(read.starts[i]) - 1, 0), min(b - int(read.starts[i]) + 1, int(read.lengths[i]))
+            s = read.scores(i, a, b)
             s[0, 0] += OUTSIDE * (a > 0)
-            s[-1, 0] += OUTSIDE * (b < len(scores[i]))
+            s[-1, 0] += OUTSIDE * (b < read.lengths[i])
+            ranges.append((i, a))
+            held.append(s)
         tags = model.decode(held)
         some = [k for k, best in enumerate(tags) if best.any()]
         for k, sure in zip(some, model.posteriors([held[k] for k in some]), strict=True):
-            (i, begin, _), best, t = ranges[k], tags[k], 0
+            (i, begin), best, t = ranges[k], tags[k], 0
             while t < len(best):
                 if not best[t]:
                     t += 1

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BLOCK_BYTES, Exchange, Words, block_numbers, block_texts, byte_lengths, guarded_id, mixed, pack_rising, packed_blocks, parts_by, passing_tables, restored_id, runs, shared_table, squeezed, text_bytes, unpack_rising,
+    BLOCK_BYTES, Exchange, Words, block_numbers, block_texts, byte_lengths, forget, guarded_id, mixed, pack_rising, packed_blocks, parts_by, passing_tables, restored_id, runs, shared_table, squeezed, text_bytes, unpack_rising,
     unsqueezed,
 )
 
@@ -193,6 +193,9 @@ def _removed(rows: DataFrame, width: int, block_bytes: int, with_kept: bool) ->
     settled = shared_table(merges.groupBy("coarse", "fine").applyInPandas(settle, "grp int, coarse long, fine int, repeated binary"))
     repeated = shared_table(sent.groupBy("grp", "coarse").cogroup(settled.groupBy("grp", "coarse")).applyInPandas(spread, "block long, coarse long, repeated binary"))
 
+    for table in (sent, settled):
+        forget(table)
+
     # second pass: a message of windows has their hashes, blocks, places (document << 32 | word), and the documents' ids and prints
     message = {"h1": np.uint64, "h2": np.uint32, "block": np.int64, "local": np.int64, "id": np.int64, "print": np.int64}
     kinds = ", ".join(f"{c} binary" for c in message)
@@ -230,6 +233,9 @@ def _removed(rows: DataFrame, width: int, block_bytes: int, with_kept: bool) ->
 
     second = shared_table(blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(candidates, f"grp int, coarse int, number long, later binary, {kinds}"))
 
+    late = [shared_table(second.where("grp < 0").select(F.col("number").alias("block"), "later"))]
+    forget(repeated)
+
     def windows(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         """All windows of some messages, and which of them have the words of one that starts earlier."""
         w = {c: np.concatenate([np.frombuffer(unsqueezed(x), kind) for x in pdf[c]]) for c, kind in message.items()}
@@ -259,6 +265,9 @@ def _removed(rows: DataFrame, width: int, block_bytes: int, with_kept: bool) ->
 
     groups = shared_table(second.where("grp >= 0").groupBy("grp", "coarse").applyInPandas(first_of_group, f"grp int, coarse int, shard int, number long, later binary, {kinds}"))
 
+    late.append(shared_table(groups.where("shard < 0").select(F.col("number").alias("block"), "later")))
+    forget(second)
+
     def first_of_all(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each group of blocks, which of its windows have the words of an earlier one in any group."""
         w, out, at = windows(pdf), [], 0
@@ -273,9 +282,10 @@ def _removed(rows: DataFrame, width: int, block_bytes: int, with_kept: bool) ->
         return pd.DataFrame(by_block(block, local), columns=["block", "later"])
 
     exact = shared_table(groups.where("shard >= 0").groupBy("coarse", "shard").applyInPandas(first_of_all, "grp int, coarse int, block binary, local binary"))
+    forget(groups)
     later = exact.groupBy("grp", "coarse").applyInPandas(spread_later, "block long, later binary")
-    for table in (second.where("grp < 0"), groups.where("shard < 0")):
-        later = later.unionByName(table.select(F.col("number").alias("block"), "later"))
+    for table in late:
+        later = later.unionByName(table)
 
     def remove(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         names = ["_id", "n_words", "n_removed", "kept_sha256", "kept"]
