@@ -245,6 +245,12 @@ def runs(sizes: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]
         yield a, len(sizes)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def byte_lengths(texts) -> np.ndarray:
     return np.fromiter(map(len, texts), np.int64, len(texts))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import context_tree as tree
 from .common import (
-    BLOCK_BYTES, Exchange, Words, block_numbers, block_texts, byte_lengths, forget, guarded_id, mixed, packed_blocks, parts_by, passing_tables, restored_id, runs, shared_table, squeezed, text_bytes, unsqueezed,
+    BLOCK_BYTES, Exchange, Words, block_numbers, block_texts, byte_lengths, distinct, forget, guarded_id, mixed, packed_blocks, parts_by, passing_tables, restored_id, runs, shared_table, squeezed, text_bytes, unsqueezed,
 )
 
 #: One part in FOLDS is held out: the documents whose id, as text, has this remainder of its crc32.
@@ -165,10 +165,10 @@ def _scored(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
         keys: dict[int, list] = {GRAM: [], WORD: []}
         for a, b in runs(byte_lengths(texts)):
             grams, _, words, _ = _keys(texts[a:b])
-            keys[GRAM].append(np.unique(grams))
-            keys[WORD].append(np.unique(words))
-        distinct = {kind: np.unique(np.concatenate(parts)) for kind, parts in keys.items()}
-        return {kind: [(c, key[own]) for c, own in parts_by(meet.coarse(shard_of(kind, key)), meet.side)] for kind, key in distinct.items()}
+            keys[GRAM].append(distinct(grams))
+            keys[WORD].append(distinct(words))
+        whole = {kind: distinct(np.concatenate(parts)) for kind, parts in keys.items()}
+        return {kind: [(c, key[own]) for c, own in parts_by(meet.coarse(shard_of(kind, key)), meet.side)] for kind, key in whole.items()}
 
     sent = shared_table(blocks.mapInPandas(count, "grp int, coarse int, block long, kind int, keys binary, counts binary"))
 

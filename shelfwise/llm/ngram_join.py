@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_lengths, guarded_id, mixed, pack_rising, passing_tables, restored_id, runs, shared_table, text_bytes, text_or_empty, unpack_rising
+from .common import Words, byte_lengths, distinct, guarded_id, mixed, pack_rising, passing_tables, restored_id, runs, shared_table, text_bytes, text_or_empty, unpack_rising
 
 WIDTH = 5
 #: Least similarity, in percent.
@@ -64,7 +64,7 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         edge = np.concatenate(([0], np.cumsum(count)))
         for i in range(b - a):
             if count[i]:
-                yield np.unique(h[edge[i] : edge[i + 1]])
+                yield distinct(h[edge[i] : edge[i + 1]])
             elif w.count[i]:
                 whole = w.hash[w.offset[i] : w.offset[i + 1]]
                 yield mixed(np.bitwise_xor.reduce(mixed(whole + np.arange(len(whole), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), keepdims=True), 9)
