@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,11 @@ def row_std(*columns: Column) -> Column:
     return F.sqrt(F.aggregate(present, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.nullif(F.size(present) - 1, F.lit(0)))
 
 
+def variation(x: str) -> Column:
+    """Sample standard deviation over the mean; NULL where the mean isn't positive."""
+    return F.when(F.avg(x) > 0, F.stddev_samp(x) / F.avg(x))
+
+
 def count_true(*conditions: Column) -> Column:
     out = F.lit(0)
     for c in conditions:
@@ -59,6 +64,24 @@ def ratio(top: Column, bottom: Column, otherwise: float = 0.0) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(otherwise)
 
 
+def exact_median(df, column: str):
+    """One row (middle): the median of a column's values that are not NULL, as the mean of the two middle ones.
+
+    Values are counted first and numbered by running totals over ranges of
+    them, so no task holds all.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    edges = counts.agg(F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
+    ranged = counts.withColumn("_part", sum(((F.col("_v") > e).cast("int") for e in edges), F.lit(0)))
+    sums = ranged.groupBy("_part").agg(F.sum("count").alias("_n"))
+    before = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # at most 64 rows
+    upto = F.col("_before") + F.sum("count").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.join(F.broadcast(before), "_part").withColumn("_upto", upto)
+    holds = lambda k: F.min(F.when(F.col("_upto") >= k, F.col("_v")))
+    return placed.agg(((holds((total + 1) // 2) + holds(total // 2 + 1)) / 2).alias("middle"))
+
+
 def composite_decay(days: Column) -> Column:
     """a / sqrt(d) + b * exp(-c d) - 1000, at least 0, days clamped to 1."""
     d = F.greatest(days, F.lit(1))

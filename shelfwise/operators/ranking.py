@@ -107,6 +107,26 @@ def average_rank(score: str, within: list[str]) -> Column:
 def negatives(candidates: DataFrame, label: str, per_positive: int = 4, least: int = 4, seed: int = 7) -> DataFrame:
     """All positives and, per customer, a hash-ordered sample of negatives."""
     w = Window.partitionBy("cust")
-    draw = Window.partitionBy("cust", label).orderBy(F.xxhash64("cust", "art", F.lit(seed)), "art")
+    draw = Window.partitionBy("cust", label).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("cust").cast("string"), F.col("art").cast("string"))), "art")
     sized = candidates.withColumn("_pos", F.sum(label).over(w)).withColumn("_n", F.row_number().over(draw))
     return sized.where((F.col(label) == 1) | (F.col("_n") <= F.greatest(F.col("_pos") * per_positive, F.lit(least)))).drop("_pos", "_n")
+
+
+def key_check(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (keys, repeated, most): distinct keys, those with several rows, and the most rows of one; ``most`` of 1 means that a join on them multiplies nothing."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return n.agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("_n") > 1).alias("repeated"), F.max("_n").alias("most"))
+
+
+def time_folds(purchases: DataFrame, folds: int, label_weeks: int, history_weeks: int) -> DataFrame:
+    """(fold, cust, art, n, label): for each fold, pairs of its history with their purchases, and whether its label weeks have them too.
+
+    Fold 0 has the last weeks as labels, fold 1 those before, and so on; a
+    purchase is dealt at once to every fold that it belongs to.
+    """
+    weeks, w = range(folds), F.col("week")
+    first = lambda f: label_weeks * (f + 1)
+    roles = F.array(*[F.struct(F.lit(f).alias("fold"), F.when(w.between(label_weeks * f, first(f) - 1), 1).when(w.between(first(f), first(f) + history_weeks - 1), 0).alias("y")) for f in weeks])
+    dealt = purchases.select("cust", "art", F.explode(roles).alias("r")).select("cust", "art", "r.fold", "r.y").where("y is not null")
+    found = dealt.groupBy("fold", "cust", "art").agg(F.count_if(F.col("y") == 0).alias("n"), F.max("y").alias("label"))
+    return found.where("n > 0").select("fold", "cust", "art", "n", "label")

@@ -26,7 +26,11 @@ def expanding(f, c: str | Column, keys: list[str], order: str) -> Column:
 
 
 def calendar_lag(df: DataFrame, keys: list[str], date: str, value: str, days: int, name: str) -> DataFrame:
-    """The value ``days`` days earlier, NULL if that day has no row; one window instead of a self join."""
+    """The value ``days`` days earlier, NULL if that day has no row; one window instead of a self join.
+
+    Where that day has several rows of the key their values are summed; a self
+    join would repeat the row for each.
+    """
     number = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
     w = Window.partitionBy(*keys).orderBy(number).rangeBetween(-days, -days)
     return df.withColumn(name, F.sum(value).over(w))
@@ -69,8 +73,15 @@ def dense_grid(sales: DataFrame, keys: list[str], date: str, value: str, first:
 
 
 def carry_shift(df: DataFrame, keys: list[str], week: str, value: str, share: float, weeks: tuple[int, int]) -> DataFrame:
-    """In the given weeks of the year, move ``share`` of the running value on to the next row of the key."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(week).alias("w"), F.weekofyear(week).alias("n"), F.col(value).cast("double").alias("v")))).alias("_rows"))
+    """In the given weeks of the year, move ``share`` of the running value on to the next row of the key.
+
+    A key's rows are cut where nothing is moved on, so what is solved together
+    is the few rows of one year's weeks.
+    """
+    order = by(keys, [week])
+    before = F.lag(F.weekofyear(week).between(*weeks)).over(order)
+    df = df.withColumn("_piece", F.sum((~F.coalesce(before, F.lit(False))).cast("int")).over(by(keys, [week]).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = df.groupBy(*keys, "_piece").agg(F.sort_array(F.collect_list(F.struct(F.col(week).alias("w"), F.weekofyear(week).alias("n"), F.col(value).cast("double").alias("v")))).alias("_rows"))
     start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<w:date,v:double>>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists, numbers
 from ..operators import ranking
+from ..sources.scratch import scratch
 from .registry import query
 
 
@@ -14,6 +15,14 @@ def tx(s):
     return ranking.with_weeks(s.purchases)
 
 
+def stored(s):
+    """Purchases with weeks, written once for a query that reads them several times."""
+    if not hasattr(s, "stored"):
+        s.purchases.write.parquet(path := f"{scratch(s.spark)}/purchases")
+        s.stored = ranking.with_weeks(s.spark.read.parquet(path))
+    return s.stored
+
+
 def _text(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
@@ -51,24 +60,24 @@ def m06_co_occurrence(s):  # C17, K3, M6
     return ranking.top_per(ranking.pair_counts(s.purchases), ["art"], [F.col("n").desc(), F.col("other")], 5).select("art", "other", "n")
 
 
-_ICF = """s AS (SELECT cust, art, row_number() OVER w AS pos, count(*) OVER (PARTITION BY cust) AS n FROM txw WHERE week < 104 WINDOW w AS (PARTITION BY cust ORDER BY day, art, receipt)),
-v AS (SELECT i.art, j.art AS other, sum(CASE WHEN j.pos > i.pos THEN 1.0 ELSE 0.9 END * pow(0.7, abs(j.pos - i.pos) - 1) / ln(1 + i.n)) AS sim FROM s i JOIN s j ON i.cust = j.cust AND i.pos <> j.pos AND abs(j.pos - i.pos) <= 64 GROUP BY ALL),
+_ICF = """s AS (SELECT cust, art, row_number() OVER w AS pos, count(*) OVER (PARTITION BY cust) AS n FROM txw WINDOW w AS (PARTITION BY cust ORDER BY day, art, receipt)),
+v AS (SELECT i.art, j.art AS other, sum(CASE WHEN j.pos > i.pos THEN 1.0 ELSE 0.9 END * pow(0.7, abs(j.pos - i.pos) - 1) / ln(1 + i.n)) AS sim FROM s i JOIN s j ON i.cust = j.cust AND i.pos <> j.pos GROUP BY ALL),
 t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY art ORDER BY round(sim, 8) DESC, other) <= 20)"""
 
 
 @query("WITH " + _ICF + " SELECT art, other, round(sim, 6) AS sim FROM t", "txw")
 def m07_item_similarity(s):  # C18, F4, M7
-    return ranking.item_similarity(tx(s).where("week < 104"), 20).select("art", "other", F.round("sim", 6).alias("sim"))
+    return ranking.item_similarity(s.purchases, 20).select("art", "other", F.round("sim", 6).alias("sim"))
 
 
 _EXPAND = _ICF + ", n AS (SELECT cust, art FROM (SELECT cust, art, min(days_ago) AS ago FROM txw WHERE week < 26 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cust ORDER BY ago, art) <= 5), x AS (SELECT cust, other AS art, sum(sim) AS score FROM n JOIN t USING (art) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY round(score, 8) DESC, art) AS rank FROM x QUALIFY rank <= 20)"
 
 
 def _expanded(s):
-    t = tx(s)
+    t = stored(s)
     recent = t.where("week < 26").groupBy("cust", "art").agg(F.min("days_ago").alias("ago"))
     recent = ranking.top_per(recent, ["cust"], [F.col("ago"), F.col("art")], 5)
-    return ranking.expand(recent, ranking.item_similarity(t.where("week < 104"), 20).drop("rank"), F.col("sim"), 20)
+    return ranking.expand(recent, ranking.item_similarity(t, 20).drop("rank"), F.col("sim"), 20)
 
 
 @query("WITH " + _EXPAND + " SELECT cust, art, round(score, 6) AS score, rank FROM k", "txw")
@@ -82,8 +91,8 @@ _POP = "p AS (SELECT art, row_number() OVER (ORDER BY round(sum(exp(-0.15 * week
 @query("WITH " + _EXPAND + ", " + _RECENT.format(w=26) + ", " + _POP + """, z AS (SELECT cust, coalesce(items, []) AS a, coalesce(list(k.art ORDER BY k.rank) FILTER (WHERE k.art IS NOT NULL), []) AS b FROM customers LEFT JOIN l USING (cust) LEFT JOIN k USING (cust) GROUP BY cust, items),
 y AS (SELECT cust, a, list_filter(b, lambda q: NOT list_contains(a, q))[1:6] AS b, pop FROM z, pl)
 SELECT cust, array_to_string(list_concat(a, b, list_filter(pop, lambda q: NOT list_contains(a, q) AND NOT list_contains(b, q)))[1:12], ' ') AS items FROM y""", "txw customers")
-def k09_layered_fill(s):  # G3, K9-K12, M3: recent, then at most six similar, then popular
-    t = tx(s)
+def k09_layered_fill(s):  # G3, K9, K10, M3: recent, then at most six similar, then popular
+    t = stored(s)
     popular = ranking.popular(t.where("week < 52"), F.exp(-0.15 * F.col("week")), 12).withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 6).desc(), "art")))  # 12 rows
     pop = F.broadcast(popular.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "art"))), lambda x: x["art"]).alias("pop")))
     similar = ranking.as_list(_expanded(s), ["cust"], "rank", "art", "similar")
@@ -135,7 +144,7 @@ def candidates(s):
 
 
 @query("WITH " + _CAND + " SELECT cust, art, count_score, count_rank, in_count, round(recent_score, 6) AS recent_score, recent_rank, in_recent, in_count + in_recent AS n_channels, CAST((cust, art) IN (SELECT (cust, art) FROM txw WHERE week < 4) AS INT) AS label FROM c", "txw")
-def m08_candidate_features(s):  # C6, E14, G5, M8, M23
+def m08_candidate_features(s):  # C6, E14, G5, M8
     target = tx(s).where("week < 4").select("cust", "art").distinct().withColumn("label", F.lit(1))
     c = candidates(s).join(target, ["cust", "art"], "left")
     return c.withColumn("recent_score", F.round("recent_score", 6)).withColumn("label", F.coalesce("label", F.lit(0)))
@@ -144,7 +153,7 @@ def m08_candidate_features(s):  # C6, E14, G5, M8, M23
 @query("WITH " + _CAND + """, u AS (SELECT cust, art, 'a' AS m, score FROM a UNION ALL SELECT cust, art, 'b', score FROM b), x AS (SELECT *, min(score) OVER (PARTITION BY m) AS lo, max(score) OVER (PARTITION BY m) AS hi FROM u),
 f AS (SELECT cust, art, round(sum(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END), 6) AS fused FROM x GROUP BY ALL)
 SELECT cust, art, fused, rank() OVER (PARTITION BY cust ORDER BY fused DESC) + (count(*) OVER (PARTITION BY cust, fused) - 1) / 2 AS rank FROM f""", "txw")
-def m09_score_fusion(s):  # E12, E13, I11, I12, M9
+def m09_score_fusion(s):  # E12, E13, I11, I12
     c = candidates(s)
     u = c.where("in_count = 1").select("cust", "art", F.lit("a").alias("m"), F.col("count_score").alias("score")).unionByName(c.where("in_recent = 1").select("cust", "art", F.lit("b").alias("m"), F.col("recent_score").alias("score")))
     limits = F.broadcast(u.groupBy("m").agg(F.min("score").alias("lo"), F.max("score").alias("hi")))  # one row per method
@@ -171,7 +180,8 @@ def m14_decay_with_trend(s):
     return j.groupBy("cust", "art").agg(F.round(F.sum(1 / (1 + F.col("days_ago")) * F.coalesce("now", F.lit(0)) / F.col("sold")), 8).alias("score"))
 
 
-@query()
+@query("WITH " + _CAND + """, l AS (SELECT cust, art, CAST((cust, art) IN (SELECT (cust, art) FROM txw WHERE week < 4) AS INT) AS label FROM c)
+SELECT cust, art, label FROM (SELECT *, sum(label) OVER (PARTITION BY cust) AS pos, row_number() OVER (PARTITION BY cust, label ORDER BY md5('7|' || cust || '|' || art), art) AS n FROM l) WHERE label = 1 OR n <= greatest(4 * pos, 4)""", "txw")
 def m22_negative_sampling(s):
     c = m08_candidate_features(s)
     return ranking.negatives(c, "label").select("cust", "art", "label")
@@ -179,7 +189,7 @@ def m22_negative_sampling(s):
 
 @query("""WITH d AS (SELECT unnest(range(0, 11)) / 10.0 AS w), p AS (SELECT quantity AS y, avg(quantity) OVER (PARTITION BY item) AS a, avg(quantity) OVER (PARTITION BY store) AS b FROM daily)
 SELECT round(w, 1) AS w, round(avg(abs(y - (w * a + (1 - w) * b))), 6) AS mae FROM d, p GROUP BY w""", "daily")
-def m28_blend_weights(s):  # K8, M28, M29: eleven weights per row, summed in place
+def m28_blend_weights(s):  # K8, M28: eleven weights per row, summed in place
     p = s.daily.select(F.col("quantity").alias("y"), F.avg("quantity").over(Window.partitionBy("item")).alias("a"), F.avg("quantity").over(Window.partitionBy("store")).alias("b"))
     sums = p.agg(*[F.avg(F.abs(F.col("y") - (i / 10 * F.col("a") + (1 - i / 10) * F.col("b")))).alias(f"w{i}") for i in range(11)])
     rows = F.explode(F.array(*[F.struct(F.lit(i / 10).alias("w"), F.col(f"w{i}").alias("mae")) for i in range(11)])).alias("r")

@@ -26,6 +26,8 @@ def with_views(sql: str, views: str) -> str:
         return sql
     ctes = ", ".join(f"{n} AS ({_VIEWS[n]})" for n in names)
     sql = sql.strip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql[15:]}"
     return f"WITH {ctes}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {ctes} {sql}"
 
 

@@ -29,12 +29,13 @@ def e03_rolling(s):  # E3, E5-E8, O3: all windows of one key share one shuffle a
     return s.daily.select(*KEY, "date", F.round(r(F.avg, 4), 4).alias("mean4"), F.round(r(F.stddev_samp, 13), 4).alias("std13"), r(F.min, 8).alias("min8"), r(F.max, 52).alias("max52"), r(F.sum, 7).alias("sum7"), F.round(series.expanding(F.avg, "quantity", KEY, "date"), 4).alias("expanding"))
 
 
-_GRID = """WITH k AS (SELECT DISTINCT item, store FROM daily WHERE date BETWEEN DATE '2001-03-01' AND DATE '2001-07-31'), g AS (SELECT item, store, d.date, coalesce(quantity, 0) AS quantity FROM k CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2001-03-01', DATE '2001-07-31', INTERVAL 1 DAY)) AS DATE) AS date) d LEFT JOIN daily USING (item, store, date))"""
+_GRID = """WITH k AS (SELECT DISTINCT item, store FROM daily), b AS (SELECT min(date) AS lo, max(date) AS hi FROM daily), g AS (SELECT item, store, d.date, coalesce(quantity, 0) AS quantity FROM k CROSS JOIN (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b) d LEFT JOIN daily USING (item, store, date))"""
 
 
 def grid(s):
-    inside = s.daily.where(F.col("date").between("2001-03-01", "2001-07-31"))
-    return series.dense_grid(inside, KEY, "date", "quantity", "2001-03-01", "2001-07-31")
+    """All keys by all days from the first to the last of the table."""
+    first, last = s.table("lineitem").agg(F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first()
+    return series.dense_grid(s.daily, KEY, "date", "quantity", first, last)
 
 
 @query(_GRID + f" SELECT item, store, date, quantity, round(coalesce({_frames('avg(quantity)', 7)}, 0), 4) AS mean7, round(coalesce({_frames('stddev_samp(quantity)', 30)}, 0), 4) AS std30 FROM g", "daily")
@@ -43,38 +44,32 @@ def e04_rolling_sql_frame(s):  # E4, M1, C8
     return grid(s).select(*KEY, "date", "quantity", F.round(F.coalesce(r(F.avg, 7), F.lit(0.0)), 4).alias("mean7"), F.round(F.coalesce(r(F.stddev_samp, 30), F.lit(0.0)), 4).alias("std30"))
 
 
-@query("""WITH w AS (SELECT item, store, week, quantity, row_number() OVER (PARTITION BY item, store ORDER BY week) AS n FROM weekly WHERE week >= DATE '2000-06-01')
+@query("""WITH w AS (SELECT item, store, week, quantity, row_number() OVER (PARTITION BY item, store ORDER BY week) AS n FROM weekly)
 SELECT a.item, a.store, a.week, round(sum(b.quantity * pow(0.75, a.n - b.n - 1)) / sum(pow(0.75, a.n - b.n - 1)), 5) AS ewm7 FROM w a LEFT JOIN w b ON a.item = b.item AND a.store = b.store AND b.n < a.n GROUP BY ALL""", "weekly")
-def e09_ewm(s):  # from a week on, as its SQL, a self join
-    return _ewm(s.weekly.where(F.col("week") >= F.lit("2000-06-01").cast("date")))
+def e09_ewm(s):
+    return s.weekly.select(*KEY, "week", F.round(series.ewm_mean("quantity", 7, KEY, "week"), 5).alias("ewm7"))
 
 
-@query()
-def e09_ewm_whole(s):  # all weeks, so tested against pandas
-    return _ewm(s.weekly)
-
-
-def _ewm(weekly):
-    return weekly.select(*KEY, "week", F.round(series.ewm_mean("quantity", 7, KEY, "week"), 5).alias("ewm7"))
-
-
-@query("""WITH f AS (SELECT item, store, date, avg(price) AS price FROM sales GROUP BY ALL), t AS (SELECT item, store, CAST(d AS DATE) AS date FROM (SELECT DISTINCT item, store FROM sales) CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2001-01-01', TIMESTAMP '2001-06-01', INTERVAL 1 MONTH)) AS d))
+@query("""WITH f AS (SELECT item, store, date, avg(price) AS price FROM sales GROUP BY ALL), t AS (SELECT item, store, CAST(d AS DATE) AS date FROM (SELECT DISTINCT item, store FROM sales) CROSS JOIN (SELECT unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS d FROM sales))
 SELECT t.item, t.store, t.date, round(f.price, 7) AS price FROM t ASOF LEFT JOIN f ON t.item = f.item AND t.store = f.store AND t.date >= f.date""", "sales")
 def c10_as_of(s):  # C10, E10
     facts = s.sales.groupBy(*KEY, "date").agg(F.avg("price").alias("price"))
-    months = s.spark.range(1).select(F.explode(F.sequence(F.lit("2001-01-01").cast("date"), F.lit("2001-06-01").cast("date"), F.expr("interval 1 month"))).alias("date"))
-    targets = s.sales.select(*KEY).distinct().crossJoin(F.broadcast(months))  # six months
+    first, last = s.table("lineitem").agg(F.trunc(F.to_date(F.min("l_shipdate")), "month"), F.trunc(F.to_date(F.max("l_shipdate")), "month")).first()
+    months = s.spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 month"))).alias("date"))
+    targets = s.sales.select(*KEY).distinct().crossJoin(F.broadcast(months))  # a row per month
     return series.as_of(targets, facts, KEY, "date", ["price"]).select(*KEY, "date", F.round("price", 7).alias("price"))
 
 
-@query("SELECT a.item, a.store, a.week, a.quantity, b.quantity AS lag52, round((coalesce(b.quantity, c.quantity) + coalesce(c.quantity, b.quantity)) / 2, 4) AS around FROM weekly a LEFT JOIN weekly b ON a.item = b.item AND a.store = b.store AND b.week = a.week - 364 LEFT JOIN weekly c ON a.item = c.item AND a.store = c.store AND c.week = a.week - 357", "weekly")
+@query("WITH w AS MATERIALIZED (SELECT * FROM weekly) SELECT a.item, a.store, a.week, a.quantity, b.quantity AS lag52, round((coalesce(b.quantity, c.quantity) + coalesce(c.quantity, b.quantity)) / 2, 4) AS around FROM w a LEFT JOIN w b ON a.item = b.item AND a.store = b.store AND b.week = a.week - 364 LEFT JOIN w c ON a.item = c.item AND a.store = c.store AND c.week = a.week - 357", "weekly")
 def c04_year_ago(s):  # C4, M20
     w = series.calendar_lag(series.calendar_lag(s.weekly, KEY, "week", "quantity", 364, "lag52"), KEY, "week", "quantity", 357, "lag51")
     return w.select(*KEY, "week", "quantity", "lag52", F.round(numbers.row_mean(F.col("lag52"), F.col("lag51")), 4).alias("around"))
 
 
-@query()
-def e15_carry_shift(s):  # recursive along the series, so tested by a loop
+@query("""WITH RECURSIVE w AS MATERIALIZED (SELECT *, weekofyear(week) BETWEEN 48 AND 51 AS gives, row_number() OVER (PARTITION BY item, store ORDER BY week) AS n FROM weekly),
+r AS (SELECT item, store, week, n, gives, quantity AS held FROM w WHERE n = 1 UNION ALL SELECT w.item, w.store, w.week, w.n, w.gives, w.quantity + CASE WHEN r.gives THEN r.held * 2.5 / 7 ELSE 0 END FROM r JOIN w ON w.item = r.item AND w.store = r.store AND w.n = r.n + 1)
+SELECT item, store, week, round(CASE WHEN gives THEN held - held * 2.5 / 7 ELSE held END, 6) AS quantity FROM r""", "weekly")
+def e15_carry_shift(s):  # recursive along the series
     return series.carry_shift(s.weekly, KEY, "week", "quantity", 2.5 / 7, (48, 51)).withColumn("quantity", F.round("quantity", 6))
 
 
@@ -122,3 +117,18 @@ def n01_streaming_windows(s):  # an extension: the reference has no streams
     from ..streaming.windows import hourly_totals
 
     return hourly_totals(s.spark, f"{s.folder}/events.parquet")
+
+
+@query("SELECT CAST(w AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w, event_type, value FROM events) GROUP BY ALL")
+def n02_sliding_windows(s):  # windows of two hours, one every hour
+    from ..streaming.windows import hourly_totals
+
+    return hourly_totals(s.spark, f"{s.folder}/events.parquet", "2 hours", "1 hour")
+
+
+@query("""WITH e AS (SELECT user_id, ts, value, ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS opens FROM events), s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, session""")
+def n03_session_windows(s):  # a session ends after six hours without an event
+    from ..streaming.windows import sessions
+
+    return sessions(s.spark, f"{s.folder}/events.parquet", "6 hours")

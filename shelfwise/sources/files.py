@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import scratch
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, sep: str = ",", dates: dict[str, str] | None = None, rows: int | None = None, order: list[str] | None = None) -> DataFrame:
     """A CSV file with header under a declared schema (no inference pass).
@@ -25,8 +27,8 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | N
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with header, for results of a size that people read."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with header, one per partition."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -53,10 +55,20 @@ def write_mapping(df: DataFrame, column: str, path: str) -> DataFrame:
 
 
 def dense_codes(df: DataFrame, column: str) -> DataFrame:
-    """(column, code): codes from 0 by value, numbered per range partition and offset by what lies before."""
+    """(column, code): codes from 0 by value, numbered per range partition and offset by what lies before.
+
+    The ranges are those of quantiles of the values, so a value's partition
+    follows from the value and a task that runs again gives the same codes.
+    """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    indexed = values.sort(column).rdd.map(lambda r: r[0]).zipWithIndex()
-    return df.sparkSession.createDataFrame(indexed, f"{column} {df.schema[column].dataType.simpleString()}, code long")
+    parts = values.repartitionByRange(F.col(column)).withColumn("_part", F.spark_partition_id())
+    path = f"{scratch(df.sparkSession)}/codes"
+    parts.write.parquet(path)
+    parts = df.sparkSession.read.parquet(path)
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.groupBy("_part").count().select("_part", before.alias("_before"))  # a row per partition
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return parts.withColumn("_n", number).join(F.broadcast(offsets), "_part").select(column, (F.col("_before") + F.col("_n")).cast("long").alias("code"))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

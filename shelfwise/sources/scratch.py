@@ -14,6 +14,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder below the cluster's spark.checkpoint.dir; below one of our own only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="shelfwise-"))
         root = _own[0]

@@ -107,7 +107,7 @@ def test_ewm_equals_pandas_also_with_gaps_and_long_histories(spark):
 def test_ewm_query_covers_the_whole_history(spark, con):
     weekly = con.execute("SELECT p_brand AS item, s_nationkey AS store, CAST(date_trunc('week', CAST(l_shipdate AS DATE)) AS DATE) AS week, sum(l_quantity)::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL ORDER BY ALL").df()
     expected = weekly.groupby(["item", "store"])["quantity"].transform(lambda q: q.ewm(span=7).mean().shift(1))
-    got = QUERIES["e09_ewm_whole"](spark, FOLDER).toPandas().astype({"week": "datetime64[us]"})
+    got = QUERIES["e09_ewm"](spark, FOLDER).toPandas().astype({"week": "datetime64[us]"})
     both = weekly.assign(expected=expected, week=weekly["week"].astype("datetime64[us]")).merge(got, on=["item", "store", "week"])
     assert len(both) == len(weekly) == len(got)
     assert np.allclose(both["ewm7"].astype(float), both["expected"], atol=1e-5, equal_nan=True)
@@ -120,6 +120,39 @@ def test_daily_demand_covers_all_keys_up_to_the_last_day(spark, con):
     assert len(got) == keys * ((last - dt.date(2001, 7, 15)).days + 1)
 
 
+def test_seed_average_is_the_mean_of_its_models(spark):
+    df = spark.range(300).select((F.col("id") % 20).cast("double").alias("x")).withColumn("y", F.col("x") * 3)
+    one, two, both = (models.seed_average(df, df.limit(20), ["x"], "y", seeds, trees=3).orderBy("x").toPandas()["forecast"] for seeds in ((1,), (2,), (1, 2)))
+    assert not np.allclose(one, two) and np.allclose((one + two) / 2, both)
+
+
+def test_factors_and_vectors_know_what_goes_together(spark):
+    """Two groups of customers who buy two sets of items: recommendations and vectors keep them apart."""
+    rows = [(c, (c % 2) * 10 + (c + k) % 8, dt.date(2020, 1, 1) + dt.timedelta(k)) for c in range(60) for k in range(6)]
+    df = spark.createDataFrame(rows, "cust int, art int, day date")
+    top = models.fit_als(df.groupBy("cust", "art").agg(F.lit(1.0).alias("rating")), rank=4).recommendForAllUsers(3).collect()
+    assert np.mean([(x.art >= 10) == (r.cust % 2 == 1) for r in top for x in r.recommendations]) > 0.95
+    v = {int(r.word): r.vector.toArray() for r in models.item_vectors(df, parts=1).collect()}
+    assert len(v) == 16
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    same = np.mean([cos(v[a], v[b]) for a in v for b in v if a != b and (a < 10) == (b < 10)])
+    assert same > np.mean([cos(v[a], v[b]) for a in v for b in v if (a < 10) != (b < 10)])
+
+
+def test_late_events_are_left_out_and_state_is_freed(spark, tmp_path):
+    """Three files read one after the other: the second moves the watermark on, so the old rows of the third don't count."""
+    import time
+
+    from shelfwise.streaming import windows
+
+    hour = lambda h, v: (dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), "a", v)
+    for rows in ([hour(1, 1.0), hour(2, 1.0)], [hour(9, 1.0)], [hour(1, 5.0), hour(8, 5.0)], [hour(12, 1.0)]):
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        time.sleep(1.1)
+    given = windows.run_to_end(windows.windowed(windows.reader(spark, str(tmp_path / "events"), 1)), "update")
+    assert {r.window.start.hour: r.value for r in given.orderBy("batch").collect()} == {1: 1.0, 2: 1.0, 8: 5.0, 9: 1.0, 12: 1.0}
+
+
 def test_item_similarity_reads_whole_sequences(spark):
     rows = [(c, (i * (c + 3)) % 11, dt.date(2020, 1, 1) + dt.timedelta(i), i) for c, n in ((1, 400), (2, 64), (3, 2), (4, 1)) for i in range(n)]
     got = ranking.item_similarity(spark.createDataFrame(rows, "cust int, art int, day date, receipt int"), 50)
