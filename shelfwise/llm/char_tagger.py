@@ -35,7 +35,7 @@ def _slope(y):
 class CharTagger:
     """``tags`` tag 0 is outside; inside a batch all windows have one length."""
 
-    def __init__(self, tags: int, embed: int = 12, hidden: int = 12, seed: int = 5):
+    def __init__(self, tags: int, embed: int = 12, hidden: int = 10, seed: int = 5):
         r = np.random.default_rng(seed)
         w = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.tags, self.hidden = tags, hidden

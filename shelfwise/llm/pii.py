@@ -31,7 +31,7 @@ SAMPLE_WINDOWS = 8
 MADE_UP = 1000
 #: Characters of a window in training, and in use with the step to the next one.
 TRAIN_WINDOW = 72
-WINDOW, STRIDE = 256, 224
+WINDOW, STRIDE = 256, 232
 #: Windows that the tagger reads at a time.
 BATCH = 512
 #: Added to the score of a character known to be outside.
