@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents that give training windows at most, windows of each, and made-up texts beside them.
 SAMPLE_DOCS = 300
 SAMPLE_WINDOWS = 8
-MADE_UP = 1000
+MADE_UP = 1600
 #: Characters of a window in training, and in use with the step to the next one.
 TRAIN_WINDOW = 72
 WINDOW, STRIDE = 256, 232
@@ -37,7 +37,7 @@ BATCH = 512
 #: Added to the score of a character known to be outside.
 OUTSIDE = 100.0
 #: Least probability of each character of a span.
-SURE = 0.5
+SURE = 0.2
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
