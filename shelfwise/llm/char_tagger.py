@@ -4,8 +4,9 @@ Trained by gradient descent on the negative log likelihood of labelled windows
 (backpropagation through time; forward and backward recursions of the CRF), with
 a share of the emissions' own cross entropy, so that a single character's scores
 say how likely its tags are.  Tag 0 is outside, 2k+1 begins a span of kind k and
-2k+2 goes on 2k+2 goes on with it; nothing else may come before 2k+2.  The gates are softsigns,
-x / (1 + |x|), which cost a fraction of a tanh. else may come before 2k+2.  Everything is seeded, so the same windows give the same weights.
+2k+2 goes on with it; nothing else may come before 2k+2.  The gates are softsigns,
+x / (1 + |x|), which cost a fraction of a tanh.  Everything is seeded, so the same
+windows give the same weights.
 """
 
 from __future__ import annotations

@@ -31,13 +31,13 @@ SAMPLE_WINDOWS = 8
 MADE_UP = 1600
 #: Characters of a window in training, and in use with the step to the next one.
 TRAIN_WINDOW = 72
-WINDOW, STRIDE = 256, 232
+WINDOW, STRIDE = 256, 224
 #: Windows that the tagger reads at a time.
 BATCH = 512
 #: Added to the score of a character known to be outside.
 OUTSIDE = 100.0
 #: Least probability of each character of a span.
-SURE = 0.2
+SURE = 0.5
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -177,9 +177,11 @@ def sample_windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def training_set(sample: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of sample documents, and of made-up texts in their words."""
+    """Windows of sample documents, and of made-up texts in their words and as many of random letters, so that names needn't be known ones."""
     prose = " ".join("".join(map(chr, ids[ids < 128])) for ids, _ in sample)
-    words = sorted(set(re.findall(r"[^\W\d_]+", prose)))[:3000] or ["call", "write", "to", "the", "office", "order", "from", "and"]
+    words = sorted(set(re.findall(r"[^\W\d_]+", prose))) or ["call", "write", "to", "the", "office", "order", "from", "and"]
+    words, r = words[:: -(-len(words) // 3000)], np.random.default_rng(9)
+    words += ["".join(map(chr, r.integers(97, 123, int(r.integers(2, 10))))) for _ in words]
     pairs = list(sample)
     for t, spans in made_up(np.random.default_rng(3), words, MADE_UP):
         numbers = [m.start() for m in re.finditer("[0-9]{3,}", t)]
@@ -190,7 +192,7 @@ def training_set(sample: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
 def train(sample: list[tuple[np.ndarray, np.ndarray]]) -> tuple[CharTagger, list[float]]:
     """The tagger from windows of sample documents and made-up ones."""
     model = CharTagger(2 * len(KINDS) + 1)
-    losses = model.fit(*training_set(sample), epochs=9, batch=32, rate=0.025)
+    losses = model.fit(*training_set(sample), epochs=11, batch=32, rate=0.025)
     return model, losses
 
 
