@@ -11,7 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
@@ -104,6 +104,29 @@ def shared_table(df: DataFrame, keep: bool = False) -> DataFrame:
     return out
 
 
+#: Rows of a range partition of positions, about.
+PART_ROWS = 250_000
+
+
+def positions(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """``rows`` with ``_at``, each row's place from 0 on among those of its key, and ``_n``, how many they are.
+
+    Rows are dealt by ranges of key and order, so a key with any share of the
+    rows spans many tasks; each partition's totals (a row per partition and key)
+    become the places where its keys begin.  NULL comes first.  The order should
+    end in a column that tells rows apart, or equal ones can't be dealt to
+    several tasks.
+    """
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    dealt = shared_table(rows.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()))
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part", key).agg(F.count(F.lit(1)).alias("_rows"))
+    totals = totals.select("_part", key, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("_n"))
+    place = F.row_number().over(Window.partitionBy("_part", key).orderBy(*order))
+    return dealt.join(totals, ["_part", key]).withColumn("_at", F.col("_before") + place - 1).drop("_part", "_before")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for NULL."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

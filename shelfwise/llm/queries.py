@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, media_jpeg, mixing, ngram_join, packing, pii, quality_rules, secret_scans, sharding, substring_dedup
+from . import best_fit, lm_scoring, manifest, media_jpeg, mixing, ngram_join, packing, pii, quality_rules, secret_scans, sharding, substring_dedup
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1,
@@ -15,6 +15,13 @@ QUERIES = {
     "op8_ngram_jaccard_join": ngram_join.op8,
     "op9_sharding": sharding.op9,
     "op10_mixing": mixing.op10,
+    "op11_merkle_manifest": manifest.op11,
+    "op13_best_fit": best_fit.op13,
 }
 
-ORACLE_SQL = {"op4_substring_dedup": substring_dedup.OP4_SQL, "op6_quality_rules": quality_rules.OP6_SQL, "op10_mixing": mixing.OP10_SQL}
+ORACLE_SQL = {
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op6_quality_rules": quality_rules.OP6_SQL,
+    "op10_mixing": mixing.OP10_SQL,
+    "op11_merkle_manifest": manifest.OP11_SQL,
+}
