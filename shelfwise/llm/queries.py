@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, lm_scoring, manifest, media_jpeg, mixing, ngram_join, packing, pii, quality_rules, secret_scans, sharding, substring_dedup
+from . import best_fit, lm_scoring, manifest, media_jpeg, mixing, ngram_join, packing, phrases, pii, quality_rules, secret_scans, sharding, substring_dedup
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sharding": sharding.op9,
     "op10_mixing": mixing.op10,
     "op11_merkle_manifest": manifest.op11,
+    "op12_phrase_collocations": phrases.op12,
     "op13_best_fit": best_fit.op13,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op10_mixing": mixing.OP10_SQL,
     "op11_merkle_manifest": manifest.OP11_SQL,
+    "op12_phrase_collocations": phrases.OP12_SQL,
 }
