@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -20,3 +20,25 @@ def scratch(spark: SparkSession) -> str:
             _own.append(tempfile.mkdtemp(prefix="shelfwise-"))
         root = _own[0]
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet and read back; the files go with ``dropped``, or when Spark ends."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    where, store = _place(df.sparkSession, path)
+    store.deleteOnExit(where)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete the files of a table of ``written``."""
+    where, store = _place(table.sparkSession, table._scratch)
+    store.delete(where, True)
