@@ -126,9 +126,21 @@ def n02_sliding_windows(s):  # windows of two hours, one every hour
     return hourly_totals(s.spark, f"{s.folder}/events.parquet", "2 hours", "1 hour")
 
 
-@query("""WITH e AS (SELECT user_id, ts, value, ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS opens FROM events), s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
-SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, session""")
+_SESSIONS = """WITH e AS (SELECT user_id, ts, value, ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS opens FROM events), s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+SELECT user_id, min(ts) AS session_start, {}count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, session"""
+
+
+@query(_SESSIONS.format(""))
 def n03_session_windows(s):  # a session ends after six hours without an event
     from ..streaming.windows import sessions
 
     return sessions(s.spark, f"{s.folder}/events.parquet", "6 hours")
+
+
+@query(_SESSIONS.format("max(ts) AS session_end, "))
+def n04_stateful_sessions(s):  # the same with state and event-time timers per user, each session given once when it is over
+    from ..streaming.sessions import replayed
+
+    got, _ = replayed(s.spark, f"{s.folder}/events.parquet", "user_id", "ts", "value", 6 * 3_600_000_000)
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return got.select("user_id", at("first").alias("session_start"), at("last").alias("session_end"), "n", F.round("value", 4).alias("value"))
