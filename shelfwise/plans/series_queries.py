@@ -60,7 +60,8 @@ def c10_as_of(s):  # C10, E10
     return series.as_of(targets, facts, KEY, "date", ["price"]).select(*KEY, "date", F.round("price", 7).alias("price"))
 
 
-@query("WITH w AS MATERIALIZED (SELECT * FROM weekly) SELECT a.item, a.store, a.week, a.quantity, b.quantity AS lag52, round((coalesce(b.quantity, c.quantity) + coalesce(c.quantity, b.quantity)) / 2, 4) AS around FROM w a LEFT JOIN w b ON a.item = b.item AND a.store = b.store AND b.week = a.week - 364 LEFT JOIN w c ON a.item = c.item AND a.store = c.store AND c.week = a.week - 357", "weekly")
+@query("""SELECT item, store, week, quantity, lag52, round((coalesce(lag52, lag51) + coalesce(lag51, lag52)) / 2, 4) AS around FROM (
+SELECT *, sum(quantity) OVER (k RANGE BETWEEN 364 PRECEDING AND 364 PRECEDING) AS lag52, sum(quantity) OVER (k RANGE BETWEEN 357 PRECEDING AND 357 PRECEDING) AS lag51 FROM weekly WINDOW k AS (PARTITION BY item, store ORDER BY week - DATE '1970-01-01'))""", "weekly")
 def c04_year_ago(s):  # C4, M20
     w = series.calendar_lag(series.calendar_lag(s.weekly, KEY, "week", "quantity", 364, "lag52"), KEY, "week", "quantity", 357, "lag51")
     return w.select(*KEY, "week", "quantity", "lag52", F.round(numbers.row_mean(F.col("lag52"), F.col("lag51")), 4).alias("around"))
