@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import ranking, series
-from .registry import query
+from ..operators import ranking, scans, series
+from .registry import ORACLE_SQL, query
 
 KEY = ["item", "store"]
 _P = "PARTITION BY item, store ORDER BY date"
@@ -29,6 +29,14 @@ def e03_rolling(s):  # E3, E5-E8, O3: all windows of one key share one shuffle a
     return s.daily.select(*KEY, "date", F.round(r(F.avg, 4), 4).alias("mean4"), F.round(r(F.stddev_samp, 13), 4).alias("std13"), r(F.min, 8).alias("min8"), r(F.max, 52).alias("max52"), r(F.sum, 7).alias("sum7"), F.round(series.expanding(F.avg, "quantity", KEY, "date"), 4).alias("expanding"))
 
 
+@query(ORACLE_SQL["e03_rolling"])
+def e03_rolling_in_stretches(s):  # E3, E6, E8: the same for keys whose history doesn't fit one task
+    q = F.col("quantity")
+    frames = {"mean4": (F.avg(q), 4), "std13": (F.stddev_samp(q), 13), "min8": (F.min(q), 8), "max52": (F.max(q), 52), "sum7": (F.sum(q), 7)}
+    w = scans.expanding_mean(scans.rolling(s.daily, frames, KEY, ["date"]), "quantity", "expanding", KEY, ["date"])
+    return w.select(*KEY, "date", *[F.round(c, 4).alias(c) if c in ("mean4", "std13") else F.col(c) for c in frames], F.round("expanding", 4).alias("expanding"))
+
+
 _GRID = """WITH k AS (SELECT DISTINCT item, store FROM daily), b AS (SELECT min(date) AS lo, max(date) AS hi FROM daily), g AS (SELECT item, store, d.date, coalesce(quantity, 0) AS quantity FROM k CROSS JOIN (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b) d LEFT JOIN daily USING (item, store, date))"""
 
 
@@ -50,16 +58,31 @@ def e09_ewm(s):
     return s.weekly.select(*KEY, "week", F.round(series.ewm_mean("quantity", 7, KEY, "week"), 5).alias("ewm7"))
 
 
-@query("""WITH f AS (SELECT item, store, date, avg(price) AS price FROM sales GROUP BY ALL), t AS (SELECT item, store, CAST(d AS DATE) AS date FROM (SELECT DISTINCT item, store FROM sales) CROSS JOIN (SELECT unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS d FROM sales))
-SELECT t.item, t.store, t.date, round(f.price, 7) AS price FROM t ASOF LEFT JOIN f ON t.item = f.item AND t.store = f.store AND t.date >= f.date""", "sales")
-def c10_as_of(s):  # C10, E10
+@query(ORACLE_SQL["e09_ewm"])
+def e09_ewm_scan(s):  # E9: two numbers a stretch are handed on, a row costs one step
+    return scans.ewm_mean(s.weekly, "quantity", 7, "ewm7", KEY, ["week"]).select(*KEY, "week", F.round("ewm7", 5).alias("ewm7"))
+
+
+def _months_and_prices(s):
     facts = s.sales.groupBy(*KEY, "date").agg(F.avg("price").alias("price"))
     first, last = s.table("lineitem").agg(F.trunc(F.to_date(F.min("l_shipdate")), "month"), F.trunc(F.to_date(F.max("l_shipdate")), "month")).first()
     months = s.spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 month"))).alias("date"))
-    targets = s.sales.select(*KEY).distinct().crossJoin(F.broadcast(months))  # a row per month
+    return s.sales.select(*KEY).distinct().crossJoin(F.broadcast(months)), facts  # a row per month
+
+
+@query("""WITH f AS (SELECT item, store, date, avg(price) AS price FROM sales GROUP BY ALL), t AS (SELECT item, store, CAST(d AS DATE) AS date FROM (SELECT DISTINCT item, store FROM sales) CROSS JOIN (SELECT unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS d FROM sales))
+SELECT t.item, t.store, t.date, round(f.price, 7) AS price FROM t ASOF LEFT JOIN f ON t.item = f.item AND t.store = f.store AND t.date >= f.date""", "sales")
+def c10_as_of(s):  # C10, E10
+    targets, facts = _months_and_prices(s)
     return series.as_of(targets, facts, KEY, "date", ["price"]).select(*KEY, "date", F.round("price", 7).alias("price"))
 
 
+@query(ORACLE_SQL["c10_as_of"])
+def c10_as_of_in_stretches(s):  # C10, E10: merged in ranges of key and date
+    targets, facts = _months_and_prices(s)
+    return scans.as_of(targets, facts, KEY, "date", ["price"]).select(*KEY, "date", F.round("price", 7).alias("price"))
+
+
 @query("""SELECT item, store, week, quantity, lag52, round((coalesce(lag52, lag51) + coalesce(lag51, lag52)) / 2, 4) AS around FROM (
 SELECT *, sum(quantity) OVER (k RANGE BETWEEN 364 PRECEDING AND 364 PRECEDING) AS lag52, sum(quantity) OVER (k RANGE BETWEEN 357 PRECEDING AND 357 PRECEDING) AS lag51 FROM weekly WINDOW k AS (PARTITION BY item, store ORDER BY week - DATE '1970-01-01'))""", "weekly")
 def c04_year_ago(s):  # C4, M20
