@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, numbers
-from ..operators import models, ranking, series
+from ..operators import models, ranking, series, vector_index
+from ..operators.quantiles import exact_quantiles
 from .recall_queries import _RECENT, _text, stored, tx
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 KEY = ["item", "store"]
 
@@ -109,3 +110,17 @@ def m09_multi_rule(s):  # M9: own history, user group, trend and item pairs as c
     rules = {"own": own, "segment": groups.join(group, "segment"), "trend": groups.crossJoin(F.broadcast(trend)), "pair": ranking.expand(own.select("cust", "art"), pairs, F.col("n"), 12)}
     c = ranking.candidate_table(rules)
     return c.select("cust", "art", *[x for r in rules for x in (f"{r}_rank", f"in_{r}")], "n_channels")
+
+
+@query()
+def k13_index(s):  # K13: the same neighbours by inverted lists, with a recall measured in the tests
+    e = s.table("embeddings")
+    index, asked = vector_index.build(e, "vec_id", "embedding"), e.where("vec_id % 50 = 0")
+    return index.search(asked, "embedding", 10, index.probes_for(e, "embedding", 10)).select("vec_id", "other", "sim", "rank")
+
+
+@query(ORACLE_SQL["d10_quantiles"])
+def d10_quantiles_by_brackets(s):  # D10: for groups whose values don't fit one task
+    at = [0.01, 0.25, 0.75, 0.99]
+    found = exact_quantiles(s.sales, ["item"], "price", at)
+    return found.select("item", *[F.round(f"q{i}", 4).alias(f"p{round(a * 100):02d}") for i, a in enumerate(at)])
