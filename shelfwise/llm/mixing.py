@@ -10,15 +10,14 @@ uniform number from a hash of itself and is ranked by
 
     (u / (1 - u)) / (p / (1 - p))
 
-the random odds over the odds of its inclusion.  A source is cut into strata of
-nearly equal size and value, and a stratum's sample has a fixed number of
-documents, its lowest ranks.  That number is the sum of its probabilities, rounded
-at random to one of its two neighbours; the words that rounding adds or leaves out
-are made up for in the strata of smaller documents, so that a source comes near
-its target and each document keeps its probability on average.
-
-The lowest ranks of a stratum are found from counts in buckets of the rank, so
-that a hot source is dealt over many tasks.
+the random odds over the odds of its inclusion.  Each source gives a fixed number
+of documents, the lowest ranks of all of it: the sum of its probabilities rounded
+to a whole number, to which they are then scaled.  So a document is taken as
+often as stated whatever the seed, and a source comes near its target as its
+sample grows.
+
+The lowest ranks are found from counts in buckets of the rank, and only the
+bucket of the last one is sorted, so that a hot source is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -33,10 +32,12 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 SEED = 17
-#: Rank buckets of a stratum.
-BUCKETS = 1024
-#: Strata for each doubling of size, and of value.
+#: Rank buckets of a source.
+BUCKETS = 65_536
+#: Classes for each doubling of value.
 CLASSES = 8
+#: The largest probability of a document that isn't certain.
+NEARLY = 1 - 1e-9
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -101,7 +102,7 @@ def _decided(df: DataFrame, id_col: str, text: str, source: str, weight: str | N
     targets = targets.withColumn("_whole", whole).withColumn("_wanted", F.greatest(times - whole, F.lit(0.0)) * F.col("source_size"))
     open_ = (F.col("_wanted") > 0) & (F.col("size") > 0) & (F.col("_value") > 0)
     joined = docs.join(targets, _same(docs, targets, "source")).drop(targets["source"])
-    joined = joined.withColumn("_vc", F.when(open_, _class(F.col("_value")))).withColumn("_sc", F.when(open_, _class(F.col("size"))))
+    joined = joined.withColumn("_vc", F.when(open_, _class(F.col("_value"))))
 
     # the scale c of p = c * value: classes of value from the largest on are certain as long as c would take them beyond 1
     by_value = joined.where("_vc is not null").groupBy("source", "_vc").agg(
@@ -117,34 +118,26 @@ def _decided(df: DataFrame, id_col: str, text: str, source: str, weight: str | N
     drawn = joined.join(scales, _same(joined, scales, "source"), "left").drop(scales["source"])
     certain = F.col("_below").isNull() | (F.col("_vc") > F.col("_below")) | (F.col("_scale") * F.col("_value") >= 1)
     drawn = drawn.withColumn("_p", F.when(F.col("_vc").isNull(), 0.0).when(certain, 1.0).otherwise(F.greatest(F.col("_scale") * F.col("_value"), F.lit(0.0))))
-    drawn = drawn.withColumn("_rank", F.when((F.col("_p") > 0) & (F.col("_p") < 1), F.col("_u") / (1 - F.col("_u")) / (F.col("_p") / (1 - F.col("_p")))))
-    # rank / (1 + rank) lies in (0, 1) and grows with the rank
-    drawn = shared_table(drawn.withColumn("_bucket", F.floor(F.col("_rank") / (F.col("_rank") + 1) * BUCKETS).cast("int")))
-
-    # how many documents each stratum gives, and the bucket in which the last of them is
-    strata = ["source", "_sc", "_vc"]
-    part = F.col("_p") * F.col("size")
-    counts = shared_table(drawn.where("_rank is not null").groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("_p"), F.sum(part).alias("_part")))
-    sums = counts.groupBy(*strata).agg(F.sum("_p").alias("_p"), F.sum("_part").alias("_part"), F.sum("_n").alias("_n"))
-    sums = sums.withColumn("_start", _uniform(F.lit(seed), F.col("source"), F.col("_sc"), F.col("_vc")))
-    listed = sums.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("_sc", "_vc", "_p", "_part", "_n", "_start")), False).alias("_all"))  # the strata of a source
-    empty = F.array().cast("array<struct<_sc:int,_vc:int,_number:bigint>>")
-
-    def rounded(acc: Column, x: Column) -> Column:
-        words, mean = acc["carry"] + x["_part"], x["_part"] / x["_p"]
-        n = F.least(F.greatest(F.floor(words / mean + x["_start"]), F.lit(0)), x["_n"])
-        return F.struct((words - n * mean).alias("carry"), F.concat(acc["out"], F.array(F.struct(x["_sc"].alias("_sc"), x["_vc"].alias("_vc"), n.alias("_number")))).alias("out"))
-
-    number = listed.select("source", F.explode(F.aggregate("_all", F.struct(F.lit(0.0).alias("carry"), empty.alias("out")), rounded, lambda acc: acc["out"])).alias("_x")).select("source", "_x.*")
-    inside = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
-    placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    cuts = placed.join(number, _same(placed, number, *strata)).drop(*[number[c] for c in strata])
-    cuts = cuts.where("_before < _number and _number <= _before + _n").select(*[F.col(c).alias(f"{c}_of") for c in strata], F.col("_bucket").alias("_cut"), (F.col("_number") - F.col("_before")).alias("_need"))
-    cuts = shared_table(cuts)
-    on = drawn["source"].eqNullSafe(cuts["source_of"]) & (drawn["_sc"] == cuts["_sc_of"]) & (drawn["_vc"] == cuts["_vc_of"])
-    placed = drawn.join(cuts, on, "left").drop("source_of", "_sc_of", "_vc_of")
+    drawn = shared_table(drawn)
+
+    # a fixed number of documents of each source, to which its probabilities are scaled
+    drawn_at_all = (F.col("_p") > 0) & (F.col("_p") < 1)
+    numbers = drawn.where(drawn_at_all).groupBy("source").agg(F.sum("_p").alias("_total"))
+    numbers = shared_table(numbers.withColumn("_number", F.floor(F.col("_total") + 0.5)))  # a row per source
+    drawn = drawn.join(numbers, _same(drawn, numbers, "source"), "left").drop(numbers["source"])
+    drawn = drawn.withColumn("_p", F.when(drawn_at_all, F.least(F.col("_p") * F.col("_number") / F.col("_total"), F.lit(NEARLY))).otherwise(F.col("_p")))
+    drawn = drawn.withColumn("_rank", F.when(drawn_at_all, F.col("_u") / (1 - F.col("_u")) / (F.col("_p") / (1 - F.col("_p")))))
+    # rank / (1 + rank) lies in (0, 1), grows with the rank and is about 1/2 for the last one taken
+    drawn = drawn.withColumn("_bucket", F.floor(F.col("_rank") / (F.col("_rank") + 1) * BUCKETS).cast("int"))
+
+    # the bucket in which the last of them is
+    counts = drawn.where("_rank is not null").groupBy("source", "_number", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
+    cuts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).where("_before < _number and _number <= _before + _n")
+    cuts = shared_table(cuts.select(F.col("source").alias("source_of"), F.col("_bucket").alias("_cut"), (F.col("_number") - F.col("_before")).alias("_need")))
+    placed = drawn.join(cuts, drawn["source"].eqNullSafe(cuts["source_of"]), "left").drop("source_of")
     at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
-    order = Window.partitionBy(*strata).orderBy("_rank", "_id", "_row")  # one bucket of a stratum
+    order = Window.partitionBy("source").orderBy("_rank", "_id", "_row")  # one bucket of a source
     exact = placed.where(at_cut).withColumn("_in", F.row_number().over(order) <= F.col("_need"))
     rest = placed.where(~at_cut).withColumn("_in", F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False)))
     chosen = exact.unionByName(rest)
@@ -159,8 +152,7 @@ def mix(
 
     Size is the number of words (NULL text: 0).  ``weight`` may name a column
     of non-negative document weights (NULL: 1); a document of weight 0 is taken
-    only in whole copies.  ``inclusion`` is the expected number of copies,
-    before a stratum's number is rounded.  Documents without words are taken as
+    only in whole copies.  ``inclusion`` is the expected number of copies.  Documents without words are taken as
     often as their source's whole copies.  Repeated rows draw the same number
     and count each; a NULL source is a source of its own.  An empty table gives
     no rows; other columns are not read.  Reruns agree.
@@ -198,7 +190,7 @@ def op10(spark, sf_dir: str) -> DataFrame:
 _WEIGHTS = ", ".join(map(str, WEIGHTS))
 _U = "(CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
 OP10_SQL = f"""
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, row_number() OVER () AS r,
     {_U.format(f"'{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))")} AS u
   FROM documents
@@ -231,16 +223,11 @@ WITH RECURSIVE d AS (
 ), p AS (
   SELECT j.*, CASE WHEN j.c IS NULL THEN 0.0 WHEN k.c IS NULL OR j.c > k.c OR scale * size >= 1 THEN 1.0 ELSE greatest(scale * size, 0) END AS p FROM j LEFT JOIN k ON j.source IS NOT DISTINCT FROM k.source
 ), h AS (
-  SELECT source, c::INT AS c, sum(p) AS p, sum(p * size) AS part, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY c DESC) AS i,
-    {_U.format(f"'{SEED}|' || coalesce(source, '') || '|' || CAST(c::INT AS VARCHAR) || '|' || CAST(c::INT AS VARCHAR)")} AS start FROM p WHERE p > 0 AND p < 1 GROUP BY source, c
-), g AS (
-  SELECT source, c, i, least(greatest(floor(p + start), 0), n) AS number, part - least(greatest(floor(p + start), 0), n) * (part / p) AS carry FROM h WHERE i = 1
-  UNION ALL
-  SELECT h.source, h.c, h.i, least(greatest(floor((carry + part) / (part / p) + start), 0), n), carry + part - least(greatest(floor((carry + part) / (part / p) + start), 0), n) * (part / p)
-  FROM g JOIN h ON g.source IS NOT DISTINCT FROM h.source AND h.i = g.i + 1
+  SELECT source, sum(p) AS total, floor(sum(p) + 0.5) AS number FROM p WHERE p > 0 AND p < 1 GROUP BY source
+), q AS (
+  SELECT p.* EXCLUDE (p), CASE WHEN p > 0 AND p < 1 THEN least(p * number / total, {NEARLY}::DOUBLE) ELSE p END AS p, number FROM p LEFT JOIN h ON p.source IS NOT DISTINCT FROM h.source
 ), x AS (
-  SELECT p.*, row_number() OVER (PARTITION BY p.source, p.c, p.p > 0 AND p.p < 1 ORDER BY u / (1 - u) / (p.p / (1 - p.p)), doc_id, r) AS place, number
-  FROM p LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source AND p.c = g.c
+  SELECT *, row_number() OVER (PARTITION BY source, p > 0 AND p < 1 ORDER BY CASE WHEN p > 0 AND p < 1 THEN u / (1 - u) / (p / (1 - p)) END, doc_id, r) AS place FROM q
 )
 SELECT doc_id, size, source, source_size, target, whole + p AS inclusion, (size * (whole + CASE WHEN p >= 1 OR (p > 0 AND place <= number) THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
 """
