@@ -573,14 +573,40 @@ def test_inclusion_follows_the_stated_probabilities(spark):
         got = mixing.mix(df, weight="worth", seed=seed).toPandas()
         for i, n, p in zip(got["doc_id"], got["copies"], got["inclusion"], strict=True):
             times[i], stated[i] = times[i] + n, p
-        by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "max"))
-        assert (abs(by["taken"] - by["target"]) <= 125).all()
+        p = got["inclusion"] % 1
+        by = got.assign(spread=p * (1 - p) * got["size"] ** 2.0).groupby("source").agg(taken=("taken", "sum"), target=("target", "max"), spread=("spread", "sum"), size=("size", "max"))
+        assert (abs(by["taken"] - by["target"]) <= 4 * by["spread"] ** 0.5 + by["size"] / 2).all()  # what a sample of fixed size may miss, and its number's rounding
     off = np.array([times[i] / seeds - stated[i] for i in times])
     wide = np.array([math.sqrt(max(0.01, (p % 1) * (1 - p % 1)) / seeds) for p in (stated[i] for i in times)])
     assert abs(off.mean()) < 0.03 and (abs(off) < 4 * wide).mean() > 0.9
     assert len({round(p, 6) for p in stated.values()}) > 20  # unequal
 
 
+def test_inclusion_on_documents_is_the_stated_one():
+    """By the SQL that the query equals, over many seeds: no document is taken more or less often than stated, and the number taken never changes."""
+    con = oracle.connect("/root/testdata/sf0.01")
+    con.execute("CREATE TABLE kept AS SELECT doc_id, source, regexp_replace(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 'w', 'g') AS text FROM documents")
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM kept")
+
+    def drawn(seed, sql=ORACLE_SQL["op10_mixing"]):
+        d = con.execute(sql.replace(f"'{mixing.SEED}|'", f"'{seed}|'")).df().sort_values("doc_id", ignore_index=True)
+        return d.assign(copies=d["taken"] / d["size"].clip(lower=1))
+
+    seeds, times, numbers = 120, 0.0, []
+    for seed in range(seeds):
+        d = drawn(seed)
+        times, p = times + d["copies"].to_numpy(), d["inclusion"].to_numpy()
+        numbers.append(d.groupby("source")["copies"].sum().to_numpy())
+    f = p % 1
+    open_ = (f > 1e-6) & (f < 1 - 1e-6)
+    z = (times / seeds - p)[open_] / np.sqrt(f[open_] * (1 - f[open_]) / seeds)
+    print("documents", open_.sum(), "sd of z", z.std(), "largest", abs(z).max())
+    assert open_.sum() > 500 and z.std() < 1.2 and abs(z).max() < 5
+    assert np.std(numbers, axis=0).max() < 1e-9
+    plain = drawn(1, ORACLE_SQL["op10_mixing"].replace("u / (1 - u) / (p / (1 - p))", "u / (1 - u)"))
+    assert (plain["copies"] != drawn(1)["copies"]).mean() > 0.1  # the odds of inclusion decide
+
+
 def test_taken_rows_repeat(small, spark):
     taken = mixing.take(small)
     assert taken.columns == small.columns
