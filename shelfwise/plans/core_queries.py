@@ -287,9 +287,10 @@ def h01_date_parts(s):  # H1-H9, H12, I1
     return d.select(c.alias("date"), *[v.alias(k) for k, v in dates.parts(c).items()], F.round(dates.cyclic(F.weekday(c), 7)[0], 6).alias("dow_sin"), F.round(dates.cyclic(F.month(c), 12)[1], 6).alias("month_cos"), "days_ago", "week", (F.floor(F.col("days_ago") / 30) * 30).alias("floor30"))
 
 
-@query("SELECT CAST(unnest(generate_series(DATE '2001-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day")
-def h10_date_series(s):  # H10, K2, O5
-    return s.spark.range(1).select(dates.day_series(F.lit("2001-01-01").cast("date"), F.lit("2001-12-31").cast("date")).alias("day"))
+@query("SELECT receipt_month, day FROM (SELECT month AS receipt_month, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(min(l_shipdate) AS DATE) AS lo, CAST(max(l_shipdate) AS DATE) AS hi FROM lineitem GROUP BY 1))")
+def h10_date_series(s):  # H10, K2, O5: every day from the first to the last shipment of each month
+    months = s.table("lineitem").groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("receipt_month")).agg(F.to_date(F.min("l_shipdate")).alias("lo"), F.to_date(F.max("l_shipdate")).alias("hi"))
+    return months.select("receipt_month", dates.day_series(F.col("lo"), F.col("hi")).alias("day"))
 
 
 @query("""WITH q AS (SELECT list_sort(list_distinct([quantile_cont(CAST(size AS DOUBLE), 0.0), quantile_cont(CAST(size AS DOUBLE), 0.2), quantile_cont(CAST(size AS DOUBLE), 0.4), quantile_cont(CAST(size AS DOUBLE), 0.6), quantile_cont(CAST(size AS DOUBLE), 0.8), quantile_cont(CAST(size AS DOUBLE), 1.0)])) AS edges FROM articles)
