@@ -187,3 +187,34 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
 def test_cosine_of_two_arrays(spark):
     row = spark.sql("SELECT array(3.0D, 4.0D) AS a, array(4.0D, 3.0D) AS b").select(lists.cosine(F.col("a"), F.col("b")).alias("c")).first()
     assert row.c == pytest.approx(0.96)
+
+
+def test_weekly_forecast_values(spark, con):
+    got = QUERIES["m26_weekly_forecast"](spark, FOLDER).toPandas()
+    rows = con.execute("SELECT p_brand AS item, s_nationkey AS store, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, sum(l_quantity) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL").df()
+    rows["week"] = pd.to_datetime(rows["week"]).dt.date
+    past, now = rows[rows.week < dt.date(2001, 1, 1)], rows[rows.week >= dt.date(2001, 1, 1)]
+    both = now.merge(got, on=["item", "store", "week"], suffixes=("", "_got"))
+    assert len(got) == len(now) == len(both) and (both["quantity"] == both["quantity_got"]).all()
+    assert (got["forecast"] >= 0).all() and got["forecast"].nunique() > 20
+    weight = np.where(pd.to_datetime(both["week"]).dt.isocalendar().week.isin([47, 51, 52]), 5.0, 1.0)
+    error = lambda f: np.average(np.abs(f - both["quantity"]), weights=weight)
+    print("weighted error", error(both["forecast"]), "of the mean", error(past["quantity"].mean()))
+    assert error(both["forecast"]) < 1.1 * error(past["quantity"].mean())  # the table's quantities are random
+
+
+def test_importances_are_shares(spark):
+    got = QUERIES["m30_importances"](spark, FOLDER).collect()
+    assert {r.feature for r in got} == {"iso", "prev"} and sum(r.importance for r in got) == pytest.approx(1, abs=1e-3)
+    assert [r.importance for r in got] == sorted((r.importance for r in got), reverse=True)
+
+
+def test_recommendations_are_twelve_known_articles(spark, con):
+    known = {f"{a:010d}" for (a,) in con.execute("SELECT p_partkey FROM part").fetchall()}
+    bought = {c for (c,) in con.execute("SELECT DISTINCT o_custkey FROM orders").fetchall()}
+    rows = QUERIES["m24_top12_recommendation"](spark, FOLDER).collect()
+    assert len({r.cust for r in rows}) == len(rows) == con.execute("SELECT count(*) FROM customer").fetchone()[0]
+    for r in rows:
+        ids = r.prediction.split(" ")
+        assert len(ids) == 12 == len(set(ids)) and set(ids) <= known
+    assert len({r.prediction for r in rows if r.cust not in bought}) <= 1 < len({r.prediction for r in rows})  # without a history, the popular ones
