@@ -278,7 +278,6 @@ def byte_lengths(texts) -> np.ndarray:
     return np.fromiter(map(len, texts), np.int64, len(texts))
 
 
-_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BLANK = np.zeros(256, bool)
@@ -300,6 +299,30 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end, which lies behind it.
+
+    A span is read in pieces of eight bytes.  Each is mixed with its number, so
+    what a piece adds isn't linear in its bytes, and the sum of all is mixed with
+    the length: spans that differ are told apart like random 64-bit numbers,
+    however long or regular they are.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    length = end - start
+    pieces = (length + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    number = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data), "<u8", padded, strides=(1,))
+    piece = eights[np.repeat(start, pieces) + 8 * number] & _LOW_BYTES[np.minimum(np.repeat(length, pieces) - 8 * number, 8)]
+    mixed_in = mixed(piece ^ mixed(number.astype(np.uint64), 11), 12)
+    return mixed(np.add.reduceat(mixed_in, first) + length.astype(np.uint64))
+
+
 class Words:
     """The words of a batch of texts: where they are, of which text, and 64-bit hashes."""
 
@@ -317,11 +340,7 @@ class Words:
         self.count = np.bincount(self.text, minlength=len(texts))
         self.offset = np.concatenate(([0], np.cumsum(self.count)))
         if hashed:
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_TABLE[data] * _powers(_STEP, len(data)), out=total[1:])
-            back = _powers(_BACK, len(data))
-            length = (self.end - self.start).astype(np.uint64)
-            self.hash = mixed((total[self.end] - total[self.start]) * back[self.start] + length)
+            self.hash = hash_spans(data, self.start, self.end)
 
     def windows(self, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word and hash of each run of ``width`` words of one text."""
