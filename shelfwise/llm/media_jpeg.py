@@ -2,8 +2,10 @@
 
 The reader parses markers, decodes the Huffman-coded scan and rebuilds the
 luminance thumbnail that the DC coefficients alone give (one pixel per 8 x 8
-block).  Restart intervals are independent, so all intervals of all images of a
-batch are decoded side by side, one symbol of each at a time.
+block).  Restart intervals are independent, so all intervals of the images of a
+batch that share tables are decoded side by side, one symbol of each at a time.
+Images with few intervals, like those of cameras and the web, are decoded one
+interval after the other.
 
 The writer stores bytes without loss.  The format's unit that survives coding
 is the quantized coefficient: 64 bytes make a block, one coefficient each in
@@ -19,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -135,21 +138,21 @@ def parse(data: bytes) -> Header:
     raise ValueError("no scan")
 
 
-_lookups: dict[bytes, np.ndarray] = {}
+#: Tables whose lookups are kept, 256 KB each.
+LOOKUPS = 64
 
 
+@lru_cache(LOOKUPS)
 def _lookup(table: bytes) -> np.ndarray:
     """For the next 16 bits: code length * 256 + symbol; 0 where no code starts so."""
-    if table not in _lookups:
-        out, code, at = np.zeros(65536, np.int32), 0, 16
-        for length in range(1, 17):
-            for _ in range(table[length - 1]):
-                first = code << (16 - length)
-                out[first : first + (1 << (16 - length))] = length << 8 | table[at]
-                code, at = code + 1, at + 1
-            code <<= 1
-        _lookups[table] = out
-    return _lookups[table]
+    out, code, at = np.zeros(65536, np.int32), 0, 16
+    for length in range(1, 17):
+        for _ in range(table[length - 1]):
+            first = code << (16 - length)
+            out[first : first + (1 << (16 - length))] = length << 8 | table[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    return out
 
 
 def _segments(scan: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,8 +200,8 @@ def _checked(data: bytes) -> tuple[Header, tuple, int] | None:
         return None
 
 
-def decode(images: list[bytes]) -> list[tuple[Header, list[np.ndarray]] | None]:
-    """Header and, for each component, its quantized coefficients (blocks down, blocks across, 64 in zigzag order).
+def decode(images: list[bytes], keep: int = 64) -> list[tuple[Header, list[np.ndarray]] | None]:
+    """Header and, for each component, its quantized coefficients (blocks down, blocks across, the first ``keep`` of 64 in zigzag order).
 
     None for what isn't a whole baseline JPEG: other formats, truncated or
     altered data whose codes don't fit.  Work and memory are bounded by the
@@ -213,28 +216,83 @@ def decode(images: list[bytes]) -> list[tuple[Header, list[np.ndarray]] | None]:
     out: list[list[np.ndarray] | None] = [[] if x else None for x in checked]
     for (shape, interval), members in groups.items():
         try:
-            _decode_group(images, headers, members, shape, interval, out)
+            _decode_group(images, headers, members, shape, interval, out, keep)
         except _BROKEN:  # one of them; which?
             for i in members:
                 out[i] = []
                 try:
-                    _decode_group(images, headers, [i], shape, interval, out)
+                    _decode_group(images, headers, [i], shape, interval, out, keep)
                 except _BROKEN:
                     out[i] = None
     return [None if parts is None else (header, parts) for header, parts in zip(headers, out, strict=True)]
 
 
-def _decode_group(images, headers, members, shape, interval, out) -> None:
-    """Images with the same tables and interval, all their intervals side by side."""
-    datas, begins, ends, lanes, base = [], [], [], [], 0
+#: Restart intervals that are worth a step of numpy for each symbol; fewer are read one after the other.
+SIDE_BY_SIDE = 128
+#: Bytes 0 behind the data: more than the codes of a block can reach.
+_BEHIND = 512
+
+
+def _read_lane(word, at: int, end: int, units: int, order, blocks, keep: int) -> bool:
+    """The units of one restart interval, symbol by symbol from bit ``at``; False if its codes don't fit.
+
+    ``word`` has the 32 bits from each byte on, ``blocks`` a flat view of the
+    coefficients of each component.
+    """
+    past, spots = [0] * len(order), [0] * len(order)
+    for _ in range(units):
+        for k, times, dc, ac in order:
+            here = blocks[k]
+            for _ in range(times):
+                if at > end:
+                    return False
+                got = dc[(word[at >> 3] >> (16 - (at & 7))) & 0xFFFF]
+                if not got:
+                    return False
+                at += got >> 8
+                size = got & 15
+                if size:
+                    value = (word[at >> 3] >> (32 - (at & 7) - size)) & ((1 << size) - 1)
+                    at += size
+                    past[k] += value if value >> (size - 1) else value - (1 << size) + 1
+                if not -32768 <= past[k] <= 32767:
+                    return False
+                begin = spots[k]
+                spots[k] += keep
+                here[begin] = past[k]
+                spot = 1
+                while spot < 64:
+                    got = ac[(word[at >> 3] >> (16 - (at & 7))) & 0xFFFF]
+                    if not got:
+                        return False
+                    at += got >> 8
+                    size = got & 15
+                    if not size:
+                        if got & 255 != 0xF0:
+                            break
+                        spot += 16
+                        continue
+                    spot += (got & 255) >> 4
+                    if spot < keep:
+                        value = (word[at >> 3] >> (32 - (at & 7) - size)) & ((1 << size) - 1)
+                        here[begin + spot] = value if value >> (size - 1) else value - (1 << size) + 1
+                    at += size
+                    spot += 1
+    return at <= end
+
+
+def _decode_group(images, headers, members, shape, interval, out, keep) -> None:
+    """Images with the same tables and interval, all their intervals side by side, or each by itself if they are few."""
+    datas, begins, ends, lanes, todo, base = [], [], [], [], [], 0
     for i in members:
         data, start, end = _segments(np.frombuffer(images[i], np.uint8)[headers[i].at :])
         datas.append(data)
         begins.append(start + base)
         ends.append(end + base)
         lanes.append(len(start))
+        todo += [interval] * (len(start) - 1) + [_units(headers[i])[1] - interval * (len(start) - 1)]  # the last may be shorter
         base += len(data)
-    data = np.concatenate([*datas, np.zeros(8, np.uint8)]).astype(np.uint32)
+    data = np.concatenate([*datas, np.zeros(_BEHIND, np.uint8)]).astype(np.uint32)
     word = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
     word = word.astype(np.int64)
     last = len(word) - 1
@@ -242,7 +300,13 @@ def _decode_group(images, headers, members, shape, interval, out) -> None:
     strange = np.zeros(len(at), bool)  # lanes with a code that no table has
     single = len(shape) == 1
     order = [(k, 1 if single else size[0] * size[1], _lookup(dc), _lookup(ac)) for k, (size, dc, ac) in enumerate(shape)]
-    blocks = [np.zeros((len(at), interval * times, 64), np.int16) for _, times, _, _ in order]
+    blocks = [np.zeros((len(at), interval * times, keep), np.int16) for _, times, _, _ in order]
+    if len(at) < SIDE_BY_SIDE:
+        plain = [(k, times, memoryview(dc), memoryview(ac)) for k, times, dc, ac in order]
+        for lane, (begin, end, count) in enumerate(zip(at.tolist(), (np.concatenate(ends) * 8).tolist(), todo, strict=True)):
+            strange[lane] = not _read_lane(memoryview(word), begin, end, count, plain, [memoryview(x[lane].reshape(-1)) for x in blocks], keep)
+        _gather(headers, members, lanes, strange, blocks, shape, interval, out)
+        return
     past = [np.zeros(len(at), np.int32) for _ in order]
     masks = (1 << np.arange(17)) - 1
 
@@ -258,13 +322,17 @@ def _decode_group(images, headers, members, shape, interval, out) -> None:
         at[rows] = p + size
         return symbol, np.where(extra < (1 << size) >> 1, extra - masks[size], extra)
 
-    everyone = slice(None)
+    everyone, todo = slice(None), np.array(todo)
+    ended, failed = np.zeros_like(at), np.zeros_like(strange)  # where a lane stood after its last unit
     for mcu in range(interval):
+        over = todo == mcu
+        ended[over], failed[over] = at[over], strange[over]
         for k, times, dc, ac in order:
             for b in range(times):
                 here = blocks[k][:, mcu * times + b]
                 _, value = take(everyone, dc)
                 past[k] += value.astype(np.int32)
+                strange |= np.abs(past[k]) > 32767
                 here[:, 0] = past[k]
                 spot, rows = np.ones(len(at), np.int64), everyone
                 together = 1  # all lanes at the same coefficient, until one differs
@@ -272,7 +340,8 @@ def _decode_group(images, headers, members, shape, interval, out) -> None:
                     symbol, value = take(rows, ac)
                     run = symbol >> 4
                     if together and not run.any() and (symbol & 15).all():
-                        here[:, together] = value
+                        if together < keep:
+                            here[:, together] = value
                         together += 1
                         if together == 64:
                             break
@@ -280,14 +349,21 @@ def _decode_group(images, headers, members, shape, interval, out) -> None:
                     if together:
                         spot, together, rows = np.full(len(at), together), 0, np.arange(len(at))
                     spot = spot + run
-                    hit = ((symbol & 15) > 0) & (spot < 64)
+                    hit = ((symbol & 15) > 0) & (spot < keep)
                     here[rows[hit], spot[hit]] = value[hit]
                     go = (spot + 1 < 64) & (((symbol & 15) > 0) | (symbol == 0xF0))
                     rows, spot = rows[go], spot[go] + 1
                     if not len(rows):
                         break
-    strange |= at > np.concatenate(ends) * 8
-    lane = 0
+    over = todo == interval
+    ended[over], failed[over] = at[over], strange[over]
+    strange = failed | (ended > np.concatenate(ends) * 8)
+    _gather(headers, members, lanes, strange, blocks, shape, interval, out)
+
+
+def _gather(headers, members, lanes, strange, blocks, shape, interval, out) -> None:
+    """The lanes' blocks as a grid for each image and component; None where a lane is strange."""
+    single, lane = len(shape) == 1, 0
     for i, n in zip(members, lanes, strict=True):
         h = headers[i]
         if strange[lane : lane + n].any():
@@ -298,13 +374,14 @@ def _decode_group(images, headers, members, shape, interval, out) -> None:
         across, down = -(-h.width // (8 * most_h)), -(-h.height // (8 * most_v))
         for k, (size, _, _) in enumerate(shape):
             times = blocks[k].shape[1] // interval
-            flat = blocks[k][lane : lane + n].reshape(-1, times, 64)
+            keep = blocks[k].shape[2]
+            flat = blocks[k][lane : lane + n].reshape(-1, times, keep)
             if single:
                 wide, high = -(-h.width * size[0] // (8 * most_h)), -(-h.height * size[1] // (8 * most_v))
-                out[i].append(flat[: wide * high].reshape(high, wide, 64))
+                out[i].append(flat[: wide * high].reshape(high, wide, keep))
             else:
-                grid = flat[: across * down].reshape(down, across, size[1], size[0], 64)
-                out[i].append(grid.transpose(0, 2, 1, 3, 4).reshape(down * size[1], across * size[0], 64))
+                grid = flat[: across * down].reshape(down, across, size[1], size[0], keep)
+                out[i].append(grid.transpose(0, 2, 1, 3, 4).reshape(down * size[1], across * size[0], keep))
         lane += n
 
 
@@ -331,7 +408,7 @@ def describe(media: list[bytes | None]) -> list[tuple[int, int, str, str] | None
     """Width, height, thumbnail hash and thumbnail checksum of each JPEG; None where it isn't a baseline JPEG."""
     out: list = [None] * len(media)
     there = [i for i, x in enumerate(media) if x]
-    for i, found in zip(there, decode([media[i] for i in there]), strict=True):
+    for i, found in zip(there, decode([media[i] for i in there], keep=1), strict=True):
         try:
             if found:
                 pixels = thumbnail(found[0], found[1][0])
