@@ -23,6 +23,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "op9_sharding": sharding.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
     "op11_merkle_manifest": manifest.OP11_SQL,
     "op12_phrase_collocations": phrases.OP12_SQL,

@@ -65,8 +65,22 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text") -> None:
-    """Write all columns of ``df`` as one folder per shard, in slot order within files of at most FILE_ROWS rows."""
-    carry = tuple(c for c in df.columns if c not in (id_col, "size", "text_crc32", "shard", "slot"))
+    """Write all columns of ``df`` as one folder per shard, in slot order within files of at most FILE_ROWS rows.
+
+    Beside them stand size, text_crc32 and slot, and the folders' shard; columns
+    of ``df`` with one of these names, or one that begins with ``_``, are written
+    as ``row_`` and their name, with more ``row_`` where that is taken too.
+    """
+    renamed, taken = {}, {c.lower() for c in df.columns} | {"size", "text_crc32", "shard", "slot"}
+    for c in df.columns:
+        if c not in (id_col, text) and (c.lower() in ("size", "text_crc32", "shard", "slot") or c.startswith("_")):
+            new = f"row_{c}"
+            while new.lower() in taken:
+                new = f"row_{new}"
+            renamed[c] = new
+            taken.add(new.lower())
+    df = df.withColumnsRenamed(renamed)
+    carry = tuple(c for c in df.columns if c != id_col)
     placed = assign_shards(df, shards, id_col, text, carry)
     file = F.floor(F.col("slot") / FILE_ROWS)
     placed.repartition("shard", file).sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard").parquet(path)
@@ -77,3 +91,23 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: CRC-32 by a table of bytes; documents in their order, cut where the middle of their bytes falls.
+OP9_SQL = f"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crcs),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, row_number() OVER () AS rid,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes
+  FROM documents),
+sized AS (
+  SELECT doc_id, size, rid, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, crcs[xor(c % 256, b) + 1])), 4294967295) AS text_crc32
+  FROM d, t),
+placed AS (
+  SELECT *, sum(size) OVER inorder AS upto, sum(size) OVER () AS total, row_number() OVER inorder AS place
+  FROM sized WINDOW inorder AS (ORDER BY doc_id NULLS FIRST, text_crc32, size, rid ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, CAST(least(floor((upto - size / 2) * {SHARDS} / total), {SHARDS - 1}) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""

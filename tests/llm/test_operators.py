@@ -532,6 +532,15 @@ def test_written_shards_and_sequences(small, texts, tmp_path, spark):
     assert max(len(r.ids) for r in got.collect()) <= 1024 and sum(len(r.ids) for r in got.collect()) == packed.agg(F.sum("length")).first()[0]
 
 
+def test_written_shards_keep_columns_named_like_their_own(spark, tmp_path):
+    rows = [(i, f"text {i}", 100 + i, "s", i % 3, -i, f"r{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size int, Slot string, _part int, _at int, row_size string")
+    sharding.write_shards(df, str(tmp_path / "shards"), shards=4)
+    got = spark.read.parquet(str(tmp_path / "shards"))
+    assert got.select("doc_id", "text", "row_row_size", "row_Slot", "row__part", "row__at", "row_size").orderBy("doc_id").collect() == sorted(rows)
+    assert {(r.doc_id, r.size, r.shard, r.slot) for r in got.collect()} == {(r.doc_id, r.size, r.shard, r.slot) for r in sharding.assign_shards(df, 4).collect()}
+
+
 def test_sharding(small, edges):
     for df in (small, edges):
         got = sharding.assign_shards(df).orderBy("shard", "slot").collect()
