@@ -4,9 +4,10 @@ The tagger is trained on the driver, in numpy, on windows with labelled spans:
 those that the patterns find in a bounded sample of documents, and made-up ones
 in forms that the patterns don't cover.  It reads whole texts in overlapping
 windows; a character's scores are averaged over its windows, more weight in
-their middle.  The best tag sequence of the whole text is then found, and a span
-counts if the CRF is sure of each of its characters and its digits pass the exact
-checks (ranges, Luhn).
+their middle.  The best tag sequence of the whole text is then found.  A span counts
+if the CRF is sure of its characters, they are written in one of the forms that
+its kind can have (what runs on behind the form isn't part of the span), and its
+digits pass the exact checks (ranges, Luhn).
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ BATCH = 512
 #: Added to the score of a character known to be outside.
 OUTSIDE = 100.0
 #: Least probability of each character of a span.
-SURE = 0.5
+SURE = 0.25
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,8 +47,19 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_AT = re.compile(r"@|[\[(](?:at|AT)[\])]")
+_AT = re.compile(r"@|[\[({](?:at|AT)[\])}]")
 _NOT_DIGIT = re.compile("[^0-9]+")
+_WRITTEN = r"(?:{0}|\x20?[\[({{](?:{0}|{1}|{2})[\])}}]\x20?)"
+_DOT = _WRITTEN.format(r"\.", "dot", "DOT")
+#: How a span of each kind may be written; says where one ends, not whether it is one.
+FORMS = (
+    re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*{_WRITTEN.format('@', 'at', 'AT')}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"),
+    re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])"),
+    re.compile(r"(?<![0-9])[0-9](?:[\x20./_-]?[0-9]){12,18}(?![0-9])"),
+    re.compile(r"(?<![0-9])(?<![0-9][./_-])[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){9,14}(?![./_-]?[0-9])"),
+)
+#: Characters around what the tagger marks in which the form is looked for.
+AROUND = 60
 
 
 def luhn(digits: str) -> bool:
@@ -88,6 +100,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def luhn_card(found: str) -> bool:
+    digits = _NOT_DIGIT.sub("", found)
+    return 15 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 2
+
+
 def in_range(kind: int, found: str) -> bool:
     """The exact checks of what the tagger proposes: an e-mail's @, (at) or [at], numbers of an address, digits and Luhn sum of a card, digits of a phone."""
     digits = _NOT_DIGIT.sub("", found)
@@ -111,22 +128,31 @@ def made_up(r: np.random.Generator, words: list[str], count: int) -> list[tuple[
         body = pick(["4", "51", "37", "6011"]) + number(11)
         body = body[:15]
         body += next(c for c in "0123456789" if luhn(body + c))
-        sep = pick(["", " ", "-", ".", "/"])
+        sep = pick(["", " ", "-", ".", "/", "_"])
         return sep.join(body[i : i + 4] for i in range(0, 16, 4))
 
     def phone() -> str:
-        a, b, c = number(3), number(3), number(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{pick(['44', '49', '33', '34'])} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"00{pick(['44', '49', '33'])} {number(2)} {b} {c}"])
+        if r.random() < 0.5:
+            a, b, c = number(3), number(3), number(4)
+            return pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{pick(['44', '49', '33', '34'])} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"00{pick(['44', '49', '33'])} {number(2)} {b} {c}"])
+        sep = pick([" ", "-", ".", "/"])
+        groups = [number(n) for n in pick([(3, 3, 4), (3, 3, 4), (2, 4, 4), (4, 3, 3), (3, 4, 4), (2, 3, 3, 2)])]
+        if r.random() < 0.3:
+            groups[0] = f"({groups[0]})"
+        before = pick(["", "", f"00{pick(['1', '44', '49', '33', '39', '81'])}{sep}", f"+{number(2)}{sep}", f"1{sep}", f"+{number(1)}{sep}"])
+        last = pick([sep, "-", " "])
+        return before + sep.join(groups[:-1]) + last + groups[-1]
 
     def email() -> str:
-        host = f"{name()}.{pick(['com', 'org', 'net', 'co', 'example.com', 'de', 'fr'])}"
-        user = pick([name(), f"{name()}.{name()}", f"{name()}{number(2)}", f"{name()}_{number(3)}", f"{name()}.{number(2)}"])
-        at, dot = pick([("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("(AT)", "(DOT)")])
+        ending = pick(["com", "org", "net", "co", "de", "fr", "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(r.integers(2, 5))))])
+        host = pick([name(), name(), f"{name()}-{name()}", f"{name()}{number(1)}"]) + pick([".", ".", f".{name()[:3]}."]) + ending
+        user = pick([name(), f"{name()}.{name()}", f"{name()}{number(2)}", f"{name()}_{number(3)}", f"{name()}.{number(2)}", f"{name()[0]}_{name()}", f"{name()}-{name()}"])
+        at, dot = pick([("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("(AT)", "(DOT)"), ("{at}", "{dot}"), (" {at} ", " {dot} "), ("[at]", "."), ("(at)", ".")])
         whole = f"{user}{at}{host.replace('.', dot)}"
         return whole.upper() if r.random() < 0.1 else whole
 
     def ip() -> str:
-        return pick([".", ".", "[.]"]).join(str(int(r.integers(0, 256))) for _ in range(4))
+        return pick([".", "[.]", "[.]", "(.)", "[dot]", "(dot)"]).join(str(int(r.integers(0, 256))) for _ in range(4))
 
     def other() -> str:
         return pick([
@@ -136,17 +162,21 @@ def made_up(r: np.random.Generator, words: list[str], count: int) -> list[tuple[
             f"{number(2)}.{number(2)}.{number(4)}", f"{number(12)}", f"{number(3)}.{number(3)}.{number(3)}.{number(3)}.{number(2)}",
         ])
 
+    def some() -> str:
+        found = " ".join(pick(words) for _ in range(int(r.integers(1, 6))))
+        return found.upper() if r.random() < 0.1 else found
+
     out = []
     for _ in range(count):
         text, spans = "", []
         for _ in range(int(r.integers(2, 5))):
-            text += " ".join(pick(words) for _ in range(int(r.integers(1, 5)))) + pick([" ", " ", ": ", "\n", ", "])
-            kind = int(r.integers(0, 7))
-            piece = (email, ip, card, phone)[kind]() if kind < 4 else other()
+            text += some() + pick([" ", " ", ": ", "\n", ", ", ". "])
+            kind = (0, 1, 2, 3, 3, 4, 4, 4)[int(r.integers(8))]
+            piece = (email, ip, card, phone, other)[kind]()
             if kind < 4:
                 spans.append((len(text), kind, len(text) + len(piece)))
-            text += piece + pick([" ", ". ", ", ", "\n", "### ", " "])
-        out.append((text, spans))
+            text += piece + pick([" ", ". ", ", ", "\n", "### ", " ", "; "])
+        out.append((text + some() if r.random() < 0.7 else text, spans))
     return out
 
 
@@ -244,9 +274,9 @@ class Read:
         return out / shares
 
 
-def tagged_spans(model: CharTagger, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
-    """(start, kind, end, least probability of a character) of the spans that the tagger finds in each text, before any check."""
-    out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+def tagged_spans(model: CharTagger, texts: list[str]) -> list[list[tuple[int, int, int, np.ndarray]]]:
+    """(start, kind, end, probability of each character) of the spans that the tagger finds in each text, before any check."""
+    out: list[list[tuple[int, int, int, np.ndarray]]] = [[] for _ in texts]
     for first, last in runs(byte_lengths(texts)):
         read = Read(model, texts[first:last])
         # what surrounds a stretch is outside in the best sequence, so each can be decoded by itself
@@ -272,23 +302,35 @@ def tagged_spans(model: CharTagger, texts: list[str]) -> list[list[tuple[int, in
                 t += 1
                 while t < len(best) and best[t] == 2 * kind + 2:
                     t += 1
-                out[first + i].append((begin + start, kind, begin + t, float(sure[np.arange(start, t), best[start:t]].min())))
+                out[first + i].append((begin + start, kind, begin + t, sure[np.arange(start, t), best[start:t]]))
     return out
 
 
+def in_form(text: str, kind: int, a: int, b: int) -> list[tuple[int, int]]:
+    """Where characters a to b hold something in a form of the kind: all of them but blanks and signs at their ends, or the forms that lie in them by half and more."""
+    while a < b and text[a] in " \n\t,;:":
+        a += 1
+    while b > a and text[b - 1] in " \n\t,;:.#*$%&|<>":
+        b -= 1
+    if FORMS[kind].fullmatch(text, a, b):
+        return [(a, b)]
+    around = [m.span() for m in FORMS[kind].finditer(text, max(0, a - AROUND), min(len(text), b + AROUND))]
+    return [(x, y) for x, y in around if 2 * (min(b, y) - max(a, x)) >= y - x]
+
+
 def added_spans(model: CharTagger, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """The tagger's spans of which it is sure, that pass the exact checks, cut no word and touch no pattern span."""
+    """The tagger's spans of which it is sure, in a form of their kind, that pass the exact checks, cut no word and touch no pattern span or each other."""
     out = []
     for text, known, new in zip(texts, base, tagged_spans(model, texts), strict=True):
-        good = []
-        for a, k, b, sure in new:
-            while a < b and text[a] in " \n\t,;:":
-                a += 1
-            while b > a and text[b - 1] in " \n\t,;:.#*$%&|<>":
-                b -= 1
-            whole = a < b and (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-            if whole and sure >= SURE and in_range(k, text[a:b]) and all(b <= x or y <= a for x, _, y in known):
-                good.append((a, k, b))
+        good, taken = [], list(known)
+        for begin, tagged, end, sure in new:
+            # cards and phones can look alike, so a long run of digits in a card's form is one if its check digit says so
+            cards = [(2, a, b) for a, b in in_form(text, 2, begin, end) if luhn_card(text[a:b])] if tagged == 3 else []
+            for k, a, b in cards or [(tagged, *x) for x in in_form(text, tagged, begin, end)]:
+                whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
+                if whole and sure[max(a - begin, 0) : b - begin].min() >= SURE and in_range(k, text[a:b]) and all(b <= x or y <= a for x, _, y in taken):
+                    good.append((a, k, b))
+                    taken.append((a, k, b))
         out.append(good)
     return out
 
