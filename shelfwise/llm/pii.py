@@ -306,13 +306,18 @@ def tagged_spans(model: CharTagger, texts: list[str]) -> list[list[tuple[int, in
     return out
 
 
+def uncut(text: str, a: int, b: int) -> bool:
+    """Whether characters a to b begin and end where words do."""
+    return (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
+
+
 def in_form(text: str, kind: int, a: int, b: int) -> list[tuple[int, int]]:
     """Where characters a to b hold something in a form of the kind: all of them but blanks and signs at their ends, or the forms that lie in them by half and more."""
     while a < b and text[a] in " \n\t,;:":
         a += 1
     while b > a and text[b - 1] in " \n\t,;:.#*$%&|<>":
         b -= 1
-    if FORMS[kind].fullmatch(text, a, b):
+    if uncut(text, a, b) and FORMS[kind].fullmatch(text, a, b):
         return [(a, b)]
     around = [m.span() for m in FORMS[kind].finditer(text, max(0, a - AROUND), min(len(text), b + AROUND))]
     return [(x, y) for x, y in around if 2 * (min(b, y) - max(a, x)) >= y - x]
@@ -327,8 +332,7 @@ def added_spans(model: CharTagger, texts: list[str], base: list[list[tuple[int,
             # cards and phones can look alike, so a long run of digits in a card's form is one if its check digit says so
             cards = [(2, a, b) for a, b in in_form(text, 2, begin, end) if luhn_card(text[a:b])] if tagged == 3 else []
             for k, a, b in cards or [(tagged, *x) for x in in_form(text, tagged, begin, end)]:
-                whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-                if whole and sure[max(a - begin, 0) : b - begin].min() >= SURE and in_range(k, text[a:b]) and all(b <= x or y <= a for x, _, y in taken):
+                if uncut(text, a, b) and sure[max(a - begin, 0) : b - begin].min() >= SURE and in_range(k, text[a:b]) and all(b <= x or y <= a for x, _, y in taken):
                     good.append((a, k, b))
                     taken.append((a, k, b))
         out.append(good)
