@@ -58,6 +58,7 @@ FORMS = (
     re.compile(r"(?<![0-9])[0-9](?:[\x20./_-]?[0-9]){12,18}(?![0-9])"),
     re.compile(r"(?<![0-9])(?<![0-9][./_-])[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){9,14}(?![./_-]?[0-9])"),
 )
+_DIGITS_BEFORE, _DIGITS_AFTER = re.compile(r"[0-9][./_-]?\Z"), re.compile("[./_-]?[0-9]")
 #: Characters around what the tagger marks in which the form is looked for.
 AROUND = 60
 
@@ -317,7 +318,8 @@ def in_form(text: str, kind: int, a: int, b: int) -> list[tuple[int, int]]:
         a += 1
     while b > a and text[b - 1] in " \n\t,;:.#*$%&|<>":
         b -= 1
-    if uncut(text, a, b) and FORMS[kind].fullmatch(text, a, b):
+    more = kind and (_DIGITS_AFTER.match(text, b) or _DIGITS_BEFORE.search(text, max(0, a - 2), a))
+    if not more and uncut(text, a, b) and FORMS[kind].fullmatch(text, a, b):
         return [(a, b)]
     around = [m.span() for m in FORMS[kind].finditer(text, max(0, a - AROUND), min(len(text), b + AROUND))]
     return [(x, y) for x, y in around if 2 * (min(b, y) - max(a, x)) >= y - x]
