@@ -12,12 +12,22 @@ uniform number from a hash of itself and is ranked by
 
 the random odds over the odds of its inclusion.  Each source gives a fixed number
 of documents, the lowest ranks of all of it: the sum of its probabilities rounded
-to a whole number, to which they are then scaled.  So a document is taken as
-often as stated whatever the seed, and a source comes near its target as its
-sample grows.
+to a whole number.  The probabilities move to that sum by as much as keeps the
+words expected at those wanted; a source of a few documents, where that would
+take one out of (0, 1), is moved plainly and may expect up to half of its largest
+document more or less.
+
+The random numbers of a source are collocated: its documents are put in an order,
+by classes of value and size and at random inside a class, and a document's number
+is the part of a unit left above the probabilities that came before it, from a
+random start on.  Each number is uniform by itself, so a document is taken as
+often as stated whatever the seed, yet neighbours share out their probabilities,
+so that the words of a source miss its target by a part of a document however many
+it has, not by more the more it has.
 
 The lowest ranks are found from counts in buckets of the rank, and only the
-bucket of the last one is sorted, so that a hot source is dealt over many tasks.
+bucket of the last one is sorted, and only if it isn't taken whole, so that a hot
+source is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -25,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, passing_tables, shared_table, text_or_empty
+from .common import PART_ROWS, WORD, passing_tables, shared_table, text_or_empty
 
 #: Weights of sources by code point, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -34,7 +44,7 @@ MOST = 2.0
 SEED = 17
 #: Rank buckets of a source.
 BUCKETS = 65_536
-#: Classes for each doubling of value.
+#: Classes for each doubling of value, and of size.
 CLASSES = 8
 #: The largest probability of a document that isn't certain.
 NEARLY = 1 - 1e-9
@@ -87,6 +97,18 @@ def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     return out
 
 
+def _cumulated(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """``rows`` with ``_before``, the sum of ``value`` over those of their key that come before them; dealt by ranges of key and order, as by common.positions."""
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    dealt = shared_table(rows.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part", key).agg(F.sum(value).alias("_sum"))
+    totals = totals.select("_part", key, F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_parts"))
+    inside = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(totals, _same(dealt, totals, "_part", key)).drop(totals["_part"]).drop(totals[key])
+    return joined.withColumn("_before", F.col("_parts") + F.coalesce(F.sum(value).over(inside), F.lit(0.0))).drop("_part", "_parts")
+
+
 def _decided(df: DataFrame, id_col: str, text: str, source: str, weight: str | None, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
     """(_id, _print, source, size, source_size, target, inclusion, copies) of each row."""
     size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
@@ -102,7 +124,7 @@ def _decided(df: DataFrame, id_col: str, text: str, source: str, weight: str | N
     targets = targets.withColumn("_whole", whole).withColumn("_wanted", F.greatest(times - whole, F.lit(0.0)) * F.col("source_size"))
     open_ = (F.col("_wanted") > 0) & (F.col("size") > 0) & (F.col("_value") > 0)
     joined = docs.join(targets, _same(docs, targets, "source")).drop(targets["source"])
-    joined = joined.withColumn("_vc", F.when(open_, _class(F.col("_value"))))
+    joined = joined.withColumn("_vc", F.when(open_, _class(F.col("_value")))).withColumn("_sc", F.when(open_, _class(F.col("size"))))
 
     # the scale c of p = c * value: classes of value from the largest on are certain as long as c would take them beyond 1
     by_value = joined.where("_vc is not null").groupBy("source", "_vc").agg(
@@ -120,27 +142,49 @@ def _decided(df: DataFrame, id_col: str, text: str, source: str, weight: str | N
     drawn = drawn.withColumn("_p", F.when(F.col("_vc").isNull(), 0.0).when(certain, 1.0).otherwise(F.greatest(F.col("_scale") * F.col("_value"), F.lit(0.0))))
     drawn = shared_table(drawn)
 
-    # a fixed number of documents of each source, to which its probabilities are scaled
+    # a fixed number of documents of each source: its probabilities move by (more + slope * size) p (1 - p), which adds up to that number and to no words
     drawn_at_all = (F.col("_p") > 0) & (F.col("_p") < 1)
-    numbers = drawn.where(drawn_at_all).groupBy("source").agg(F.sum("_p").alias("_total"))
-    numbers = shared_table(numbers.withColumn("_number", F.floor(F.col("_total") + 0.5)))  # a row per source
-    drawn = drawn.join(numbers, _same(drawn, numbers, "source"), "left").drop(numbers["source"])
-    drawn = drawn.withColumn("_p", F.when(drawn_at_all, F.least(F.col("_p") * F.col("_number") / F.col("_total"), F.lit(NEARLY))).otherwise(F.col("_p")))
-    drawn = drawn.withColumn("_rank", F.when(drawn_at_all, F.col("_u") / (1 - F.col("_u")) / (F.col("_p") / (1 - F.col("_p")))))
-    # rank / (1 + rank) lies in (0, 1), grows with the rank and is about 1/2 for the last one taken
-    drawn = drawn.withColumn("_bucket", F.floor(F.col("_rank") / (F.col("_rank") + 1) * BUCKETS).cast("int"))
+    loose = F.col("_p") * (1 - F.col("_p"))
+    numbers = drawn.where(drawn_at_all).groupBy("source").agg(
+        F.sum("_p").alias("_total"), F.count(F.lit(1)).alias("_n"), F.min("size").alias("_low"), F.max("size").alias("_high"),
+        F.sum(loose).alias("_q0"), F.sum(loose * F.col("size")).alias("_q1"), F.sum(loose * F.col("size") * F.col("size")).alias("_q2"),
+    )
+    numbers = numbers.withColumn("_number", F.floor(F.col("_total") + 0.5))
+    spread, short = F.expr("nullif(_q0 * _q2 - _q1 * _q1, 0)"), F.col("_number") - F.col("_total")
+    numbers = numbers.withColumn("_more", short * F.col("_q2") / spread).withColumn("_slope", -short * F.col("_q1") / spread)
+    inside_one = [F.abs(F.col("_more") + F.col("_slope") * F.col(c)) < 1 for c in ("_low", "_high")]  # then no probability leaves (0, 1)
+    numbers = shared_table(numbers.withColumn("_even", F.coalesce(inside_one[0] & inside_one[1], F.lit(False))))  # a row per source
+    moved = (
+        F.when(F.col("_even"), F.col("_p") + loose * (F.col("_more") + F.col("_slope") * F.col("size")))
+        .when(F.col("_number") > F.col("_total"), F.col("_p") + (F.col("_number") - F.col("_total")) * (1 - F.col("_p")) / (F.col("_n") - F.col("_total")))
+        .otherwise(F.col("_p") * F.col("_number") / F.col("_total"))
+    )
+    closed = drawn.where(~drawn_at_all)
+    drawn = drawn.where(drawn_at_all)
+    drawn = drawn.join(numbers, _same(drawn, numbers, "source")).drop(numbers["source"])
+    drawn = drawn.withColumn("_p", F.least(moved, F.lit(NEARLY)))
+
+    # their collocated numbers and ranks
+    drawn = _cumulated(drawn, "source", "_p", "_vc", "_sc", "_u", "_id", "_row")
+    at = F.col("_before") + _uniform(F.lit(seed), F.col("source"))
+    drawn = drawn.withColumn("_u", F.least(F.greatest(1 - (at - F.floor(at)), F.lit(1 - NEARLY)), F.lit(NEARLY)))
+    drawn = drawn.withColumn("_rank", F.when(F.col("_p") > 0, F.col("_u") / (1 - F.col("_u")) / (F.col("_p") / (1 - F.col("_p")))))
+    # rank / (1 + rank) lies in (0, 1), grows with the rank and is at most about 1/2 for the last one taken
+    drawn = shared_table(drawn.withColumn("_bucket", F.floor(F.col("_rank") / (F.col("_rank") + 1) * BUCKETS).cast("int")))
 
     # the bucket in which the last of them is
     counts = drawn.where("_rank is not null").groupBy("source", "_number", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
     cuts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).where("_before < _number and _number <= _before + _n")
-    cuts = shared_table(cuts.select(F.col("source").alias("source_of"), F.col("_bucket").alias("_cut"), (F.col("_number") - F.col("_before")).alias("_need")))
-    placed = drawn.join(cuts, drawn["source"].eqNullSafe(cuts["source_of"]), "left").drop("source_of")
-    at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
+    need = F.col("_number") - F.col("_before")
+    cuts = shared_table(cuts.select(F.col("source").alias("source_of"), F.col("_bucket").alias("_cut"), need.alias("_need"), (need == F.col("_n")).alias("_all")))
+    placed = drawn.drop("_before").join(cuts, drawn["source"].eqNullSafe(cuts["source_of"]), "left").drop("source_of")
+    at_cut = F.coalesce((F.col("_bucket") == F.col("_cut")) & ~F.col("_all"), F.lit(False))
     order = Window.partitionBy("source").orderBy("_rank", "_id", "_row")  # one bucket of a source
     exact = placed.where(at_cut).withColumn("_in", F.row_number().over(order) <= F.col("_need"))
-    rest = placed.where(~at_cut).withColumn("_in", F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False)))
-    chosen = exact.unionByName(rest)
+    rest = placed.where(~at_cut).withColumn("_in", F.coalesce(F.col("_bucket") <= F.col("_cut"), F.lit(False)))
+    used = ["_id", "_print", "source", "size", "source_size", "target", "_whole", "_p", "_in"]
+    chosen = exact.select(*used).unionByName(rest.select(*used)).unionByName(closed.withColumn("_in", F.lit(False)).select(*used))
     copies = F.col("_whole") + ((F.col("_p") >= 1) | F.col("_in")).cast("int")
     return chosen.select("_id", "_print", "source", "size", "source_size", "target", (F.col("_whole") + F.col("_p")).alias("inclusion"), copies.alias("copies"))
 
@@ -153,8 +197,8 @@ def mix(
     Size is the number of words (NULL text: 0).  ``weight`` may name a column
     of non-negative document weights (NULL: 1); a document of weight 0 is taken
     only in whole copies.  ``inclusion`` is the expected number of copies.  Documents without words are taken as
-    often as their source's whole copies.  Repeated rows draw the same number
-    and count each; a NULL source is a source of its own.  An empty table gives
+    often as their source's whole copies.  Repeated rows count and are drawn each;
+    a NULL source is a source of its own.  An empty table gives
     no rows; other columns are not read.  Reruns agree.
     """
     with passing_tables(df.sparkSession):
@@ -223,11 +267,22 @@ WITH d AS (
 ), p AS (
   SELECT j.*, CASE WHEN j.c IS NULL THEN 0.0 WHEN k.c IS NULL OR j.c > k.c OR scale * size >= 1 THEN 1.0 ELSE greatest(scale * size, 0) END AS p FROM j LEFT JOIN k ON j.source IS NOT DISTINCT FROM k.source
 ), h AS (
-  SELECT source, sum(p) AS total, floor(sum(p) + 0.5) AS number FROM p WHERE p > 0 AND p < 1 GROUP BY source
+  SELECT source, sum(p) AS total, floor(sum(p) + 0.5) AS number, count(*) AS n, min(size) AS low, max(size) AS high,
+    sum(p * (1 - p)) AS q0, sum(p * (1 - p) * size) AS q1, sum(p * (1 - p) * size * size) AS q2 FROM p WHERE p > 0 AND p < 1 GROUP BY source
+), e AS (
+  SELECT *, (number - total) * q2 / nullif(q0 * q2 - q1 * q1, 0) AS more, (total - number) * q1 / nullif(q0 * q2 - q1 * q1, 0) AS slope FROM h
 ), q AS (
-  SELECT p.* EXCLUDE (p), CASE WHEN p > 0 AND p < 1 THEN least(p * number / total, {NEARLY}::DOUBLE) ELSE p END AS p, number FROM p LEFT JOIN h ON p.source IS NOT DISTINCT FROM h.source
+  SELECT p.* EXCLUDE (p), p > 0 AND p < 1 AS drawn, number, CASE WHEN p > 0 AND p < 1 THEN least(CASE
+      WHEN abs(more + slope * low) < 1 AND abs(more + slope * high) < 1 THEN p + p * (1 - p) * (more + slope * size)
+      WHEN number > total THEN p + (number - total) * (1 - p) / (n - total) ELSE p * number / total END, {NEARLY}::DOUBLE) ELSE p END AS p
+  FROM p LEFT JOIN e ON p.source IS NOT DISTINCT FROM e.source
+), w AS (
+  SELECT *, coalesce(sum(p) OVER (PARTITION BY source, drawn ORDER BY c, u, doc_id, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    + {_U.format(f"'{SEED}|' || coalesce(source, '')")} AS upto FROM q
+), y AS (
+  SELECT * EXCLUDE (u, upto), least(greatest(1 - (upto - floor(upto)), {1 - NEARLY}::DOUBLE), {NEARLY}::DOUBLE) AS u FROM w
 ), x AS (
-  SELECT *, row_number() OVER (PARTITION BY source, p > 0 AND p < 1 ORDER BY CASE WHEN p > 0 AND p < 1 THEN u / (1 - u) / (p / (1 - p)) END, doc_id, r) AS place FROM q
+  SELECT *, row_number() OVER (PARTITION BY source, p > 0 AND p < 1 ORDER BY CASE WHEN p > 0 AND p < 1 THEN u / (1 - u) / (p / (1 - p)) END, doc_id, r) AS place FROM y
 )
 SELECT doc_id, size, source, source_size, target, whole + p AS inclusion, (size * (whole + CASE WHEN p >= 1 OR (p > 0 AND place <= number) THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
 """

@@ -643,6 +643,47 @@ def test_inclusion_on_documents_is_the_stated_one():
     assert (plain["copies"] != drawn(1)["copies"])[open_].mean() > 0.1  # the odds of inclusion decide
 
 
+def test_words_of_a_mix_come_near_their_targets(spark):
+    """Over seeds a source's words miss its target by less than its largest document, however many documents it has, and the words expected are those wanted."""
+    con = oracle.connect("/root/testdata/sf0.1")
+    con.execute("CREATE TABLE kept AS SELECT doc_id, source, regexp_replace(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 'w', 'g') AS text FROM documents")
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM kept")
+    for seed in range(6):
+        d = con.execute(ORACLE_SQL["op10_mixing"].replace(f"'{mixing.SEED}|'", f"'{seed}|'")).df()
+        by = d.assign(expected=d["inclusion"] * d["size"]).groupby("source").agg(taken=("taken", "sum"), expected=("expected", "sum"), target=("target", "max"), size=("size", "max"))
+        print("seed", seed, "largest miss in largest documents", (abs(by["taken"] - by["target"]) / by["size"]).max())
+        assert (abs(by["taken"] - by["target"]) <= by["size"] / 4).all()
+        assert np.allclose(by["expected"], by["target"], rtol=1e-9)
+    # few documents with weights, and a source of documents that are all alike
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{i % 3}", float(1 + i % 5)) for i, n in enumerate(r.integers(5, 120, 90))]
+    rows += [(i, "w w w w", "s3", 1.0) for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, worth double").coalesce(2).cache()
+    for seed in range(3):
+        got = mixing.mix(df, weight="worth", seed=seed).toPandas()
+        by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "max"))
+        assert len(got) == len(rows) and (abs(by["taken"] - by["target"]) <= 125).all()
+        assert abs(by["taken"] - by["target"])["s3"] <= 4
+
+
+def test_inclusion_of_small_sources_is_the_stated_one():
+    """Sources of a few documents too: each document is taken as often as stated, and a source's stated inclusions add up to the number that it gives."""
+    con = oracle.connect("/root/testdata/sf0.001")
+    con.execute("CREATE OR REPLACE TABLE few (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+    sizes = {"a": [95, 35, 30], "b": [9, 8, 1], "c": [50, 20, 20, 5, 2], "d": [7], "e": [3, 3, 3, 40]}
+    con.executemany("INSERT INTO few VALUES (?, ?, ?)", [(10 * i + j, s, " ".join(["w"] * n)) for i, (s, ns) in enumerate(sizes.items()) for j, n in enumerate(ns)])
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM few")
+    seeds, times = 400, 0.0
+    for seed in range(seeds):
+        d = con.execute(ORACLE_SQL["op10_mixing"].replace(f"'{mixing.SEED}|'", f"'{seed}|'")).df().sort_values("doc_id", ignore_index=True)
+        d = d.assign(copies=d["taken"] / d["size"])
+        times = times + d["copies"].to_numpy()
+        by = d.groupby("source").agg(copies=("copies", "sum"), stated=("inclusion", "sum"))
+        assert np.allclose(by["copies"], by["stated"], atol=1e-6)
+    print("largest difference", abs(times / seeds - d["inclusion"]).max())
+    assert abs(times / seeds - d["inclusion"]).max() < 0.1
+
+
 def test_taken_rows_repeat(small, spark):
     taken = mixing.take(small)
     assert taken.columns == small.columns
