@@ -21,9 +21,9 @@ The random numbers of a source are collocated: its documents are put in an order
 by classes of value and size and at random inside a class, and a document's number
 is the part of a unit left above the probabilities that came before it, from a
 random start on.  Each number is uniform by itself, so a document is taken as
-often as stated whatever the seed, yet neighbours share out their probabilities,
-so that the words of a source miss its target by a part of a document however many
-it has, not by more the more it has.
+often as stated whatever the seed, yet neighbours share out their probabilities:
+as many documents rank below 1 as the source gives, and its words miss its target
+by a part of a large document however many it has, not by more the more it has.
 
 The lowest ranks are found from counts in buckets of the rank, and only the
 bucket of the last one is sorted, and only if it isn't taken whole, so that a hot

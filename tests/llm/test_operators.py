@@ -684,6 +684,23 @@ def test_inclusion_of_small_sources_is_the_stated_one():
     assert abs(times / seeds - d["inclusion"]).max() < 0.1
 
 
+def test_mix_over_several_ranges_equals_its_sql(spark, monkeypatch):
+    """Sources, a NULL one among them, whose documents span several ranges of the running sum."""
+    monkeypatch.setattr(mixing, "PART_ROWS", 60)
+    r = np.random.default_rng(3)
+    rows = [(int(i), " ".join(["w"] * int(n)), [None, "s", "t"][i * i % 3]) for i, n in enumerate(r.integers(1, 90, 500))]
+    rows += [(7, "w w w", "s")] * 40  # rows that are all alike
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    columns = ["doc_id", "source", "size", "taken"]
+    got = mixing.mix(df).toPandas().sort_values([*columns, "inclusion"], ignore_index=True)
+    con = oracle.connect("/root/testdata/sf0.001")
+    given = df.toPandas()  # noqa: F841
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM given")
+    want = con.execute(ORACLE_SQL["op10_mixing"]).df().sort_values([*columns, "inclusion"], ignore_index=True)
+    assert got[columns].fillna("").values.tolist() == want[columns].fillna("").values.tolist()
+    assert np.allclose(got["inclusion"], want["inclusion"], rtol=1e-9) and np.allclose(got["target"], want["target"], rtol=1e-9)
+
+
 def test_taken_rows_repeat(small, spark):
     taken = mixing.take(small)
     assert taken.columns == small.columns
