@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import weeks_back
+from . import neighbours
 
 
 def with_weeks(purchases: DataFrame) -> DataFrame:
@@ -47,25 +49,25 @@ def pair_counts(purchases: DataFrame, least: int = 2, most: int = 10) -> DataFra
     return counted.unionByName(counted.select(F.col("other").alias("art"), F.col("art").alias("other"), "n"))
 
 
-def item_similarity(purchases: DataFrame, k: int, reach: int = 64) -> DataFrame:
-    """art, other, sim: direction-aware co-purchase similarity from each customer's purchase sequence.
+def similar_lists(purchases: DataFrame, k: int, reach: int = 64) -> DataFrame:
+    """art, others, sims: the ``k`` most similar items of each by direction-aware co-purchase similarity from each customer's purchase sequence, best first.
 
     Each ordered pair of positions at most ``reach`` apart adds
     a * 0.7^(gap-1) / ln(1+n) with a = 1 forward and 0.9 backward; at the next
     gap the weight is below 2e-10.  Sequences are whole: they are cut in
-    stretches of ``reach`` positions and each is joined with itself and its
-    neighbours, so pairs grow with the length of a sequence, not its square,
-    and a customer with very many purchases is dealt over many tasks.
+    stretches of ``reach`` positions that know their neighbours, so pairs grow
+    with the length of a sequence, not its square, and a customer with very many
+    purchases is dealt over many tasks.  Ids of items are integers.
     """
-    w = Window.partitionBy("cust").orderBy("day", "art", "receipt")
-    seq = purchases.select("cust", "art", F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("cust")).alias("n"))
-    seq = seq.withColumn("stretch", F.floor(F.col("pos") / reach))
-    near = seq.select("cust", F.col("art").alias("other"), F.col("pos").alias("_at"), F.explode(F.array(*[F.col("stretch") + d for d in (-1, 0, 1)])).alias("stretch"))
-    gap = F.abs(F.col("_at") - F.col("pos"))
-    both = seq.join(near, ["cust", "stretch"]).where(gap.between(1, reach))
-    weight = F.when(F.col("_at") > F.col("pos"), 1.0).otherwise(0.9) * F.pow(F.lit(0.7), gap - 1) / F.log(F.lit(1.0) + F.col("n"))
-    scored = both.groupBy("art", "other").agg(F.sum(weight).alias("sim"))
-    return top_per(scored, ["art"], [F.round("sim", 8).desc(), F.col("other")], k)
+    gap = np.arange(-reach, reach + 1)
+    weights = np.where(gap > 0, 1.0, 0.9) * 0.7 ** (np.abs(gap) - 1.0)
+    return neighbours.nearest(purchases.select("cust", "art", "day", "receipt"), "cust", ["day", "art", "receipt"], "art", weights, k)
+
+
+def item_similarity(purchases: DataFrame, k: int, reach: int = 64) -> DataFrame:
+    """art, other, sim, rank: the rows of ``similar_lists``."""
+    rows = similar_lists(purchases, k, reach).select("art", F.posexplode(F.arrays_zip("others", "sims")).alias("_at", "_r"))
+    return rows.select("art", F.col("_r.others").alias("other"), F.col("_r.sims").alias("sim"), (F.col("_at") + 1).alias("rank"))
 
 
 def expand(recent: DataFrame, similar: DataFrame, score: Column, k: int) -> DataFrame:
@@ -75,6 +77,14 @@ def expand(recent: DataFrame, similar: DataFrame, score: Column, k: int) -> Data
     return top_per(scored, ["cust"], [F.round("score", 8).desc(), F.col("art")], k)
 
 
+def expand_lists(recent: DataFrame, similar: DataFrame, k: int) -> DataFrame:
+    """cust, art, score, rank: the same with ``similar_lists``, which become rows only where all of a customer's are."""
+    joined = recent.select("cust", F.col("art").alias("_from")).join(similar.withColumnRenamed("art", "_from"), "_from")
+    rows = joined.select("cust", "others", "sims").repartition("cust").select("cust", F.explode(F.arrays_zip("others", "sims")).alias("_r"))
+    scored = rows.groupBy("cust", F.col("_r.others").alias("art")).agg(F.sum("_r.sims").alias("score"))
+    return top_per(scored, ["cust"], [F.round("score", 8).desc(), F.col("art")], k)
+
+
 def candidate_table(channels: dict[str, DataFrame]) -> DataFrame:
     """cust, art, then score, rank and flag per channel and the number of channels; one aggregation for all."""
     parts = [df.select("cust", "art", F.col("score").cast("double").alias("score"), "rank", F.lit(name).alias("channel")) for name, df in channels.items()]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists, numbers
 from ..operators import ranking
-from ..sources.scratch import scratch
+from ..sources.scratch import written
 from .registry import query
 
 
@@ -16,10 +16,9 @@ def tx(s):
 
 
 def stored(s):
-    """Purchases with weeks, written once for a query that reads them several times."""
+    """Customers, items, days and receipts of purchases, with weeks, written once for a query that reads them several times."""
     if not hasattr(s, "stored"):
-        s.purchases.write.parquet(path := f"{scratch(s.spark)}/purchases")
-        s.stored = ranking.with_weeks(s.spark.read.parquet(path))
+        s.stored = ranking.with_weeks(written(s.purchases.select("cust", "art", "day", "receipt")))
     return s.stored
 
 
@@ -77,7 +76,7 @@ def _expanded(s):
     t = stored(s)
     recent = t.where("week < 26").groupBy("cust", "art").agg(F.min("days_ago").alias("ago"))
     recent = ranking.top_per(recent, ["cust"], [F.col("ago"), F.col("art")], 5)
-    return ranking.expand(recent, ranking.item_similarity(t, 20).drop("rank"), F.col("sim"), 20)
+    return ranking.expand_lists(recent, ranking.similar_lists(t, 20), 20)
 
 
 @query("WITH " + _EXPAND + " SELECT cust, art, round(score, 6) AS score, rank FROM k", "txw")

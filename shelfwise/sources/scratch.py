@@ -27,10 +27,18 @@ def _place(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet and read back; the files go with ``dropped``, or when Spark ends."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    """``df`` written once as Parquet and read back; what was shuffled for it goes at once, the files go with ``dropped``, or when Spark ends."""
+    path, conf = scratch(df.sparkSession), df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     where, store = _place(df.sparkSession, path)
     store.deleteOnExit(where)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
