@@ -162,7 +162,7 @@ def n03_session_windows(s):  # a session ends after six hours without an event
 
 
 @query(_SESSIONS.format("max(ts) AS session_end, "))
-def n04_stateful_sessions(s):  # the same with state and event-time timers per user, each session given once when it is over
+def n04_stateful_sessions(s):  # the same with state and event-time timers, each session given once when it is over
     from ..streaming.sessions import replayed
 
     got, _ = replayed(s.spark, f"{s.folder}/events.parquet", "user_id", "ts", "value", 6 * 3_600_000_000)

@@ -77,3 +77,16 @@ def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], "user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events"))
     got, _ = sessions.replayed(spark, str(tmp_path / "events"), "user_id", "ts", "value", MINUTE, slices=1)
     assert got.count() == 0
+
+
+def test_state_and_timers_are_a_groups_not_a_sessions(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k, int(t), 1.0) for k in range(900) for t in rng.choice(40, 6, False) * 100]
+    table = [(k, DAY + dt.timedelta(minutes=t), v) for k, t, v in rows]
+    spark.createDataFrame(table, "user_id long, ts timestamp, value double").repartition(3).write.parquet(str(tmp_path / "events"))
+    got, progress = sessions.replayed(spark, str(tmp_path / "events"), "user_id", "ts", "value", 101 * MINUTE, slices=3)
+    base = int(DAY.replace(tzinfo=dt.UTC).timestamp() * 1e6)
+    assert {(r.user_id, (r.first - base) // MINUTE): (r.n, r.value) for r in got.collect()} == slow(rows, 101)
+    timers = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in progress if p["stateOperators"]]
+    assert 0 < max(timers) <= 2 * 256  # one where rows came, one where a timer went off; before, one a session
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) <= 4 * 256
