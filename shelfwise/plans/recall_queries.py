@@ -164,9 +164,14 @@ def m09_score_fusion(s):  # E12, E13, I11, I12
 @query("""WITH a AS (SELECT unnest(range(0, 12)) AS w), d AS (SELECT min(days_ago) AS z FROM txw)
 SELECT a.w AS week, art, round(sum(1.0 / (days_ago - 7 * a.w + 1)), 6) AS factor, round(sum(CAST(n > 1 AS INT)) / (count(*) + 0.000001), 6) AS repeat FROM a JOIN (SELECT t.*, 1 AS one FROM txw t) x ON x.week >= a.w JOIN (SELECT a2.w AS w2, art AS art2, cust AS cust2, count(*) AS n FROM (SELECT unnest(range(0, 12)) AS w) a2 JOIN txw ON week >= a2.w GROUP BY ALL) g ON g.w2 = a.w AND g.art2 = x.art AND g.cust2 = x.cust GROUP BY ALL""", "txw")
 def m11_week_anchors(s):  # M11, M13: one row per anchor at or before a purchase's week, at most 12
-    t = tx(s).withColumn("w", F.explode(F.sequence(F.lit(0), F.least(F.col("week"), F.lit(11)))))
-    n = F.count(F.lit(1)).over(Window.partitionBy("w", "art", "cust"))
-    return t.withColumn("n", n).groupBy(F.col("w").alias("week"), "art").agg(F.round(F.sum(1 / (F.col("days_ago") - 7 * F.col("w") + 1)), 6).alias("factor"), F.round(F.sum((F.col("n") > 1).cast("int")) / (F.count(F.lit(1)) + 0.000001), 6).alias("repeat"))
+    t = tx(s).select("art", "cust", "days_ago", F.least(F.col("week"), F.lit(11)).alias("w")).dropna(subset=["art", "cust", "days_ago"])
+    pair = Window.partitionBy("art", "cust").orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    second = F.nth_value("w", 2).over(pair)  # up to this anchor the customer has bought the item more than once
+    dealt = t.withColumn("last", F.least("w", F.coalesce(second, F.lit(-1)))).groupBy("art", "days_ago", "w", "last").agg(F.count(F.lit(1)).alias("n"))
+    rows = dealt.repartition("art").withColumn("week", F.explode(F.sequence(F.lit(0), "w")))  # an item's purchases are together before they become rows by anchor
+    factor = F.sum(F.col("n") / (F.col("days_ago") - 7 * F.col("week") + 1))
+    repeated = F.sum(F.when(F.col("last") >= F.col("week"), F.col("n")).otherwise(0))
+    return rows.groupBy("week", "art").agg(F.round(factor, 6).alias("factor"), F.round(repeated / (F.sum("n") + 0.000001), 6).alias("repeat"))
 
 
 @query("""WITH n AS (SELECT art, days_ago // 30 AS period, count(*) AS sold FROM txw GROUP BY ALL)
