@@ -25,6 +25,8 @@ PART_ROWS = 50_000
 PART_PAIRS = 1_000_000
 #: Purchases of one step.
 STEP = 128
+#: Of recommend: users and items multiplied at a time, items that give the first bound, and what products of float32 may be wrong by, as a share of both lengths.
+USERS, ITEMS, HEAD, SLACK = 256, 2_048, 32_768, 1e-5
 _FACTORS = "part long, ids binary, matrix binary, changed binary"
 
 
@@ -65,6 +67,43 @@ def learn(u: np.ndarray, v: np.ndarray, users: np.ndarray, items: np.ndarray, ra
         np.add.at(v, j, rate * dj)
 
 
+def reached(u: np.ndarray, head: np.ndarray, k: int) -> np.ndarray:
+    """For each user a score that at least ``k`` of the items ``head`` reach; minus infinity where there are fewer."""
+    if len(head) < k:
+        return np.full(len(u), -np.inf)
+    short, most = u.astype(np.float32), np.full((len(u), k), -np.inf, np.float32)
+    for a in range(0, len(head), ITEMS):
+        s = short @ head[a : a + ITEMS].T.astype(np.float32)
+        more = np.flatnonzero((s > most.min(1, keepdims=True)).any(1))
+        most[more] = np.partition(np.concatenate([most[more], s[more]], 1), -k, axis=1)[:, -k:]
+    return most.min(1).astype(np.float64) - SLACK * np.linalg.norm(u, axis=1) * np.linalg.norm(head, axis=1).max()
+
+
+def reaching(u: np.ndarray, low: np.ndarray, short: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``u`` and of ``short`` whose product may be ``low`` or more; ``size`` are the lengths of ``short``, falling."""
+    if not len(u) or not len(size):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    long = np.linalg.norm(u, axis=1)
+    bias = short[:, -1].astype(np.float64)
+    far = np.linalg.norm(u[:, :-1], axis=1).max() * np.sqrt(np.maximum(size**2 - bias**2, 0)) + bias  # the users' last factor is 1
+    there = np.flatnonzero(far >= low.min() - 2 * SLACK * long.max() * size[0])
+    least = (low - SLACK * long * size[0]).astype(np.float32)[:, None]
+    least = np.nextafter(least, np.float32(-np.inf))
+    mine, rows, columns = u.astype(np.float32), [], []
+    product, enough = np.empty(len(u) * ITEMS, np.float32), np.empty(len(u) * ITEMS, bool)  # new ones for each step would take most of the time
+    for a in range(0, len(there), ITEMS):
+        own = there[a : a + ITEMS]
+        n = len(u) * len(own)
+        s = np.matmul(mine, short[own].T, out=product[:n].reshape(len(u), -1))
+        np.greater_equal(s, least, out=enough[:n].reshape(s.shape))
+        eight = np.flatnonzero(enough[: n // 8 * 8].view(np.uint64))  # few are, so eight are looked at together
+        at = np.concatenate([(eight[:, None] * 8 + np.arange(8)).ravel(), np.arange(n // 8 * 8, n)])
+        at = at[enough[at]]
+        rows.append(at // len(own))
+        columns.append(own[at % len(own)])
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (there, there)
+
+
 @dataclass
 class Factors:
     """Tables of factors, (part, ids, matrix, changed) with a row per part."""
@@ -95,24 +134,57 @@ class Factors:
         return joined.withColumn("score", dot).select(*pairs.columns, "score")
 
     def recommend(self, k: int) -> DataFrame:
-        """(user, item, score, rank): each user's best ``k`` items, ties by item; parts of items give k each, which then meet."""
+        """(user, item, score, rank): each user's best ``k`` items, ties by item; parts of items give k each at most, which then meet.
+
+        The items of the longest vectors give each user a score that the best
+        ``k`` reach.  Of the others only those are multiplied whose length lets
+        them reach it, and those that do are multiplied again in full precision.
+        """
         width, user, item = self.width, self.user, self.item
 
+        def longest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row in pdf.itertuples():
+                    v = np.frombuffer(row.matrix).reshape(-1, width)
+                    size = np.linalg.norm(v, axis=1)
+                    top = np.argsort(-size, kind="stable")[:HEAD]
+                    yield pd.DataFrame({"size": size[top], "vector": [x.tobytes() for x in v[top]]})
+
+        head = self.items.select("matrix").mapInPandas(longest, "size double, vector binary").orderBy(F.desc("size"), "vector").limit(HEAD).select("vector").collect()
+        head = np.frombuffer(b"".join(bytes(r.vector) for r in head)).reshape(-1, width)
+
+        def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row in pdf.itertuples():
+                    u = np.frombuffer(row.matrix).reshape(-1, width)
+                    order = np.argsort(np.linalg.norm(u, axis=1), kind="stable")  # users of a block are alike in length
+                    u, ids = u[order], np.frombuffer(row.ids, np.int64)[order]
+                    low = [reached(u[a : a + USERS], head, k) for a in range(0, len(u), USERS)]
+                    yield pd.DataFrame({"ids": [ids.tobytes()], "matrix": [u.tobytes()], "low": [np.concatenate(low).tobytes()]})
+
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for row in pdf.itertuples():
                     u, v = np.frombuffer(row.matrix).reshape(-1, width), np.frombuffer(row.other).reshape(-1, width)
-                    ids, names = np.frombuffer(row.ids, np.int64), np.frombuffer(row.names, np.int64)  # names ascend
-                    for a in range(0, len(u), 256):
-                        s = u[a : a + 256] @ v.T
-                        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                        n = top.shape[1]
-                        yield pd.DataFrame({user: np.repeat(ids[a : a + 256], n), item: names[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
-
-        parts = self.items.select(F.col("part").alias("_q"), F.col("ids").alias("names"), F.col("matrix").alias("other"))
+                    ids, names, low = np.frombuffer(row.ids, np.int64), np.frombuffer(row.names, np.int64), np.frombuffer(row.low)  # names ascend
+                    size = np.linalg.norm(v, axis=1)
+                    order = np.argsort(-size, kind="stable")
+                    size, names, v = size[order], names[order], v[order]
+                    short = v.astype(np.float32)
+                    for a in range(0, len(u), USERS):
+                        i, j = reaching(u[a : a + USERS], low[a : a + USERS], short, size)
+                        score = np.einsum("ij,ij->i", u[a : a + USERS][i], v[j])
+                        place = np.lexsort((names[j], -score, i))
+                        i, j, score = i[place], j[place], score[place]
+                        first = np.searchsorted(i, i)  # where each one's user begins
+                        kept = np.arange(len(i)) - first < k
+                        yield pd.DataFrame({user: ids[a + i[kept]], item: names[j[kept]], "score": score[kept]})
+
+        parts = written(self.items.select(F.col("part").alias("_q"), F.col("ids").alias("names"), F.col("matrix").alias("other")))
+        users = written(self.users.select("ids", "matrix").mapInPandas(bounded, "ids binary, matrix binary, low binary"), 1)
         numbers = F.sequence(F.lit(0).cast("long"), F.lit(parts.count() - 1).cast("long"))
-        met = self.users.withColumn("_q", F.explode(numbers)).join(parts, "_q").select("ids", "matrix", "names", "other")
-        found = met.mapInPandas(best, f"{user} long, {item} long, score double")
+        met = users.withColumn("_q", F.explode(numbers)).join(parts, "_q").select("ids", "matrix", "low", "names", "other")
+        found = written(met.mapInPandas(best, f"{user} long, {item} long, score double"), 1)
         place = F.row_number().over(Window.partitionBy(user).orderBy(F.desc("score"), item))
         return found.withColumn("rank", place).where(F.col("rank") <= k)
 
@@ -153,16 +225,15 @@ def fit_bpr(
     dropped(pairs)
 
     def met(number: int):
-        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for row in pdf.itertuples():
-                    ids, names = np.frombuffer(row.ids, np.int64), np.frombuffer(row.names, np.int64)
-                    x, y = np.frombuffer(row.matrix).reshape(-1, width).copy(), np.frombuffer(row.other).reshape(-1, width).copy()
-                    if row.us is not None:
-                        users, items = np.searchsorted(ids, np.frombuffer(row.us, np.int64)), np.searchsorted(names, np.frombuffer(row.bought, np.int64))
-                        learn(x, y, users, items, rate, decay, np.random.default_rng([seed, 2, number, int(row.part)]))
-                    changed = (y != np.frombuffer(row.other).reshape(-1, width)).any(1)
-                    yield pd.DataFrame({"of": [0, 1], "part": [row.part, row.q], "ids": [row.ids, row.names], "matrix": [x.tobytes(), y.tobytes()], "changed": [b"", changed.tobytes()]})
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            own, other = (pdf[pdf["of"] == k].iloc[0] for k in (0, 1))
+            ids, names = np.frombuffer(own.ids, np.int64), np.frombuffer(other.ids, np.int64)
+            x, y = np.frombuffer(own.matrix).reshape(-1, width).copy(), np.frombuffer(other.matrix).reshape(-1, width).copy()
+            for row in pdf[pdf["of"] == 2].itertuples():
+                users, items = np.searchsorted(ids, np.frombuffer(row.ids, np.int64)), np.searchsorted(names, np.frombuffer(row.matrix, np.int64))
+                learn(x, y, users, items, rate, decay, np.random.default_rng([seed, 2, number, int(own.part)]))
+            changed = (y != np.frombuffer(other.matrix).reshape(-1, width)).any(1)
+            return pd.DataFrame({"of": [0, 1], "part": [own.part, other.q], "ids": [own.ids, other.ids], "matrix": [x.tobytes(), y.tobytes()], "changed": [b"", changed.tobytes()]})
 
         return step
 
@@ -177,15 +248,19 @@ def fit_bpr(
 
     tables = [u, v]
     for number in range(epochs * item_parts if n_pairs else 0):
-        own = u.withColumn("_q", (F.col("part") + number) % item_parts)
-        there = blocks.select(F.col("_p").alias("part"), "_q", F.col("_us").alias("us"), F.col("_is").alias("bought"))
-        other = v.select(F.col("part").alias("_q"), F.col("ids").alias("names"), F.col("matrix").alias("other"))
-        joined = own.join(there, ["part", "_q"], "left").join(other, "_q").select("part", F.col("_q").alias("q"), "ids", "matrix", "us", "bought", "names", "other")
-        after = written(joined.mapInPandas(met(number), f"of int, {_FACTORS}"))
+        # a user part's factors, its item part's and the purchases between them are three rows of one group, shuffled once
+        turn = F.pmod(F.col("part") + number, F.lit(item_parts))
+        asking = F.sequence(F.pmod(F.col("part") - number, F.lit(item_parts)), F.lit(user_parts - 1).cast("long"), F.lit(item_parts).cast("long"))
+        own = u.select("part", F.lit(0).alias("of"), turn.alias("q"), "ids", "matrix")
+        other = v.select(F.explode(asking).alias("_p"), F.lit(1).alias("of"), F.col("part").alias("q"), "ids", "matrix").withColumnRenamed("_p", "part")
+        there = blocks.withColumnRenamed("_p", "part").where(F.col("_q") == turn).select("part", F.lit(2).alias("of"), F.col("_q").alias("q"), F.col("_us").alias("ids"), F.col("_is").alias("matrix"))
+        after = written(own.unionByName(other).unionByName(there).groupBy("part").applyInPandas(met(number), f"of int, {_FACTORS}"))
         for t in tables:
             dropped(t)
         tables = [after]
         u = after.where("of = 0").drop("of")
-        v = after.where("of = 1").drop("of").groupBy("part").applyInPandas(averaged, _FACTORS)
+        v = after.where("of = 1").drop("of")
+        if user_parts > item_parts:
+            v = v.groupBy("part").applyInPandas(averaged, _FACTORS)
     dropped(blocks)
     return Factors(u, v, user, item, width)

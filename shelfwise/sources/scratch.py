@@ -27,18 +27,21 @@ def _place(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def written(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet and read back; what was shuffled for it goes at once, the files go with ``dropped``, or when Spark ends.
 
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet and read back; what was shuffled for it goes at once, the files go with ``dropped``, or when Spark ends."""
+    Python gets ``batch`` rows at a time, where that is given.
+    """
     path, conf = scratch(df.sparkSession), df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {})
+    before = {k: conf.get(k, None) for k in own}
     try:
+        for k, v in own.items():
+            conf.set(k, v)
         df.write.parquet(path)
     finally:
-        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     where, store = _place(df.sparkSession, path)
     store.deleteOnExit(where)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

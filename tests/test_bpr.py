@@ -88,3 +88,21 @@ def test_no_purchases(groups):
     model = bpr.fit_bpr(groups.limit(0))
     assert model.vectors("users").count() == 0 == model.score(groups.limit(0)).count()
     assert model.score(groups).where(F.col("score").isNotNull()).count() == 0
+
+
+def test_few_items_are_multiplied_for_each_user_and_none_is_missed(monkeypatch):
+    monkeypatch.setattr(bpr, "ITEMS", 77)
+    rng = np.random.default_rng(6)
+    u, v = rng.normal(0, 0.1, (101, 17)) * rng.lognormal(0, 1, (101, 1)), rng.normal(0, 0.1, (3000, 17)) * rng.lognormal(0, 0.7, (3000, 1))
+    u[:, -1], v[:9] = 1, v[9]  # equal items
+    v = v[np.argsort(-np.linalg.norm(v, axis=1))]
+    size, short, k = np.linalg.norm(v, axis=1), v.astype(np.float32), 12
+    low = bpr.reached(u, v[:300], k)
+    kth = np.sort(u @ v.T, axis=1)[:, -k]
+    assert (low <= kth).all() and (low >= kth - 0.5 * np.abs(kth)).mean() > 0.9
+    i, j = bpr.reaching(u, low, short, size)
+    found = np.zeros((101, 3000), bool)
+    found[i, j] = True
+    assert found[u @ v.T >= kth[:, None]].all()
+    assert len(i) < 101 * 200 and len(i) == found.sum()
+    assert (bpr.reached(u, v[: k - 1], k) == -np.inf).all()
